@@ -214,6 +214,7 @@ def main_text(pages: DataFrame, *, html: str = "html", url: str = "url", page_id
     dealt = placed.repartition("_ng_key").sortWithinPartitions("_ng_key", "_ng_place").select("_ng_row", "_ng_key", "zones", "hashes")
     gone = stage(dealt.mapInArrow(_shared, "_ng_row long, gone array<int>"), "html-shared").withColumnRenamed("_ng_row", "_ng_of")
     both = rows.join(small(gone), F.col("_ng_row") == F.col("_ng_of"), "left")
-    lines = F.expr(f"filter(lines, (x, i) -> CASE WHEN exists(lines, y -> y.zone = {MAIN}) THEN x.zone = {MAIN} ELSE x.zone = {FREE} AND NOT coalesce(array_contains(gone, i), false) END)")
+    lines = F.expr(f"""CASE WHEN exists(lines, x -> x.zone = {MAIN}) THEN filter(lines, x -> x.zone = {MAIN})
+        ELSE filter(lines, (x, i) -> x.zone = {FREE} AND NOT coalesce(array_contains(gone, i), false)) END""")
     text = F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

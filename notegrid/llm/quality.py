@@ -16,33 +16,49 @@ BUCKETS = 1 << 16
 #: Bound of the trusted rows that the target model is fitted on.
 SAMPLE = 20_000
 #: Mean log-likelihood ratio of an n-gram below which a text is dropped.
-LEAST = -0.35
+LEAST = -0.5
 
 
-def _words(docs: DataFrame, text: str) -> DataFrame:
-    """Adds words and their hashes."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
-    return docs.withColumn("_ng_words", words).withColumn("_ng_hashes", F.transform("_ng_words", lambda w: F.xxhash64(w)))
+def _let(value, body):
+    """``body`` of a value that is computed once: a lambda that captured a column
+    instead would compute it for each element wherever Spark inlines the column."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _grams():
-    """Buckets of a text's words and word pairs; needs _ng_hashes."""
-    return F.expr(f"""concat(transform(_ng_hashes, x -> CAST(pmod(x, {BUCKETS}L) AS INT)),
-        CASE WHEN size(_ng_hashes) < 2 THEN array() ELSE transform(sequence(0, size(_ng_hashes) - 2), i -> CAST(pmod(xxhash64(_ng_hashes[i], _ng_hashes[i + 1]), {BUCKETS}L) AS INT)) END)""")
+def _words(body):
+    return F.filter(F.split(F.coalesce(body, F.lit("")), SPACE), lambda w: w != "")
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """Adds _ng_covered, the words inside windows of three that occur twice or
-    more. Windows are compared by 64-bit hashes; positions are sorted only in
-    the texts that repeat one."""
-    docs = docs.withColumn("_ng_tri", F.expr("""CASE WHEN size(_ng_hashes) < 3 THEN CAST(array() AS ARRAY<BIGINT>)
-        ELSE transform(sequence(0, size(_ng_hashes) - 3), i -> xxhash64(_ng_hashes[i], _ng_hashes[i + 1], _ng_hashes[i + 2])) END"""))
-    docs = docs.withColumn("_ng_sorted", F.expr("""CASE WHEN size(array_distinct(_ng_tri)) < size(_ng_tri)
-        THEN array_sort(transform(_ng_tri, (x, i) -> struct(x AS h, i AS p))) END"""))
-    docs = docs.withColumn("_ng_places", F.expr("""array_sort(transform(filter(_ng_sorted,
-        (x, i) -> coalesce(x.h = get(_ng_sorted, i - 1).h, false) OR coalesce(x.h = get(_ng_sorted, i + 1).h, false)), x -> x.p))"""))
-    covered = F.expr("""coalesce(aggregate(transform(_ng_places, (p, i) -> least(3, coalesce(get(_ng_places, i + 1) - p, 3))), 0, (a, x) -> a + x), 0)""")
-    return docs.withColumn("_ng_covered", covered.cast("long"))
+def _hashes(words):
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _grams(words, hashes):
+    """Buckets of a text's words and of the last two characters of each, a
+    character n-gram that few texts suffice to know."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return F.concat(F.transform(hashes, bucket), F.transform(words, lambda w: bucket(F.xxhash64(F.substring(w, -2, 2), F.lit(2)))))
+
+
+def _repeated(hashes):
+    """The words inside windows of three that occur twice or more. Windows are
+    compared by 64-bit hashes; positions are sorted only in the texts that
+    repeat one."""
+    windows = F.when(F.size(hashes) < 3, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))))
+
+    def twice(s):
+        same = lambda x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+
+    def covered(p):
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    def count(t):
+        placed = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(t)) < F.size(t), _let(placed, lambda s: _let(twice(s), covered))).otherwise(0)
+
+    return _let(windows, count)
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_id: str = "doc_id", smoothing: float = 1.0, sample: int = SAMPLE) -> DataFrame:
@@ -57,7 +73,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_
         ids = ids.where(F.pmod(F.xxhash64("_ng_trusted"), F.lit(span)) < int(span * sample / n))
     rows = docs.select(F.col(doc_id).alias("_ng_id"), F.col(text).alias("_ng_text"))
     rows = rows.join(F.broadcast(ids), F.col("_ng_id") == F.col("_ng_trusted"), "left")
-    grams = _words(rows, "_ng_text").select(F.col("_ng_trusted").isNotNull().cast("long").alias("t"), F.explode(_grams()).alias("bucket"))
+    found = _let(_words(F.col("_ng_text")), lambda w: _grams(w, _hashes(w)))
+    grams = rows.select(F.col("_ng_trusted").isNotNull().cast("long").alias("t"), F.explode(found).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -68,8 +85,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_
 
 def quality(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: float = LEAST, **options) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, llr (mean log ratio of the words and word
-    pairs) and kept.
+    n_repeat_words, base_failed, llr (mean log ratio of the words and their
+    endings) and kept.
 
     kept is false if base_failed, else whether llr >= ``least``: the same
     threshold for every document, without sampling. Without trusted rows every
@@ -82,13 +99,19 @@ def quality(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_id:
     ratios = ratio_table(docs, trusted, text=text, doc_id=doc_id, **options)
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(f"`{c}`") for c in without(docs, added).columns]
-    rows = _repeated(_words(docs, text)).withColumn("_ng_grams", _grams())
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("_ng_lines", lines).withColumn("_ng_ratios", ratios.scalar())
-    mean = F.expr("aggregate(_ng_grams, 0D, (a, g) -> a + _ng_ratios[g], a -> a / greatest(1, size(_ng_grams)))")
-    n = F.size("_ng_words").cast("long")
-    rows = rows.select(*kept, n.alias("n_words"), (F.char_length(body) - F.regexp_count(body, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-                       F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_ng_lines") - F.size(F.array_distinct("_ng_lines"))).cast("long").alias("n_dup_lines"),
-                       F.col("_ng_covered").alias("n_repeat_words"), mean.alias("llr"))
+    duplicates = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    rows = docs.withColumn("_ng_ratios", ratios.scalar())
+
+    def mean(grams):
+        total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(F.col("_ng_ratios"), g))
+        return total / F.greatest(F.lit(1), F.size(grams))
+
+    measures = _let(_words(F.col(text)), lambda w: _let(_hashes(w), lambda h: F.struct(F.size(w).alias("n"), _repeated(h).alias("covered"), _let(_grams(w, h), mean).alias("llr"))))
+    rows = rows.withColumn("_ng_measures", measures)
+    rows = rows.select(*kept, F.col("_ng_measures.n").cast("long").alias("n_words"),
+                       (F.char_length(body) - F.regexp_count(body, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+                       F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), duplicates.cast("long").alias("n_dup_lines"),
+                       F.col("_ng_measures.covered").cast("long").alias("n_repeat_words"), F.col("_ng_measures.llr").alias("llr"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))
