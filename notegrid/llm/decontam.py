@@ -45,15 +45,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.zeros(len(starts), np.uint64)
         lengths = ends - starts
         left = np.arange(len(starts))
-        for k in range(0, int(lengths.max())):  # the k-th byte of all words that have one
-            if len(left) < 64:
-                break
-            left = left[lengths[left] > k]
+        k, longest = 0, int(lengths.max())
+        while k < longest and len(left) >= 64:  # the k-th byte of all words that have one
             hashes[left] = (hashes[left] ^ data[starts[left] + k]) * _M1
             hashes[left] ^= hashes[left] >> np.uint64(29)
-        for w in left.tolist():  # a few very long words
+            k += 1
+            left = left[lengths[left] > k]
+        for w in left.tolist():  # the rest of a few long words
             value = int(hashes[w])
-            for byte in data[starts[w] + k:ends[w]].tolist() if lengths[w] > k else ():
+            for byte in data[starts[w] + k:ends[w]].tolist():
                 value = ((value ^ byte) * int(_M1)) & 0xFFFFFFFFFFFFFFFF
                 value ^= value >> 29
             hashes[w] = value
