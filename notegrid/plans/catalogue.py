@@ -1,6 +1,325 @@
-"""The queries over the driver's tables and their DuckDB SQL."""
+"""The queries over the driver's tables: each runs one operator on an analogue
+(a group for a video, a category for a string, a time for a position)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from notegrid.config import DEFAULTS
+from notegrid.operators import decide, match, ordered, vectors
+from notegrid.plans.oracles import SQL as SQL
+
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+TOL = 21_600_000_000  # six hours in microseconds
+WIDTH = 2_160_000_000_000.0
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(c: str):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
+
+
+def _sides(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    fret = F.floor("value") % 25
+    truth = e.where("event_id % 2 = 0").select("user_id", "event_type", F.col("event_id").alias("i"), micros("ts").alias("x"), fret.alias("fret"))
+    pred = e.where("event_id % 2 = 1").select("user_id", "event_type", F.col("event_id").alias("j"), micros("ts").alias("x"), fret.alias("fret"), (F.col("value") > 150).alias("flagged"))
+    return truth, pred
+
+
+KEYS = ["user_id", "event_type"]
+
+
+@query
+def match_pairs(spark, sf_dir):
+    truth, pred = _sides(spark, sf_dir)
+    return match.match_pairs(truth.drop("fret"), pred.drop("fret", "flagged"), KEYS, TOL).select(*KEYS, "i", "j", "dx")
+
+
+@query
+def match_metrics(spark, sf_dir):
+    truth, pred = _sides(spark, sf_dir)
+    out = match.metrics(match_pairs(spark, sf_dir), truth, pred, WIDTH, KEYS)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+@query
+def targets_failed(spark, sf_dir):
+    return match.targets_failed(match_metrics(spark, sf_dir)).select("metric", "kind", "bound", "value")
+
+
+@query
+def change_series(spark, sf_dir):
+    return ordered.change_series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", F.round("change", 6).alias("change"))
+
+
+@query
+def true_runs(spark, sf_dir):
+    return ordered.true_runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") >= 50, 2)
+
+
+@query
+def anchored_runs(spark, sf_dir):
+    return ordered.anchored_runs(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", "value", 60, 90)
+
+
+@query
+def merge_runs(spark, sf_dir):
+    day = F.floor(micros("o_orderdate") / 86_400_000_000)
+    spans = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("a"), (day + 20).alias("b"))
+    return ordered.merge_spans(spans, ["o_custkey"], "a", "b", 30, ["a", "o_orderkey"])
+
+
+@query
+def join_marks(spark, sf_dir):
+    hour, level = F.floor(micros("ts") / 3_600_000_000), F.floor("value") % 20
+    boxes = table(spark, sf_dir, "events").select(*KEYS, "event_id", hour.alias("x0"), level.alias("y0"), (hour + 5 + F.col("event_id") % 7).alias("x1"), (level + 10).alias("y1"))
+    return ordered.join_marks(boxes, KEYS, ("x0", "y0", "x1", "y1"), "event_id", 0.5, 3.0)
+
+
+@query
+def dense_ids(spark, sf_dir):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_type", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(by) - 1).alias("note_id"))
+
+
+@query
+def split_grids(spark, sf_dir):
+    out = ordered.near_even_groups(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 4)
+    return out.select("o_custkey", "o_orderkey", "grid", (F.col("cell") % 2).alias("gx"), F.expr("cell div 2").alias("gy"))
+
+
+@query
+def even_sample(spark, sf_dir):
+    return ordered.even_sample(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey", "position")
+
+
+@query
+def time_grid(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return ordered.time_grid(p, (10 + F.col("p_size")).cast("double"), F.col("p_partkey") % 300 + 1, 12).select("p_partkey", "k", "t", "frame")
+
+
+@query
+def canvas_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("w"))
+    return ordered.running_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "w").select("l_orderkey", "l_linenumber", "offset")
+
+
+@query
+def bar_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("cover", F.col("value") / 400)
+    out = ordered.isolated_peaks(rows, ["user_id"], ["ts", "event_id"], "cover", 0.1, 0.05)
+    return out.select("user_id", "a", "b", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+@query
+def coverage(spark, sf_dir):
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    return each.groupBy("label", "pos").agg(F.round(F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)), 6).alias("cover"), F.bool_or(F.col("v") > 0.25).alias("any_ink"), F.bool_and(F.col("v") > -0.5).alias("all_ink"))
+
+
+@query
+def otsu_levels(spark, sf_dir):
+    return vectors.otsu_levels(table(spark, sf_dir, "events").select("event_type", (F.floor("value") % 256).alias("level")), ["event_type"], "level")
+
+
+def _doubles(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query
+def ncc_pairs(spark, sf_dir):
+    pairs = vectors.next_pairs(_doubles(spark, sf_dir), ["label"], "vec_id", "embedding")
+    return pairs.select("vec_id", "next_id", F.round(F.expr(vectors.ncc("embedding", "next_value", "size(embedding)")), 6).alias("ncc"))
+
+
+@query
+def shift_best(spark, sf_dir):
+    pairs = vectors.next_pairs(_doubles(spark, sf_dir), ["label"], "vec_id", "embedding").repartition("vec_id")
+    best = vectors.best_shift(vectors.shift_scan(pairs, "embedding", "next_value", 6), DEFAULTS.stitch_exclude)
+    close = F.when(F.col("ncc") < DEFAULTS.stitch_min_ncc, "ncc").when(F.col("second_ncc").isNotNull() & (F.round(F.col("ncc") - F.col("second_ncc"), 6) < DEFAULTS.stitch_min_margin), "ambiguous")
+    return best.select("vec_id", "next_id", "shift", "ncc", "second_shift", "second_ncc", close.alias("refused"))
+
+
+@query
+def template_median(spark, sf_dir):
+    return vectors.element_medians(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", "pos", F.round("median", 6).alias("median"))
+
+
+@query
+def template_loo(spark, sf_dir):
+    loo = vectors.leave_one_out_medians(table(spark, sf_dir, "embeddings").where("vec_id % 10 < 2"), "label", "vec_id", "embedding").where("loo IS NOT NULL")
+    return vectors.grouped_ncc(loo, ["label", "vec_id"], "v", "loo").select("label", "vec_id", F.round("ncc", 5).alias("class_ncc"))
+
+
+@query
+def template_read(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    medians = vectors.element_medians(e, ["label"], "embedding").withColumnRenamed("label", "digit")
+    each = e.select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    scores = vectors.grouped_ncc(each.join(medians, "pos"), ["vec_id", "digit"], "v", "median").withColumn("ncc", F.round("ncc", 6))
+    out = vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
+    margin = F.round("margin", 6)
+    return out.select("vec_id", "digit", "best", margin.alias("margin"), ((F.col("best") >= 0.3) & (margin >= DEFAULTS.template_min_margin)).alias("accepted"))
+
+
+@query
+def page_median(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("page", F.expr("vec_id div 31"))
+    return vectors.element_medians(e, ["page"], "embedding").select("page", "pos", F.round("median", 6).alias("median"))
+
+
+@query
+def bar_residual(spark, sf_dir):
+    p = F.floor("value")
+    sides = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_type") == "signup", p)).alias("a"), F.collect_set(F.when(F.col("event_type") == "purchase", p)).alias("b"))
+    return vectors.nearest_residual(sides, ["user_id"], "a", "b")
+
+
+@query
+def classify_marks(spark, sf_dir):
+    reason = F.when(F.col("l_quantity") < 10, "short").when(F.col("l_quantity") > 40, "tall").when(F.col("l_tax") > 0.06, "off line").otherwise("keep")
+    lines = F.array(*[F.lit(float(y)) for y in range(0, 60, 10)])
+    near = F.array_min(F.transform(lines, lambda y, i: F.struct(F.abs(y - F.col("l_quantity")).alias("d"), (i + 1).alias("string"))))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reason.alias("reason"), near["string"].alias("string"))
+
+
+@query
+def composite(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", ((F.col("vec_id") % 7) * 16).alias("o"), F.col("embedding").cast("array<double>").alias("e"))
+    return vectors.composite(e, ["label"], "o", "e").select("label", "x", F.round("v", 6).alias("v"))
+
+
+def _x():
+    return (F.floor(micros("ts") / 60_000_000) - 28_000_000).cast("double")
+
+
+@query
+def row_cuts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", _x().alias("x"))
+    bar = F.col("event_type") == "signup"
+    spans = e.groupBy("user_id").agg(F.max("x").alias("e"), F.array_sort(F.collect_set(F.when(bar, F.col("x")))).alias("bars"), F.array_sort(F.collect_set(F.when(~bar, F.col("x")))).alias("notes"))
+    return ordered.cut_rows(spans, ["user_id"], "bars", "notes", "e", 15_000)
+
+
+@query
+def notes_in_rows(spark, sf_dir):
+    notes = table(spark, sf_dir, "events").where("event_type <> 'signup'").select("user_id", "event_id", _x().alias("x"))
+    out = decide.place_in_rows(notes, row_cuts(spark, sf_dir), ["user_id"])
+    return out.select("user_id", "event_id", "r", F.round((F.col("x") - F.col("x0")) * 0.25, 6).alias("px"), F.expr("r div 12").alias("page"))
+
+
+def _readings(spark, sf_dir):
+    part, supp = F.col("l_partkey") % 25, F.col("l_suppkey") % 25
+    line = F.col("l_linenumber") % 4
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 7 != 0, part).alias("model"), (F.col("l_partkey") % 11 != 0).alias("valid"),
+        F.when(F.col("l_suppkey") % 5 == 0, None).when(F.col("l_partkey") % 3 == 0, part).otherwise(supp).alias("template"),
+        F.when(line == 0, None).when(line == 1, part).otherwise(supp).alias("reread"), (F.col("l_linenumber") % 6 != 0).alias("reread_valid"))
+    rows = rows.withColumn("first", decide.first_decision("model", "valid", "template"))
+    status, fret, reason = decide.final_decision("model", "template", "reread", "reread_valid")
+    again = F.col("first") == "reread"
+    return rows.withColumns({"status": F.when(again, status).otherwise(F.col("first")), "fret": F.when(again, fret).otherwise(F.col("model")), "reason": F.when(again, reason)})
+
+
+@query
+def decisions(spark, sf_dir):
+    return _readings(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "first", "status", "fret", "reason")
+
+
+@query
+def final_table(spark, sf_dir):
+    status = F.when(F.col("status") == "verified_reread", "verified").otherwise(F.col("status"))
+    rows = _readings(spark, sf_dir).where("status <> 'ignored'")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "fret", decide.fret_text("fret").alias("fret_text"), status.alias("status"), F.when(F.col("first") == "reread", F.col("reread")).alias("reader_reread"))
+
+
+@query
+def report_rows(spark, sf_dir):
+    ok = F.col("status").isin("verified", "verified_reread")
+    rows = _readings(spark, sf_dir).where("status <> 'ignored'").groupBy("l_orderkey").agg(F.count("*").alias("notes"), F.count_if(ok).alias("verified"), F.count_if(F.col("status") == "flagged").alias("flagged"))
+    return rows.where("flagged > 0").select("l_orderkey", "notes", "verified", F.format_string("%d of %d numbers verified", "verified", "notes").alias("header"))
+
+
+@query
+def digit_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("boxes", 1 + F.col("p_partkey") % 2)
+    return decide.digit_labels(rows, ["p_partkey"], "p_size", "boxes")
+
+
+@query
+def fret_texts(spark, sf_dir):
+    t = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 5
+    rows = table(spark, sf_dir, "part").withColumn("t", F.when(k == 0, F.concat(F.lit("0"), t)).when(k == 1, F.concat(t, F.lit("?"))).otherwise(t))
+    return rows.select("p_partkey", decide.fret_of("t", DEFAULTS.max_fret).alias("fret"))
+
+
+BAD = ('{"notes": [{"id": 1, "fret": null}]}', '{"notes": [{"id": 1, "fret": 25}]}', '{"notes": [{"id": 1, "fret": "3"}]}', '{"notes": [{"id": 1}]}', '{"notes": [{"id": 1, "fret": 2, "x": 1}]}', '{"notes": [{"id": 1, "fret"', '{"notes": [{"id": 1, "fret": true}]}')
+
+
+@query
+def json_validate(spark, sf_dir):
+    k = F.col("event_id") % 9
+    text = F.when(k == 0, F.format_string('{"notes": [{"id": %d, "fret": 3}]}', "event_id"))
+    for i, t in enumerate(BAD):
+        text = text.when(k == i + 1, F.lit(t))
+    rows = table(spark, sf_dir, "events").select("event_id", text.otherwise(F.col("props")).alias("t"))
+    return decide.json_check(rows, "t", DEFAULTS.max_fret).select("event_id", "reason")
+
+
+@query
+def id_sets(spark, sf_dir):
+    got = F.when(F.col("l_partkey") % 13 == 0, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(got).alias("got"), F.sequence(F.lit(1), F.count("*").cast("int")).alias("want"))
+    return decide.id_set_check(rows, ["l_orderkey"], "want", "got")
+
+
+@query
+def token_cost(spark, sf_dir):
+    calls = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("model"), F.col("l_returnflag").alias("role"), "l_linestatus", F.col("l_partkey").alias("input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"))
+    prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), F.col("p_retailprice").alias("input_price"), F.col("p_size").alias("output_price"))
+    costs = decide.token_cost(calls, prices, "model")
+    return costs.groupBy("role").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 4).alias("total_usd"), F.round(F.sum(F.when(F.col("l_linestatus") == "O", F.col("cost"))), 4).alias("new_usd"))
+
+
+@query
+def status_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = e.select("event_type").distinct().union(spark.createDataFrame([("none of these",)], "event_type string"))
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 150).alias("flagged"))
+    return kinds.join(counts, "event_type", "left").na.fill(0, ["n", "flagged"])
+
+
+@query
+def url_ids(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})", 1).alias("video"), F.regexp_extract(u, r"([^/?#]+?)(?:\.[a-z]+)?/?(?:[?#].*)?$", 1).alias("stem"), u.startswith("https://").alias("secure"))
+
+
+@query
+def content_keys(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    params = F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(text, params), 256).alias("key"), F.substring(F.sha2(F.concat(text, F.lit("read1")), 256), 1, 32).alias("call_key"))
+
+
+@query
+def cache_lookup(spark, sf_dir):
+    hits = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return hits.select("doc_id", F.col("quality").isNotNull().alias("hit"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query
+def draft_truth(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("string"), F.floor(micros("ts") / 1_000_000).alias("x"), (F.floor("value") % 25).alias("fret"))
