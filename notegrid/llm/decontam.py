@@ -25,7 +25,7 @@ WALKS, SAMPLES, COORDINATES = 8, 6, 4
 #: Benchmark text that is held in memory at once; larger benchmarks are searched in blocks.
 BLOCK = 8 << 20
 _LUT = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -67,6 +67,12 @@ def allowed(n: int) -> int:
     return int(RATE * n) if n >= EXACT_BELOW else 0
 
 
+def shared_at_least(n: int) -> int:
+    """Trigrams that an item of n words shares with any text within its edits:
+    an edit touches three at most."""
+    return max(1, n - 2 - 3 * allowed(n))
+
+
 def trigrams(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = words[:-2] * _M1 ^ words[1:-1] * _M2 ^ words[2:] * _M3
@@ -91,9 +97,10 @@ def embed(words: np.ndarray, starts: np.ndarray, n: int, walk: int, steps: int)
 
 def sample_keys(words: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(repetition, keys): WALKS x SAMPLES times, a hash of COORDINATES random
-    coordinates of each window's embedding of 3n coordinates."""
+    coordinates of each window's embedding; of its 3n coordinates the first 2n,
+    as a walk of n words ends about there and only padding follows."""
     for walk in range(WALKS):
-        picks = np.random.default_rng((n, walk)).integers(0, 3 * n, (SAMPLES, COORDINATES))
+        picks = np.random.default_rng((n, walk)).integers(0, 2 * n, (SAMPLES, COORDINATES))
         embedded = embed(words, starts, n, walk, int(picks.max()) + 1)
         for s in range(SAMPLES):
             key = np.zeros(len(starts), np.uint64)
@@ -143,11 +150,13 @@ class Items:
             if len(own) >= SHORTEST:
                 self.ids.append(name)
                 self.words.append(own)
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.lengths: dict[int, list[int]] = {}
         for k, own in enumerate(self.words):
-            self.filter[trigrams(own)] = True
             self.lengths.setdefault(len(own), []).append(k)
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=np.uint64)  # of each trigram, a bit for each length that has it
+        for place, members in enumerate(self.lengths.values()):
+            for k in members:
+                self.filter[trigrams(self.words[k])] |= np.uint64(1 << place % 64)
         self.buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
         for n, members in self.lengths.items():
             joined = np.concatenate([self.words[k] for k in members])
@@ -162,28 +171,29 @@ class Items:
         found in each text, by word positions."""
         if len(words) < SHORTEST or not self.words:
             return []
-        hits = self.filter[trigrams(words)]
-        if not hits.any():
-            return []
+        marks = self.filter[trigrams(words)]
         for edge in offsets[1:-1]:  # no window spans two texts
-            hits[max(0, edge - 2):edge] = False
-        total = np.concatenate([[0], np.cumsum(hits)])
-        hot = np.flatnonzero(hits)
+            marks[max(0, edge - 2):edge] = 0
+        hot = np.flatnonzero(marks)
+        marks = marks[hot]
         found: dict[tuple[int, int], list[int]] = {}
-        for n, _ in self.lengths.items():
-            k = allowed(n)
-            need = max(1, n - 2 - 3 * k)
-            if len(hot) < need:
+        for place, n in enumerate(self.lengths):
+            need, own = shared_at_least(n), hot[(marks >> np.uint64(place % 64) & np.uint64(1)).astype(bool)]
+            if len(own) < need:
                 continue
-            # starts of windows of n words, kept within their text, that may hold enough shared trigrams
-            near = np.unique((hot[:, None] - np.arange(n - 2)[None, :]).ravel()) if len(hot) * (n - 2) < 2_000_000 else np.arange(len(words))
-            near = near[near >= 0]
-            owner = np.searchsorted(offsets, near, side="right") - 1
-            near = np.minimum(near, offsets[owner + 1])
-            enough = total[np.minimum(near + n - 2, np.minimum(offsets[owner + 1], len(total) - 1))] - total[np.minimum(near, len(total) - 1)] >= need
-            near, owner = near[enough], owner[enough]
-            if not len(near):
+            first, last = own[:len(own) - need + 1], own[need - 1:]
+            close = last - first <= n - 3
+            first, last = first[close], last[close]
+            text = np.searchsorted(offsets, first, side="right") - 1
+            one = last < offsets[text + 1]
+            first, last, text = first[one], last[one], text[one]
+            if not len(first):
                 continue
+            # every start whose window holds these shared trigrams
+            low = np.maximum(last - (n - 3), offsets[text])
+            spread = first - low + 1
+            near = np.unique(np.repeat(low, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread))
+            owner = np.searchsorted(offsets, near, side="right") - 1
             stops = offsets[owner + 1]
             for turn, keys in sample_keys(np.concatenate([words, np.zeros(n, np.uint64)]), near, n) if (near + n <= stops).all() else self._cut(words, near, stops, n):
                 table = self.buckets[n, turn]
