@@ -81,6 +81,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, cache: str | None = None, l
     missing.select("digest", "body").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version)
-    counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below is one of two plain tables and Spark can split a hot digest
+    counts = stage(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     thin = stage(docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), digest.alias("digest")), "token-digests")
     return thin.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
