@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,30 +18,41 @@ def candidate_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol) ->
     return t.join(p, [*keys, "_b"]).withColumn("dx", F.abs(F.col("tx") - F.col("px"))).where(F.col("dx") <= tol).drop("_b")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    used_i, used_j, keep = set(), set(), []
-    pdf = pdf.sort_values(["dx", "i", "j"], kind="stable")
-    for i, j in zip(pdf["i"], pdf["j"]):
-        free = i not in used_i and j not in used_j
-        if free:
-            used_i.add(i)
-            used_j.add(j)
-        keep.append(free)
-    return pdf[keep]
+def _greedy(width: int):
+    """Rows sorted by group (the first ``width`` columns), dx, i, j: keeps a
+    pair if both its ends are free. Holds one group's used ids at a time."""
+
+    def run(batches):
+        group, used_i, used_j = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for own, i, j in zip(zip(*[pdf[c] for c in pdf.columns[:width]]), pdf["i"], pdf["j"]):
+                if own != group:
+                    group, used_i, used_j = own, set(), set()
+                free = i not in used_i and j not in used_j
+                if free:
+                    used_i.add(i)
+                    used_j.add(j)
+                keep.append(free)
+            yield pdf[keep]
+
+    return run
 
 
 def match_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol) -> DataFrame:
     """One-to-one assignment, nearest first, ties by i, then j (JOI-2, TOP-6).
 
     A gap of more than tol between neighbouring positions parts a key into
-    clusters without edges between them; each is assigned on its own, so a
-    group is as small as the data allow."""
+    clusters without edges between them; each is assigned on its own, in one
+    pass over sorted rows, so a hot key spreads over tasks."""
     both = truth.select(*keys, "x").unionByName(pred.select(*keys, "x")).distinct()
     by = Window.partitionBy(*keys).orderBy("x")
     first = F.when(F.col("x") - F.lag("x").over(by) <= tol, 0).otherwise(1)
     places = both.withColumn("_first", first).withColumn("_cluster", F.sum("_first").over(by)).drop("_first").withColumnRenamed("x", "tx")
-    pairs = candidate_pairs(truth, pred, keys, tol).join(places, [*keys, "tx"])
-    return pairs.groupBy(*keys, "_cluster").applyInPandas(_greedy, pairs.schema).drop("_cluster")
+    pairs = candidate_pairs(truth, pred, keys, tol).join(places, [*keys, "tx"]).select(*keys, "_cluster", "i", "j", "dx")
+    group = [*keys, "_cluster"]
+    dealt = pairs.repartition(*group).sortWithinPartitions(*group, "dx", "i", "j")
+    return dealt.mapInPandas(_greedy(len(group)), pairs.schema).drop("_cluster")
 
 
 def metrics(matched: DataFrame, truth: DataFrame, pred: DataFrame, width: float, keys: list[str]) -> DataFrame:
