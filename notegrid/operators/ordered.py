@@ -135,3 +135,32 @@ def cut_rows(spans: DataFrame, keys: list[str], bars: str, notes: str, end: str,
     df = df.withColumn("_cuts", F.expr(f"""aggregate(sequence(1, {most}), struct(CAST(array() AS ARRAY<STRUCT<x0: DOUBLE, x1: DOUBLE, split: BOOLEAN>>) AS rows, _start AS x, false AS done),
         (s, k) -> CASE WHEN s.done THEN s ELSE {step} END, s -> concat(s.rows, array(struct(s.x AS x0, {end} AS x1, false AS split))))"""))
     return df.select(*keys, F.posexplode("_cuts").alias("r", "c")).select(*keys, "r", "c.x0", "c.x1", "c.split")
+
+
+def even_groups(df: DataFrame, keys: list[str], x: str, tie: str, tol: float, size: int = 6) -> DataFrame:
+    """Groups of ``size`` neighbouring positions with even gaps whose neighbours
+    outside would not carry on the spacing, left to right without overlap
+    (FLT-3, WIN-4, WIN-7, AGG-17): position of the first, its and the last x,
+    and the spacing.
+
+    Starts nearer than ``size`` to the start before are one cluster; any other
+    start is free whatever came before, so only clusters are folded, not keys."""
+    by = _over(keys, [x, tie])
+    at = [F.col(x), *[F.lead(x, k).over(by) for k in range(1, size + 1)]]
+    names = [f"_x{k}" for k in range(size + 1)]
+    placed = df.select(*keys, (F.row_number().over(by) - 1).alias("_pos"), F.lag(x).over(by).alias("_out"), *[c.alias(n) for c, n in zip(at, names)])
+    last = names[size - 1]
+    placed = placed.where(F.col(last).isNotNull()).withColumn("_s", (F.col(last) - F.col("_x0")) / F.lit(float(size - 1)))
+    near = lambda a, b: F.coalesce(F.abs(F.col(b) - F.col(a) - F.col("_s")) <= F.lit(tol) * F.col("_s"), F.lit(False))
+    even = near(names[0], names[1])
+    for a, b in zip(names[1:size - 1], names[2:size]):
+        even = even & near(a, b)
+    hits = placed.where(even & ~near("_out", "_x0") & ~near(last, names[size]))
+    order = _over(keys, ["_pos"])
+    new = F.when(F.col("_pos") - F.lag("_pos").over(order) < size, 0).otherwise(1)
+    hits = hits.withColumn("_new", new).withColumn("_cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.struct(F.col("_pos").alias("pos"), F.col("_x0").alias("first"), F.col(last).alias("last"), F.col("_s").alias("s"))
+    folded = hits.groupBy(*keys, "_cluster").agg(F.array_sort(F.collect_list(start)).alias("_starts"))
+    kept = F.expr(f"""aggregate(_starts, slice(_starts, 1, 0), (done, c) ->
+        CASE WHEN size(done) = 0 OR c.pos >= element_at(done, -1).pos + {size} THEN concat(done, array(c)) ELSE done END)""")
+    return folded.select(*keys, F.explode(kept).alias("c")).select(*keys, "c.*")

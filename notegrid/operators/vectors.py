@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,17 +56,20 @@ def element_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def leave_one_out_medians(df: DataFrame, label: str, member: str, value: str) -> DataFrame:
-    """Median of every position over the other members of the class, from one
-    sort of each class and position (AGG-12); null if there are none."""
+    """Median of every position over the other members of the class (AGG-12);
+    null if there are none. One sort of each class and position: leaving out
+    a row moves the median among the three values in the middle, which windows
+    find without a list of the class."""
     each = df.select(label, member, F.posexplode(value).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    by = Window.partitionBy(label, "pos").orderBy("v", member)
-    each = each.withColumn("r", F.row_number().over(by))
-    lists = each.groupBy(label, "pos").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    each = each.join(lists, [label, "pos"])
-    left = F.expr("""transform(array(struct(size(vs) AS n, cast(floor(size(vs) / 2) AS int) AS m)), z -> CASE WHEN z.n = 1 THEN NULL
-        WHEN z.n % 2 = 0 THEN CASE WHEN r > z.m THEN get(vs, z.m - 1) ELSE get(vs, z.m) END
-        WHEN r <= z.m THEN (get(vs, z.m) + get(vs, z.m + 1)) / 2 WHEN r = z.m + 1 THEN (get(vs, z.m - 1) + get(vs, z.m + 1)) / 2 ELSE (get(vs, z.m - 1) + get(vs, z.m)) / 2 END)[0]""")
-    return each.select(label, member, "pos", "v", left.alias("loo"))
+    whole = Window.partitionBy(label, "pos")
+    each = each.withColumns({"r": F.row_number().over(whole.orderBy("v", member)), "n": F.count("*").over(whole)})
+    each = each.withColumn("m", F.expr("CAST(n DIV 2 AS INT)"))
+    middle = {name: F.max(F.when(F.col("r") == F.col("m") + k, F.col("v"))).over(whole) for k, name in enumerate(("low", "mid", "high"))}
+    left = (F.when(F.col("n") == 1, F.lit(None))
+            .when(F.col("n") % 2 == 0, F.when(F.col("r") > F.col("m"), F.col("low")).otherwise(F.col("mid")))
+            .when(F.col("r") <= F.col("m"), (F.col("mid") + F.col("high")) / 2)
+            .when(F.col("r") == F.col("m") + 1, (F.col("low") + F.col("high")) / 2).otherwise((F.col("low") + F.col("mid")) / 2))
+    return each.withColumns(middle).select(label, member, "pos", "v", left.alias("loo"))
 
 
 def grouped_ncc(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -113,3 +118,47 @@ def composite(strips: DataFrame, keys: list[str], offset: str, value: str) -> Da
     """Least value of overlapping strips at each place of the canvas (PRJ-21)."""
     each = strips.select(*keys, F.col(offset).alias("_o"), F.posexplode(value).alias("pos", "v"))
     return each.withColumn("x", F.col("_o") + F.col("pos")).groupBy(*keys, "x").agg(F.min("v").alias("v"))
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Zero-mean correlation of two arrays, 0 if one is flat (AGG-3)."""
+    a, b = a - a.mean(), b - b.mean()
+    size = float(np.sqrt((a * a).sum() * (b * b).sum()))
+    return float((a * b).sum()) / size if size > 0 else 0.0
+
+
+def thinned(members: list, most: int) -> list:
+    """At most ``most`` evenly spaced members, places rounded half to even (TOP-7)."""
+    return members if len(members) <= most else [members[int(i)] for i in np.rint(np.linspace(0, len(members) - 1, most))]
+
+
+def merge_similar(df: DataFrame, keys: list[str], order: str, value: str, least: float, most: int = 31) -> DataFrame:
+    """Neighbours merged while the next correlates by ``least`` with the median
+    of what is merged so far (WIN-11): keys, first and last ``order``, n.
+
+    The median is of at most ``most`` members, so each merge changes what the
+    next row is compared with: one pass over sorted rows, holding one run."""
+    width = len(keys)
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"a {kinds[order]}", f"b {kinds[order]}", "n int"])
+    names = [*keys, "a", "b", "n"]
+
+    def run(batches):
+        group, first, last, members, median = None, None, None, [], None
+        for pdf in batches:
+            done = []
+            for row in zip(*[pdf[c] for c in pdf.columns]):
+                own, at, v = row[:width], row[width], np.asarray(row[width + 1], dtype=float)
+                if own == group and correlation(median, v) >= least:
+                    last, members = at, [*members, v]
+                    median = np.median(np.stack(thinned(members, most)), axis=0)
+                else:
+                    if members:
+                        done.append((*group, first, last, len(members)))
+                    group, first, last, members, median = own, at, at, [v], v
+            yield pd.DataFrame(done, columns=names)
+        if members:
+            yield pd.DataFrame([(*group, first, last, len(members))], columns=names)
+
+    dealt = df.select(*keys, order, value).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInPandas(run, schema)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegrid.config import DEFAULTS
-from notegrid.operators import decide, match, ordered, vectors
+from notegrid.operators import decide, image, match, ordered, vectors
 from notegrid.plans.oracles import SQL as SQL
+from notegrid.sources.shared import new_path
+from notegrid.streaming.runs import anchored_runs_stream as runs_of_stream
 
 QUERIES: dict = {}
 TOL = 21_600_000_000  # six hours in microseconds
@@ -159,7 +161,7 @@ def template_median(spark, sf_dir):
 
 @query
 def template_loo(spark, sf_dir):
-    loo = vectors.leave_one_out_medians(table(spark, sf_dir, "embeddings").where("vec_id % 10 < 2"), "label", "vec_id", "embedding").where("loo IS NOT NULL")
+    loo = vectors.leave_one_out_medians(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").where("loo IS NOT NULL")
     return vectors.grouped_ncc(loo, ["label", "vec_id"], "v", "loo").select("label", "vec_id", F.round("ncc", 5).alias("class_ncc"))
 
 
@@ -323,3 +325,33 @@ def cache_lookup(spark, sf_dir):
 @query
 def draft_truth(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("string"), F.floor(micros("ts") / 1_000_000).alias("x"), (F.floor("value") % 25).alias("fret"))
+
+
+@query
+def even_rows(spark, sf_dir):
+    places = table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("x"))
+    return ordered.even_groups(places, ["user_id"], "x", "event_id", 0.8)
+
+
+@query
+def merge_pages(spark, sf_dir):
+    videos = table(spark, sf_dir, "embeddings").withColumn("video", F.expr("vec_id div 256"))
+    return vectors.merge_similar(videos, ["label", "video"], "vec_id", "embedding", 0.5)
+
+
+@query
+def components(spark, sf_dir):
+    ink = F.unhex(F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "00").otherwise("FF")), ""))
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("video_id"), F.lit(0).alias("k"), F.lit(8).alias("h"), F.lit(8).alias("w"), ink.alias("px"))
+    return image.marks(images).select(F.col("video_id").alias("vec_id"), "x0", "y0", "x1", "y1")
+
+
+@query
+def anchored_runs_stream(spark, sf_dir):
+    path, out = f"{sf_dir}/events.parquet", new_path(spark, "runs")
+    # as a glob, since a stream takes a plain path for a directory of files
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    runs = runs_of_stream(events, 60, 90)
+    sink = runs.writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
+    sink.start(out).awaitTermination()
+    return spark.read.schema(runs.schema).parquet(out)

@@ -89,7 +89,7 @@ SELECT b.vec_id, b.next_id, b.dx::INT AS shift, b.ncc, t.dx::INT AS second_shift
   CASE WHEN b.ncc < 0.8 THEN 'ncc' WHEN t.ncc IS NOT NULL AND round(b.ncc - t.ncc, 6) < 0.05 THEN 'ambiguous' END AS refused FROM b LEFT JOIN t ON t.vec_id = b.vec_id AND t.rn = 1"""
 SQL["template_median"] = """WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT label, pos::INT AS pos, round(median(v), 6) AS median FROM e GROUP BY label, pos"""
-SQL["template_loo"] = f"""WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id % 10 < 2),
+SQL["template_loo"] = f"""WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
 l AS (SELECT a.label, a.vec_id, a.pos, a.v, median(b.v) AS loo FROM e a JOIN e b ON a.label = b.label AND a.pos = b.pos AND a.vec_id <> b.vec_id GROUP BY ALL)
 SELECT label, vec_id, round({_NCC.format(a='v', b='loo')}, 5) AS class_ncc FROM l GROUP BY ALL"""
 SQL["template_read"] = f"""WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -154,3 +154,19 @@ SQL["cache_lookup"] = "SELECT d.doc_id, l.quality IS NOT NULL AS hit, coalesce(l
 SQL["draft_truth"] = "SELECT event_id, event_type AS string, epoch_us(ts) // 1000000 AS x, CAST(floor(value) AS BIGINT) % 25 AS fret FROM events"
 SQL["report_rows"] = f"""WITH {_READ} SELECT l_orderkey, count(*) AS notes, count_if(status IN ('verified', 'verified_reread'))::BIGINT AS verified,
   count_if(status IN ('verified', 'verified_reread')) || ' of ' || count(*) || ' numbers verified' AS header FROM x WHERE status <> 'ignored' GROUP BY l_orderkey HAVING count_if(status = 'flagged') > 0"""
+
+SQL["even_rows"] = f"""WITH RECURSIVE p AS (SELECT user_id, epoch_us(ts) AS x, row_number() OVER w - 1 AS pos, lag(epoch_us(ts)) OVER w AS b, {', '.join(f'lead(epoch_us(ts), {k}) OVER w AS x{k}' for k in range(1, 7))}
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+q AS (SELECT *, (x5 - x) / CAST(5 AS DOUBLE) AS s FROM p),
+h AS (SELECT *, coalesce(abs(x1 - x - s) <= 0.8::DOUBLE * s AND {' AND '.join(f'abs(x{k + 1} - x{k} - s) <= 0.8::DOUBLE * s' for k in range(1, 5))}, false)
+  AND NOT coalesce(abs(x - b - s) <= 0.8::DOUBLE * s, false) AND NOT coalesce(abs(x6 - x5 - s) <= 0.8::DOUBLE * s, false) AS hit FROM q),
+w AS (SELECT user_id, pos, hit AS chosen, CASE WHEN hit THEN 6 ELSE 0 END AS skip FROM h WHERE pos = 0
+  UNION ALL SELECT h.user_id, h.pos, h.hit AND w.skip <= 1, CASE WHEN w.skip > 1 THEN w.skip - 1 WHEN h.hit THEN 6 ELSE 0 END FROM w JOIN h ON h.user_id = w.user_id AND h.pos = w.pos + 1)
+SELECT h.user_id, h.pos::INT AS pos, h.x AS first, h.x5 AS last, h.s FROM h JOIN w ON h.user_id = w.user_id AND h.pos = w.pos WHERE w.chosen"""
+SQL["components"] = """WITH RECURSIVE px AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS v FROM embeddings),
+ink AS (SELECT vec_id, pos, pos % 8 AS x, pos // 8 AS y FROM px WHERE v > 0),
+near AS (SELECT a.vec_id, a.pos AS p, b.pos AS q FROM ink a JOIN ink b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach(vec_id, seed, pos) AS (SELECT vec_id, pos, pos FROM ink UNION SELECT r.vec_id, r.seed, n.q FROM reach r JOIN near n ON n.vec_id = r.vec_id AND n.p = r.pos),
+least AS (SELECT vec_id, pos, min(seed) AS root FROM reach GROUP BY ALL)
+SELECT i.vec_id, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1 FROM ink i JOIN least l ON i.vec_id = l.vec_id AND i.pos = l.pos GROUP BY i.vec_id, l.root"""
+SQL["anchored_runs_stream"] = "WITH r AS (" + SQL["anchored_runs"] + "), z AS (SELECT *, max(t1) OVER (PARTITION BY user_id) AS z, max(i1) OVER (PARTITION BY user_id, t1) AS zi FROM r) SELECT user_id, i0, i1, n FROM z WHERE NOT (t1 = z AND i1 = zi)"

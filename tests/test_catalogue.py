@@ -16,11 +16,15 @@ def db(sf_dir):
     return con
 
 
+#: Iterative; held against a loop in test_operators.
+NO_SQL = {"merge_pages"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == NO_SQL and not set(SQL) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     cur = db.execute(SQL[name])

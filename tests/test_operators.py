@@ -122,3 +122,67 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def even_starts(xs, tol, size=6):
+    out, i = [], 0
+    while i + size <= len(xs):
+        s = (xs[i + size - 1] - xs[i]) / (size - 1)
+        fits = lambda a, b: abs(b - a - s) <= tol * s
+        inside = all(fits(xs[k], xs[k + 1]) for k in range(i, i + size - 1))
+        if inside and not (i and fits(xs[i - 1], xs[i])) and not (i + size < len(xs) and fits(xs[i + size - 1], xs[i + size])):
+            out.append(i)
+            i += size
+        else:
+            i += 1
+    return out
+
+
+def test_even_groups_against_loop(spark):
+    rng = random.Random(11)
+    keys = {}
+    for k in range(60):
+        x, xs = 0.0, []
+        for _ in range(rng.randrange(0, 60)):
+            xs.append(x)
+            x += rng.choice((10, 10, 10, 10, 11, 14, 30))
+        keys[k] = xs
+    rows = [(k, i, x) for k, xs in keys.items() for i, x in enumerate(xs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    for tol in (0.15, 0.5):
+        got = {(r.k, r.pos) for r in ordered.even_groups(df, ["k"], "x", "i", tol).collect()}
+        assert got == {(k, i) for k, xs in keys.items() for i in even_starts(xs, tol)} and got
+    seven = spark.createDataFrame([(0, i, 10.0 * i) for i in range(7)], "k int, i int, x double")
+    assert ordered.even_groups(seven, ["k"], "x", "i", 0.15).count() == 0
+    assert ordered.even_groups(seven.limit(0), ["k"], "x", "i", 0.15).count() == 0
+
+
+def test_merge_similar_against_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(8):
+        base = rng.normal(size=12)
+        for i in range(40):
+            if rng.random() < 0.15:
+                base = rng.normal(size=12)
+            rows.append((k, i, (base + rng.normal(size=12) * 0.5).tolist()))
+    df = spark.createDataFrame(rows, "k int, i int, v array<double>")
+    want = set()
+    for k in range(8):
+        runs = []
+        for _, i, v in (r for r in rows if r[0] == k):
+            v = np.array(v)
+            if runs:
+                held = runs[-1]
+                picks = held if len(held) <= 5 else [held[round(j * (len(held) - 1) / 4)] for j in range(5)]
+                if np.corrcoef(np.median([p[1] for p in picks], axis=0), v)[0, 1] >= 0.7:
+                    held.append((i, v))
+                    continue
+            runs.append([(i, v)])
+        want |= {(k, r[0][0], r[-1][0], len(r)) for r in runs}
+    got = {tuple(r) for r in vectors.merge_similar(df, ["k"], "i", "v", 0.7, 5).collect()}
+    assert got == want and 8 < len(got) < 300
+    assert vectors.merge_similar(df.limit(0), ["k"], "i", "v", 0.7).count() == 0
