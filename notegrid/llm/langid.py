@@ -27,7 +27,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def grams(text: str) -> np.ndarray | None:
     """Hashed letter trigrams of a text, words padded by one space; None: no letter."""
     words = _LETTERS.findall(text.lower())
-    if not words:
+    if not any(map(str.isalpha, "".join(words))):  # a run of other numerals is no letter
         return None
     units = np.frombuffer(f" {' '.join(words)} ".encode("utf-16-le"), dtype=np.uint16).astype(np.uint32)
     mixed = units[:-2] * np.uint32(0x9E3779B1) ^ units[1:-1] * np.uint32(0x85EBCA77) ^ units[2:] * np.uint32(0xC2B2AE3D)

@@ -188,6 +188,40 @@ def test_contaminations(spark, rows, docs, empty):
     assert sorted(decontam.contaminations(docs, line).toPandas().doc_id.fillna(-1).tolist()) == [-1, 1, 2]
 
 
+def test_edited_items_are_found(sf_dir):
+    """Recall of the sampled coordinates against exact distances, for items edited up to the limit."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    rows = pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()
+    items = decontam.Items([(r["item_id"], r["text"]) for r in rows])
+    place = {name: k for k, name in enumerate(items.ids)}
+    texts, wanted = [], []
+    for r in rows:
+        if r["item_id"] not in place:
+            continue
+        most = decontam.allowed(len(items.lists[place[r["item_id"]]]))
+        for edits in (0, most // 2, most):
+            words = r["text"].split()
+            for _ in range(edits):
+                at, new = rng.randrange(len(words)), f"zq{rng.randrange(5000)}"
+                words[at:at + 1] = ([new], [], [new, words[at]])[rng.randrange(3)]
+            pad = [f"zq{rng.randrange(5000)}" for _ in range(80)]
+            texts.append(" ".join([*pad[:40], *words, *pad[40:]]).encode())
+            wanted.append((r["item_id"], most))
+    words, offsets = decontam.word_hashes(texts)
+    found = {(t, items.ids[i]): n for t, i, n, _, _ in items.search(words, offsets)}
+    near = exact = hits = 0
+    for t, (name, most) in enumerate(wanted):
+        distance, _ = decontam.best_match(items.lists[place[name]], words[offsets[t]:offsets[t + 1]].tolist())
+        if distance <= most:
+            near, hits = near + 1, hits + ((t, name) in found)
+        if distance == 0:
+            exact += 1
+            assert found[t, name] == 0
+    assert exact and hits >= 0.97 * near
+
+
 def test_language(spark, docs, rows, clashing, empty):
     sf = "/root/testdata/sf0.01"
     real = spark.read.parquet(f"{sf}/documents.parquet")
@@ -205,6 +239,11 @@ def test_language(spark, docs, rows, clashing, empty):
     assert langid.language_id(empty).collect() == [] and langid.in_known_language(empty).collect() == []
 
 
+def test_letters():
+    assert all(langid.grams(t) is None for t in ("", "12 34", "_ - !", "½ ²", "\u0660\u0661"))
+    assert all(langid.grams(t) is not None for t in ("a", "½ a", "ж1", "語"))
+
+
 def test_mixture_of_languages():
     rng = np.random.default_rng(2)
     tables = rng.dirichlet(np.full(50, 0.3), 3)
