@@ -19,6 +19,18 @@ class Thresholds:
     stitch_max_residual: float = 2.0
     stitch_exclude: int = 5
     max_fret: int = 24
+    line_min_cover: float = 0.5
+    line_spacing_tol: float = 0.15
+    bar_min_cover: float = 0.9
+    bar_merge: float = 0.5
+    bar_edge_max_cover: float = 0.5
+    extent_min_run: float = 1.0
+    mark_min_h: float = 0.4
+    mark_max_h: float = 1.2
+    mark_max_dy: float = 0.4
+    join_overlap: float = 0.7
+    join_gap: float = 0.35
+    report_pad: float = 2.0
 
 
 DEFAULTS = Thresholds()

@@ -54,17 +54,22 @@ def merge_spans(df: DataFrame, keys: list[str], a: str, b: str, gap, order: list
     return out.drop("_group").withColumn("centre", (F.col("a") + F.col("b")) / 2)
 
 
-def join_marks(df: DataFrame, keys: list[str], box: tuple[str, str, str, str], tie: str, overlap: float, gap: float) -> DataFrame:
+def join_marks(df: DataFrame, keys: list[str], box: tuple[str, str, str, str], tie: str, overlap: float, gap: float, scope: list[str] | None = None) -> DataFrame:
     """Marks of a line joined to the mark before if they overlap in height by
     ``overlap`` of the smaller and stand closer than ``gap`` median widths
-    (WIN-6, AGG-7, AGG-8). The median is over all marks, as the rule has it."""
+    (WIN-6, AGG-7, AGG-8). The median is over all marks, or over all of the same
+    ``scope``, columns that are never null."""
     x0, y0, x1, y1 = box
-    width = df.agg(F.median(F.col(x1) - F.col(x0) + 1).alias("_width"))
+    median = F.median(F.col(x1) - F.col(x0) + 1).alias("_width")
+    if scope:
+        df, width = df.join(df.groupBy(*scope).agg(median), scope), F.col("_width")
+    else:
+        width = df.agg(median).scalar()
     by = _over(keys, [x0, tie])
     p0, p1, px = (F.lag(c).over(by) for c in (y0, y1, x1))
     high = F.least(F.col(y1), p1) - F.greatest(F.col(y0), p0) + 1
     least = F.least(F.col(y1) - F.col(y0), p1 - p0) + 1
-    joined = (high >= F.lit(overlap) * least) & (F.col(x0) - px - 1 < F.lit(gap) * width.scalar())
+    joined = (high >= F.lit(overlap) * least) & (F.col(x0) - px - 1 < F.lit(gap) * width)
     marked = df.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
     marked = marked.withColumn("_note", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_note").agg(F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1"), F.count("*").alias("digits")).drop("_note")
