@@ -89,6 +89,28 @@ def read_template(scores: DataFrame, keys: list[str], least: float, margin: floa
     return out.withColumn("accepted", ok).drop("top")
 
 
+def template_scores(df: DataFrame, label: str, member: str, value: str, class_least: float, least_members: int) -> DataFrame:
+    """Correlation of every row with every class's template (AGG-12, FLT-10):
+    ``member``, digit, ncc.
+
+    A row under ``class_least`` with the median of its class without it is an
+    outlier and leaves the template; a class needs ``least_members`` rows after
+    that. A member meets its own class's template without itself, everything
+    else the whole one. Rows without a label are only read. Correlations are
+    rounded to six places, so that thresholds do not hang on summation order."""
+    loo = leave_one_out_medians(df.where(F.col(label).isNotNull()), label, member, value).where("loo IS NOT NULL")
+    outliers = grouped_ncc(loo, [member], "v", "loo").where(F.round("ncc", 6) < class_least).select(member)
+    kept = df.where(F.col(label).isNotNull()).join(outliers, member, "left_anti")
+    classes = kept.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_members).select(label)
+    kept = kept.join(classes, label)
+    own = grouped_ncc(leave_one_out_medians(kept, label, member, value), [member, label], "v", "loo").withColumnRenamed(label, "digit")
+    each = df.select(member, F.posexplode(value).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    whole = element_medians(kept, [label], value).withColumnRenamed(label, "digit")
+    mine = kept.select(F.col(member), F.col(label).alias("digit"))
+    other = grouped_ncc(each.join(whole, "pos"), [member, "digit"], "v", "median").join(mine, [member, "digit"], "left_anti")
+    return own.unionByName(other).select(member, "digit", F.round("ncc", 6).alias("ncc"))
+
+
 def otsu_levels(df: DataFrame, keys: list[str], level: str, levels: int = 256) -> DataFrame:
     """Smallest level that splits a key's histogram with the largest variance
     between classes (PRJ-2)."""

@@ -176,6 +176,14 @@ def template_read(spark, sf_dir):
     return out.select("vec_id", "digit", "best", margin.alias("margin"), ((F.col("best") >= 0.3) & (margin >= DEFAULTS.template_min_margin)).alias("accepted"))
 
 
+@query
+def template_digits(spark, sf_dir):
+    scores = vectors.template_scores(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.0, DEFAULTS.template_min_samples)
+    out = vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
+    margin = F.round("margin", 6)
+    return out.select("vec_id", "digit", "best", margin.alias("margin"), ((F.col("best") >= 0.3) & (margin >= DEFAULTS.template_min_margin)).alias("accepted"))
+
+
 @query
 def page_median(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("page", F.expr("vec_id div 31"))
@@ -336,7 +344,7 @@ def even_rows(spark, sf_dir):
 @query
 def merge_pages(spark, sf_dir):
     videos = table(spark, sf_dir, "embeddings").withColumn("video", F.expr("vec_id div 256"))
-    return vectors.merge_similar(videos, ["label", "video"], "vec_id", "embedding", 0.5)
+    return vectors.merge_similar(videos, ["label", "video"], "vec_id", "embedding", 0.1)
 
 
 @query

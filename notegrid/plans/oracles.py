@@ -170,3 +170,14 @@ reach(vec_id, seed, pos) AS (SELECT vec_id, pos, pos FROM ink UNION SELECT r.vec
 least AS (SELECT vec_id, pos, min(seed) AS root FROM reach GROUP BY ALL)
 SELECT i.vec_id, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1 FROM ink i JOIN least l ON i.vec_id = l.vec_id AND i.pos = l.pos GROUP BY i.vec_id, l.root"""
 SQL["anchored_runs_stream"] = "WITH r AS (" + SQL["anchored_runs"] + "), z AS (SELECT *, max(t1) OVER (PARTITION BY user_id) AS z, max(i1) OVER (PARTITION BY user_id, t1) AS zi FROM r) SELECT user_id, i0, i1, n FROM z WHERE NOT (t1 = z AND i1 = zi)"
+
+_LOO = "SELECT a.label, a.vec_id, a.pos, a.v, median(b.v) AS loo FROM {e} a JOIN {e} b ON a.label = b.label AND a.pos = b.pos AND a.vec_id <> b.vec_id GROUP BY ALL"
+SQL["template_digits"] = f"""WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
+l AS ({_LOO.format(e='e')}), o AS (SELECT vec_id FROM l GROUP BY vec_id HAVING round({_NCC.format(a='v', b='loo')}, 6) < 0.0),
+k AS (SELECT * FROM e WHERE vec_id NOT IN (SELECT vec_id FROM o)), c AS (SELECT label FROM k GROUP BY label HAVING count(DISTINCT vec_id) >= 3),
+m AS (SELECT k.* FROM k JOIN c USING (label)), own AS ({_LOO.format(e='m')}), t AS (SELECT label AS digit, pos, median(v) AS m FROM m GROUP BY ALL),
+s AS (SELECT vec_id, label AS digit, round({_NCC.format(a='v', b='loo')}, 6) AS ncc FROM own GROUP BY ALL
+  UNION ALL SELECT vec_id, digit, round({_NCC.format(a='v', b='m')}, 6) FROM e JOIN t USING (pos) WHERE (vec_id, digit) NOT IN (SELECT DISTINCT vec_id, label FROM m) GROUP BY vec_id, digit),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ncc DESC, digit DESC) AS rn FROM s)
+SELECT vec_id, max(digit) FILTER (WHERE rn = 1) AS digit, max(ncc) FILTER (WHERE rn = 1) AS best, round(max(ncc) FILTER (WHERE rn = 1) - max(ncc) FILTER (WHERE rn = 2), 6) AS margin,
+  max(ncc) FILTER (WHERE rn = 1) >= 0.3 AND round(max(ncc) FILTER (WHERE rn = 1) - max(ncc) FILTER (WHERE rn = 2), 6) >= 0.05 AS accepted FROM r GROUP BY vec_id"""
