@@ -8,8 +8,10 @@ keywords; detections that overlap are resolved by priority and containment.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,12 +132,20 @@ def places(line: bytes, phrase: bytes) -> list[int]:
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) that stay: in rule order, then the longer,
-    then the earlier first, one stays unless a kept one holds it or is held by it."""
+    then the earlier first, one stays unless a kept one holds it or is held by it.
+
+    No kept one holds another, so by start they are sorted by end as well, and
+    only the two beside a new one can hold it or be held by it."""
+    starts: list[int] = []
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in sorted(found, key=lambda d: (d[2].order, d[0] - d[1], d[0])):
-        if not any((a <= start and end <= b) or (start <= a and b <= end) for a, b, _ in kept):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda d: (d[0], d[1]))
+        at = bisect_left(starts, start)
+        before, after = kept[max(0, at - 1):at], kept[at:at + 1]
+        held = any(b >= end for _, b, _ in before) or any(b <= end or a == start for a, b, _ in after)
+        if not held:
+            starts.insert(at, start)
+            kept.insert(at, (start, end, rule))
+    return kept
 
 
 def scan(text: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
@@ -143,7 +153,14 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int,
     positions (end exclusive), with label (and score)."""
     words = text.translate(_WORDS).split()
     line = b" ".join(words)
-    at = lambda offset: line.count(b" ", 0, offset)
+    offsets: list[int] = []  # of the words, made for the first detection
+
+    def at(offset: int) -> int:
+        """The word at or before a byte offset."""
+        if not offsets:
+            offsets.extend(accumulate((len(w) + 1 for w in words[:-1]), initial=0))
+        return bisect_right(offsets, offset) - 1
+
     base = []
     for phrase, label in BASE:
         if phrase in line:
@@ -157,7 +174,7 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int,
             if keywords <= present:
                 for rule in own:
                     found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
-    kept = [(at(a), at(b) + 1, r.label, r.score) for a, b, r in resolve(found)] if found else []
+    kept = [(at(a), at(b - 1) + 1, r.label, r.score) for a, b, r in resolve(found)]
     return len(words), sorted(base), kept
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -172,6 +173,24 @@ def test_licenses(docs, rows, clashing, empty, spark, sf_dir):
     assert licenses.license_scan(clashing).count() == len(rows)
 
 
+def test_license_overlaps():
+    rng = random.Random(8)
+    some = licenses.rules()[:9]
+    for _ in range(300):
+        found = [(a, a + rng.randrange(1, 12), rng.choice(some)) for a in (rng.randrange(40) for _ in range(rng.randrange(12)))]
+        kept = []
+        for a, b, r in sorted(found, key=lambda d: (d[2].order, d[0] - d[1], d[0])):
+            if not any((x <= a and b <= y) or (a <= x and y <= b) for x, y, _ in kept):
+                kept.append((a, b, r))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: d[:2])
+
+
+def test_license_in_a_long_text():
+    n, base, kept = licenses.scan(b"Released under the MIT License. " * 40_000)
+    assert n == 200_000 and [b[0] for b in base] == list(range(1, n, 5)) and len(kept) == 40_000
+    assert [k[:3] for k in kept] == [(5 * k + 1, 5 * k + 5, "mit") for k in range(40_000)]
+
+
 def test_license_rules():
     assert len(licenses.rules()) >= 250
     kept = lambda t: [(d[2], d[3]) for d in licenses.scan(t.encode())[2]]
