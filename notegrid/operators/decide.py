@@ -81,3 +81,43 @@ def place_in_rows(notes: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     rows = rows.join(last, keys)
     inside = (F.col("x") >= F.col("x0")) & ((F.col("x") < F.col("x1")) | ((F.col("r") == F.col("_last")) & (F.col("x") == F.col("x1"))))
     return notes.join(rows, keys).where(inside).drop("_last")
+
+
+RESPONSE = ("STRUCT<prompt_feedback: STRUCT<block_reason: STRING>, candidates: ARRAY<STRUCT<finish_reason: STRING, "
+            "content: STRUCT<parts: ARRAY<STRUCT<text: STRING, thought: BOOLEAN>>>>>>")
+
+
+def check_responses(df: DataFrame, response: str, ids: str, most: int) -> DataFrame:
+    """``df`` plus reason, the first why a recorded answer is no reading of
+    exactly ``ids`` (JSN-2, JSN-6, RED-1), and readings, its (id, fret), null if
+    there is a reason. Parts of an answer that are thoughts are not text."""
+    r = F.from_json(F.col(response), RESPONSE)
+    found = F.coalesce(F.size(F.col("_r.candidates")), F.lit(0))
+    one = F.get(F.col("_r.candidates"), F.lit(0))
+    said = F.filter(F.col("_one.content.parts"), lambda p: ~F.coalesce(p["thought"], F.lit(False)))
+    out = df.withColumn("_r", r).withColumn("_one", one)
+    out = out.withColumn("_answer", F.coalesce(F.array_join(F.transform(said, lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.lit("")))
+    out = json_check(out, "_answer", most).withColumnRenamed("reason", "_bad")
+    out = out.withColumn("_got", F.from_json("_answer", "notes ARRAY<STRUCT<id: BIGINT, fret: INT>>")["notes"])
+    got = F.array_sort(F.col("_got.id"))
+    blocked = F.coalesce(F.col("_r.prompt_feedback.block_reason"), F.lit(""))
+    reason = (F.when(blocked != "", "blocked").when(F.greatest(found, F.lit(0)) != 1, "candidates")
+              .when(~F.col("_one.finish_reason").eqNullSafe(F.lit("STOP")), "finish").when(F.col("_answer") == "", "no text")
+              .when(F.col("_bad").isNotNull(), F.col("_bad")).when(~got.eqNullSafe(F.array_sort(F.col(ids).cast("array<bigint>"))), "ids"))
+    out = out.withColumn("reason", reason).withColumn("readings", F.when(F.col("reason").isNull(), F.col("_got")))
+    return out.drop("_r", "_one", "_answer", "_bad", "_got")
+
+
+def scattered(checked: DataFrame, keys: list[str], ids: str) -> DataFrame:
+    """A row per wanted id: its fret, and whether its answer was valid (RED-1).
+    {null, valid} says 'not a number', {null, not valid} says nothing."""
+    rows = checked.select(*keys, F.explode(ids).alias("id"), "readings")
+    fret = F.get(F.filter("readings", lambda n: n["id"] == F.col("id")), F.lit(0))["fret"]
+    return rows.select(*keys, "id", fret.alias("fret"), F.col("readings").isNotNull().alias("valid"))
+
+
+def note_readings(digits: DataFrame, keys: list[str], pos: str, digit: str, most: int) -> DataFrame:
+    """A note read digit by digit: its text, '?' where a digit was not read, and
+    the fret that spells (RED-2, STR-5)."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.coalesce(F.col(digit), F.lit("?")).alias("digit"))))
+    return digits.groupBy(*keys).agg(F.array_join(each["digit"], "").alias("text")).withColumn("fret", fret_of("text", most))

@@ -288,6 +288,35 @@ def json_validate(spark, sf_dir):
     return decide.json_check(rows, "t", DEFAULTS.max_fret).select("event_id", "reason")
 
 
+#: Answers to a call for ids 1 and 2: what the prompt, the candidate and its text are.
+ANSWERS = (
+    '{"candidates": [{"finish_reason": "STOP", "content": {"parts": [{"text": "hm", "thought": true}, {"text": "{\\"notes\\": [{\\"id\\": 2, \\"fret\\": 7}, "}, {"text": "{\\"id\\": 1, \\"fret\\": null}]}"}]}}]}',
+    '{"prompt_feedback": {"block_reason": "SAFETY"}, "candidates": []}',
+    '{"candidates": []}',
+    '{"candidates": [{"finish_reason": "MAX_TOKENS", "content": {"parts": [{"text": "{}"}]}}]}',
+    '{"candidates": [{"finish_reason": "STOP", "content": {"parts": [{"text": "hm", "thought": true}]}}]}',
+    '{"candidates": [{"finish_reason": "STOP", "content": {"parts": [{"text": "sorry"}]}}]}',
+    '{"candidates": [{"finish_reason": "STOP", "content": {"parts": [{"text": "{\\"notes\\": [{\\"id\\": 1, \\"fret\\": 31}]}"}]}}]}',
+    '{"candidates": [{"finish_reason": "STOP", "content": {"parts": [{"text": "{\\"notes\\": [{\\"id\\": 1, \\"fret\\": 3}, {\\"id\\": 3, \\"fret\\": 3}]}"}]}}]}',
+)
+
+
+@query
+def grid_readings(spark, sf_dir):
+    k = F.col("o_orderkey") % len(ANSWERS)
+    text = F.get(F.array(*[F.lit(a) for a in ANSWERS]), k.cast("int"))
+    calls = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("response"), F.array(F.lit(1), F.lit(2)).alias("ids"))
+    checked = decide.check_responses(calls, "response", "ids", DEFAULTS.max_fret)
+    return decide.scattered(checked, ["o_orderkey", "reason"], "ids").select("o_orderkey", "id", "fret", "valid", "reason")
+
+
+@query
+def note_frets(spark, sf_dir):
+    number = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split((F.col("p_partkey") % 120).cast("string"), "")).alias("pos", "c")).where("c <> ''")
+    digits = number.withColumn("digit", F.when(F.col("c") != "7", F.col("c")))
+    return decide.note_readings(digits, ["p_partkey"], "pos", "digit", DEFAULTS.max_fret)
+
+
 @query
 def id_sets(spark, sf_dir):
     got = F.when(F.col("l_partkey") % 13 == 0, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber"))

@@ -181,3 +181,9 @@ s AS (SELECT vec_id, label AS digit, round({_NCC.format(a='v', b='loo')}, 6) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ncc DESC, digit DESC) AS rn FROM s)
 SELECT vec_id, max(digit) FILTER (WHERE rn = 1) AS digit, max(ncc) FILTER (WHERE rn = 1) AS best, round(max(ncc) FILTER (WHERE rn = 1) - max(ncc) FILTER (WHERE rn = 2), 6) AS margin,
   max(ncc) FILTER (WHERE rn = 1) >= 0.3 AND round(max(ncc) FILTER (WHERE rn = 1) - max(ncc) FILTER (WHERE rn = 2), 6) >= 0.05 AS accepted FROM r GROUP BY vec_id"""
+
+SQL["grid_readings"] = """WITH c AS (SELECT o_orderkey, unnest([1, 2]) AS id, o_orderkey % 8 AS k FROM orders)
+SELECT o_orderkey, id, CASE WHEN k = 0 AND id = 2 THEN 7 END AS fret, k = 0 AS valid,
+  CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'candidates' WHEN 3 THEN 'finish' WHEN 4 THEN 'no text' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'schema' WHEN 7 THEN 'ids' END AS reason FROM c"""
+SQL["note_frets"] = """WITH t AS (SELECT p_partkey, replace(CAST(p_partkey % 120 AS VARCHAR), '7', '?') AS text FROM part)
+SELECT p_partkey, text, CASE WHEN try_cast(text AS INT) <= 24 THEN try_cast(text AS INT) END AS fret FROM t"""
