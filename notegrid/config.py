@@ -18,6 +18,9 @@ class Thresholds:
     stitch_min_margin: float = 0.05
     stitch_max_residual: float = 2.0
     stitch_exclude: int = 5
+    stitch_min_overlap: float = 0.08
+    light_min_level: float = 128.0
+    line_y_match: float = 1.0
     max_fret: int = 24
     line_min_cover: float = 0.5
     line_spacing_tol: float = 0.15
