@@ -79,6 +79,26 @@ def metrics(matched: DataFrame, truth: DataFrame, pred: DataFrame, width: float,
                       "x_error_median", "x_error_max", share(F.col("flagged"), F.col("n_pred")).alias("flag_rate"), share(F.col("flagged_errors"), F.col("flagged")).alias("flag_precision"))
 
 
+def metrics_by(matched: DataFrame, truth: DataFrame, pred: DataFrame, keys: list[str], by: str, width: str) -> DataFrame:
+    """The metrics of :func:`metrics` for each ``by`` (one of ``keys``, as is
+    ``width``), from one aggregation over hits, misses and extras. A ``by`` with
+    notes on one side only has its row; one without any has none."""
+    t, p = truth.withColumnRenamed("fret", "true_fret").drop("x"), pred.drop("x")
+    hit = matched.select(*keys, "i", "j", "dx").join(t, [*keys, "i"]).join(p, [*keys, "j"])
+    none = F.lit(None).cast("double")
+    hit = hit.select(by, F.lit("hit").alias("kind"), (~F.col("true_fret").eqNullSafe(F.col("fret"))).alias("wrong"), "flagged", (F.col("dx") / F.col(width)).alias("error"))
+    extra = p.join(matched.select(*keys, "j"), [*keys, "j"], "left_anti").select(by, F.lit("extra").alias("kind"), F.lit(False).alias("wrong"), "flagged", none.alias("error"))
+    missing = t.join(matched.select(*keys, "i"), [*keys, "i"], "left_anti").select(by, F.lit("missing").alias("kind"), F.lit(False).alias("wrong"), F.lit(False).alias("flagged"), none.alias("error"))
+    is_hit, bad = F.col("kind") == "hit", F.col("wrong") | (F.col("kind") == "extra")
+    out = hit.unionByName(extra).unionByName(missing).groupBy(by).agg(
+        F.count_if(is_hit).alias("matched"), F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "extra").alias("extra"), F.count_if("wrong").alias("wrong_fret"),
+        F.count_if(F.col("kind").eqNullSafe("missing") | (bad & ~F.col("flagged"))).alias("unflagged_errors"), F.count_if("flagged").alias("flagged"), F.count_if(bad & F.col("flagged")).alias("flagged_errors"),
+        F.median("error").alias("x_error_median"), F.max("error").alias("x_error_max"))
+    n_true, n_pred, share = F.col("matched") + F.col("missing"), F.col("matched") + F.col("extra"), F.try_divide
+    return out.withColumns({"recall": share("matched", n_true), "precision": share("matched", n_pred), "fret_accuracy": share(F.col("matched") - F.col("wrong_fret"), F.col("matched")),
+                            "unflagged_frac": share("unflagged_errors", n_true), "flag_rate": share("flagged", n_pred), "flag_precision": share("flagged_errors", "flagged")})
+
+
 def targets_failed(measured: DataFrame, targets=TARGETS) -> DataFrame:
     """Targets that a metric misses; a null always misses (FLT-15)."""
     spark: SparkSession = measured.sparkSession
