@@ -34,6 +34,9 @@ class Thresholds:
     join_overlap: float = 0.7
     join_gap: float = 0.35
     report_pad: float = 2.0
+    diff_level: int = 25
+    still_frame: float = 0.02
+    still_drift: float = 0.03
 
 
 DEFAULTS = Thresholds()

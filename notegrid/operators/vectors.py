@@ -144,9 +144,9 @@ def composite(strips: DataFrame, keys: list[str], offset: str, value: str) -> Da
 
 def correlation(a: np.ndarray, b: np.ndarray) -> float:
     """Zero-mean correlation of two arrays, 0 if one is flat (AGG-3)."""
-    a, b = a - a.mean(), b - b.mean()
-    size = float(np.sqrt((a * a).sum() * (b * b).sum()))
-    return float((a * b).sum()) / size if size > 0 else 0.0
+    x, y = (np.ravel(v) - np.mean(v) for v in (a, b))
+    scale = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(np.dot(x, y) / scale) if scale else 0.0
 
 
 def thinned(members: list, most: int) -> list:
