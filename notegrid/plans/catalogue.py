@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from notegrid.config import DEFAULTS
 from notegrid.operators import decide, image, match, ordered, vectors
 from notegrid.plans.oracles import SQL as SQL
+from notegrid.sources import inputs
 from notegrid.sources.shared import new_path
 from notegrid.streaming.runs import anchored_runs_stream as runs_of_stream
 
@@ -346,6 +347,20 @@ def url_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})", 1).alias("video"), F.regexp_extract(u, r"([^/?#]+?)(?:\.[a-z]+)?/?(?:[?#].*)?$", 1).alias("stem"), u.startswith("https://").alias("secure"))
 
 
+CROPS = ("0,0,1920,484", " 10, 20 ,30,40", "0,0,0,5", "1,2,3", "1000,0,1000,10", "a,b,c,d")
+
+
+@query
+def job_checks(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.lpad(k.cast("string"), 11, "x")
+    source = F.when(k % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), name)).when(k % 4 == 1, F.concat(F.lit("https://example.org/"), k.cast("string"))).otherwise(F.concat(F.lit("clips/take."), k.cast("string"), F.lit(".mp4")))
+    crop = F.get(F.array(*[F.lit(c) for c in CROPS], F.lit(None)), (k % 7).cast("int"))
+    layout = F.when(k % 5 == 1, "scroll").when(k % 5 != 2, "paged-strip")
+    jobs = table(spark, sf_dir, "part").select("p_partkey", source.alias("source"), crop.alias("crop"), layout.alias("layout"), F.lit(1920).alias("width"), F.when(k % 11 != 0, 1080).alias("height"))
+    return inputs.job_refusals(jobs).select("p_partkey", "video_id", F.col("area.x").alias("x"), F.col("area.w").alias("w"), "refused")
+
+
 @query
 def content_keys(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))

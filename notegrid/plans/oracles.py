@@ -187,3 +187,8 @@ SELECT o_orderkey, id, CASE WHEN k = 0 AND id = 2 THEN 7 END AS fret, k = 0 AS v
   CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'candidates' WHEN 3 THEN 'finish' WHEN 4 THEN 'no text' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'schema' WHEN 7 THEN 'ids' END AS reason FROM c"""
 SQL["note_frets"] = """WITH t AS (SELECT p_partkey, replace(CAST(p_partkey % 120 AS VARCHAR), '7', '?') AS text FROM part)
 SELECT p_partkey, text, CASE WHEN try_cast(text AS INT) <= 24 THEN try_cast(text AS INT) END AS fret FROM t"""
+
+SQL["job_checks"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lpad(CAST(p_partkey AS VARCHAR), 11, 'x') WHEN 1 THEN NULL ELSE 'take.' || p_partkey END AS video_id,
+  CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 4 THEN 1000 END AS x, CASE p_partkey % 7 WHEN 0 THEN 1920 WHEN 1 THEN 30 WHEN 4 THEN 1000 END AS w,
+  CASE WHEN p_partkey % 4 = 1 THEN 'no video id' WHEN p_partkey % 7 = 6 THEN 'no crop' WHEN p_partkey % 7 IN (2, 3, 5) THEN 'bad crop' WHEN p_partkey % 5 = 2 THEN 'no layout'
+    WHEN p_partkey % 5 = 1 THEN 'unknown layout' WHEN p_partkey % 11 = 0 THEN 'no frames' WHEN p_partkey % 7 = 4 THEN 'outside' END AS refused FROM part"""

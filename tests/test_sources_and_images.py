@@ -103,3 +103,18 @@ def test_stream_equals_batch(spark, tmp_path):
     every = {(r.user_id, r.i0, r.i1, r.n) for r in anchored_runs(batch, ["user_id"], "ts", "event_id", "value", 60, 90).collect()}
     last = {max((r for r in every if r[0] == u), key=lambda r: r[2]) for u in range(3)}
     assert got == every - last
+
+
+def test_inputs(spark, tmp_path):
+    from notegrid.sources import inputs
+
+    sources = {"https://youtu.be/abcdefghijk": "abcdefghijk", "https://www.youtube.com/shorts/ABC-_efghij?x=1": "ABC-_efghij", "http://h/embed/abcdefghij": None,
+               "a/b.c/take.two.mp4": "take.two", "take": "take", ".hidden": ".hidden", "/x/clip.mp4/": "clip"}
+    df = spark.createDataFrame([(k,) for k in sources], "source string")
+    assert {r.source: r.id for r in df.select("source", inputs.video_id("source").alias("id")).collect()} == sources
+    crops = {"0,0,1920,484": (0, 0, 1920, 484), " 1 ,+2,3, 4": (1, 2, 3, 4), "-1,0,5,5": None, "0,0,5,0": None, "1,2,3": None, "1,2,3,4,5": None, "1.0,2,3,4": None, "": None, "99999999999,0,1,1": None}
+    df = spark.createDataFrame([(k,) for k in crops], "c string")
+    assert {r.c: r.a and tuple(r.a) for r in df.select("c", inputs.crop_of("c").alias("a")).collect()} == crops
+    (tmp_path / "v2.args").write_text("--crop 0,0,1920,484 --layout 'paged-strip'\n")
+    (tmp_path / "v1.args").write_text("--layout 'a b'")
+    assert [tuple(r) for r in inputs.read_args(spark, f"{tmp_path}/*.args").collect()] == [("v1", ["--layout", "a b"]), ("v2", ["--crop", "0,0,1920,484", "--layout", "paged-strip"])]
