@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegrid.llm import decontam, langid, mixing, sharding, simhash
+from notegrid.llm import decontam, langid, mixing, nearcopies, sharding
 from notegrid.llm.common import new_path
 
 
@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more."""
+    return nearcopies.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +130,14 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     stand_in = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(doc_id))
     slim = docs.select(F.col(doc_id).alias("doc_id"), stand_in.cast("long").alias("_ng_key"), F.col(text).alias("text"))
     thin = stage(fingerprints(slim).drop("text"), "simhash-fps")
+    return labelled(thin, links, "simhash")
+
+
+def labelled(thin: DataFrame, links: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Rows (doc_id, _ng_key, fp) with the component of their fp over the links of the distinct fps."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("_ng_key").alias("key"))).alias("first")
-    fps = stage(thin.groupBy("fp").agg(first), "simhash-distinct")
-    roots = components(links(fps), "simhash")
+    fps = stage(thin.groupBy("fp").agg(first), f"{label}-distinct")
+    roots = components(links(fps), label)
     placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("least"))
     labels = placed.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("_ng_fp"), "least")
@@ -149,7 +154,11 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with one document of each group: the row of its smallest id. If
     rows repeat that id, one of them stays (the smallest text hash). Columns
     are those of ``docs``."""
-    groups = grouped(docs, text, doc_id)
+    return one_of_each(docs, grouped(docs, text, doc_id), text, doc_id)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with one row of each group of :func:`labelled`; see :func:`deduplicated`."""
     keep = groups.where((F.col("_ng_key") == F.col("_ng_least")) & (F.col("doc_id").isNull() == F.col("_ng_absent")))
     keep = keep.groupBy(F.col("_ng_key").alias("_ng_keep"), F.col("_ng_absent").alias("_ng_none")).agg(F.count("*").alias("_ng_rows"))
     key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(doc_id)).cast("long")

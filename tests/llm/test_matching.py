@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from notegrid.llm import decontam, golay, htmltext, langid, pii, simhash
+from notegrid.llm import decontam, golay, htmltext, langid, nearcopies, pii, simhash
 
 
 def brute_fingerprint(text):
@@ -395,3 +395,44 @@ def test_pipeline(spark, tmp_path):
     names = brute_shards(hashes, 1 << 20)
     assert sorted(got) == sorted((*r, names[h[0]]) for r, h in zip(left, hashes))
     assert "corpus_pipeline" in sys.modules
+
+
+def test_near_copies(spark, clashing, empty):
+    """The stage's groups against brute-force Jaccard over 5-word shingles, with a group over PAIR_BUCKET."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [" ".join(word() for _ in range(rng.choice((3, 30, 120)))) for _ in range(40)]
+    for base in [texts[k] for k in range(0, 40, 3)]:
+        for edits in (0, 1, 2, 4, 8):
+            words = base.split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    hot = [word() for _ in range(200)]
+    for _ in range(90):
+        words = list(hot)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(200)] = word()
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(1000, None), (1001, " "), (1002, "")]
+    grams = [{" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    want = [rows[k] for k in range(len(rows)) if find(k) == k]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = pytest.importorskip("corpus_pipeline").near_duplicates
+    assert sorted(map(tuple, stage(spark, table, "").collect())) == sorted(want)
+    kept = nearcopies.deduplicated(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]
+    assert nearcopies.deduplicated(empty).collect() == []
