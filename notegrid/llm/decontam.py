@@ -1,9 +1,9 @@
 """Operator 10: benchmark decontamination by edit distance on word windows.
 
-Windows as long as a benchmark item pass a q-gram count (a bound that no
-window within the edit limit fails), are embedded by CGK random walks, which
-turn edit distance into Hamming distance, and meet items by repeated sampling
-of coordinates. Meetings are verified by exact edit distance.
+Windows as long as a benchmark item pass a q-gram count, first against all
+items of the length and then against each item: a bound that no part of a text
+within the edit limit fails. All that pass are verified by exact edit distance,
+so nothing is sampled and an item of any length is found.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from notegrid.llm.arrow import blocks, utf8
 
 #: Edits allowed for each word of an item, and the items that must match exactly or are too short to look for.
 RATE, EXACT_BELOW, SHORTEST = 0.2, 8, 5
-#: Random walks, samples of each, and coordinates in a sample.
-WALKS, SAMPLES, COORDINATES = 8, 6, 4
 #: Benchmark text that is held in memory at once; larger benchmarks are searched in blocks.
 BLOCK = 8 << 20
 _LUT = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
+#: Marked positions whose items are listed at once.
+STEP = 100_000
 _FILTER_BITS = 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -79,38 +79,6 @@ def trigrams(words: np.ndarray) -> np.ndarray:
         return (mixed * _M2) >> np.uint64(64 - _FILTER_BITS)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, n: int, walk: int, steps: int) -> np.ndarray:
-    """CGK embedding, up to ``steps`` coordinates, of the windows of n words at
-    ``starts``: at each step a window emits its current word and moves on if a
-    random bit of (walk, step, word) says so; past its end it emits 0."""
-    at = np.zeros(len(starts), dtype=np.int64)
-    out = np.zeros((steps, len(starts)), dtype=np.uint64)
-    padded = np.concatenate([words, np.zeros(1, np.uint64)])
-    with np.errstate(over="ignore"):
-        for j in range(steps):
-            current = np.where(at < n, padded[np.minimum(starts + at, len(words))], np.uint64(0))
-            out[j] = current
-            coin = (current ^ np.uint64((walk * 1_000_003 + j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * _M2
-            at += ((coin >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-    return out
-
-
-def sample_keys(words: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(repetition, keys): WALKS x SAMPLES times, a hash of COORDINATES random
-    coordinates of each window's embedding; of its 3n coordinates the first 2n,
-    as a walk of n words ends about there and only padding follows."""
-    for walk in range(WALKS):
-        picks = np.random.default_rng((n, walk)).integers(0, 2 * n, (SAMPLES, COORDINATES))
-        embedded = embed(words, starts, n, walk, int(picks.max()) + 1)
-        for s in range(SAMPLES):
-            key = np.zeros(len(starts), np.uint64)
-            with np.errstate(over="ignore"):
-                for c in picks[s]:
-                    key = (key ^ embedded[c]) * _M1
-                    key ^= key >> np.uint64(32)
-            yield walk * SAMPLES + s, key
-
-
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     """(distance, end): the least edit distance of the item to any part of the
     text and the first end that reaches it (Myers' bit rows)."""
@@ -157,13 +125,10 @@ class Items:
         for place, members in enumerate(self.lengths.values()):
             for k in members:
                 self.filter[trigrams(self.words[k])] |= np.uint64(1 << place % 64)
-        self.buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: distinct (trigram, item), sorted
         for n, members in self.lengths.items():
-            joined = np.concatenate([self.words[k] for k in members])
-            for turn, keys in sample_keys(joined, np.arange(len(members)) * n, n):
-                table = self.buckets.setdefault((n, turn), {})
-                for k, key in zip(members, keys.tolist()):
-                    table.setdefault(key, []).append(k)
+            pairs = np.unique(np.concatenate([trigrams(self.words[k]).astype(np.int64) << 32 | k for k in members]))
+            self.grams[n] = pairs >> 32, pairs & 0xFFFFFFFF
         self.lists = [own.tolist() for own in self.words]
 
     def search(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -171,7 +136,8 @@ class Items:
         found in each text, by word positions."""
         if len(words) < SHORTEST or not self.words:
             return []
-        marks = self.filter[trigrams(words)]
+        grams = trigrams(words)
+        marks = self.filter[grams]
         for edge in offsets[1:-1]:  # no window spans two texts
             marks[max(0, edge - 2):edge] = 0
         hot = np.flatnonzero(marks)
@@ -181,25 +147,28 @@ class Items:
             need, own = shared_at_least(n), hot[(marks >> np.uint64(place % 64) & np.uint64(1)).astype(bool)]
             if len(own) < need:
                 continue
-            first, last = own[:len(own) - need + 1], own[need - 1:]
-            close = last - first <= n - 3
-            first, last = first[close], last[close]
-            text = np.searchsorted(offsets, first, side="right") - 1
-            one = last < offsets[text + 1]
-            first, last, text = first[one], last[one], text[one]
+            first, last, _ = self._close(own, np.zeros(len(own), np.int64), need, n, offsets)
             if not len(first):
                 continue
-            # every start whose window holds these shared trigrams
-            low = np.maximum(last - (n - 3), offsets[text])
-            spread = first - low + 1
-            near = np.unique(np.repeat(low, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread))
-            owner = np.searchsorted(offsets, near, side="right") - 1
-            stops = offsets[owner + 1]
-            for turn, keys in sample_keys(np.concatenate([words, np.zeros(n, np.uint64)]), near, n) if (near + n <= stops).all() else self._cut(words, near, stops, n):
-                table = self.buckets[n, turn]
-                for at in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))).tolist():
-                    for item in table[int(keys[at])]:
-                        found.setdefault((int(owner[at]), item), []).append(int(near[at]))
+            # the marked positions of such windows, each with the items that have its trigram
+            depth = np.zeros(len(own) + 1, np.int64)
+            np.add.at(depth, np.searchsorted(own, first), 1)
+            np.add.at(depth, np.searchsorted(own, last) + 1, -1)
+            own = own[np.cumsum(depth)[:-1] > 0]
+            for part in range(0, len(own), STEP):
+                # windows reach into the next step by less than n positions
+                at = own[part:np.searchsorted(own, own[min(part + STEP, len(own)) - 1] + n)]
+                keys, items = self.grams[n]
+                low = np.searchsorted(keys, grams[at].astype(np.int64))
+                many = np.searchsorted(keys, grams[at].astype(np.int64), side="right") - low
+                held = items[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                at = np.repeat(at, many)
+                order = np.lexsort((at, held))
+                first, last, item = self._close(at[order], held[order], need, n, offsets)
+                text = np.searchsorted(offsets, first, side="right") - 1
+                start = np.maximum(last - (n - 3), offsets[text])
+                for t, i, a, b in zip(text.tolist(), item.tolist(), start.tolist(), first.tolist()):
+                    found.setdefault((t, i), []).extend((a, b))
         out = []
         for (text, item), starts in sorted(found.items()):
             best = self._verify(words, int(offsets[text]), int(offsets[text + 1]), item, sorted(set(starts)))
@@ -208,11 +177,15 @@ class Items:
         return out
 
     @staticmethod
-    def _cut(words, near, stops, n):
-        """Windows that reach past their text's end, padded with zeros of their own."""
-        grid = near[:, None] + np.arange(n)[None, :]
-        padded = np.where(grid < stops[:, None], words[np.minimum(grid, len(words) - 1)], np.uint64(0))
-        return sample_keys(padded.ravel(), np.arange(len(near)) * n, n)
+    def _close(at, items, need, n, offsets):
+        """(first, last, item) of every run of ``need`` positions of an item that a window of n words in one text holds."""
+        if len(at) < need:
+            return at[:0], at[:0], items[:0]
+        first, last, item = at[:len(at) - need + 1], at[need - 1:], items[:len(at) - need + 1]
+        keep = (item == items[need - 1:]) & (last >= first) & (last - first <= n - 3)
+        first, last, item = first[keep], last[keep], item[keep]
+        one = last < offsets[np.searchsorted(offsets, first, side="right")]
+        return first[one], last[one], item[one]
 
     def _verify(self, words, low, high, item, starts):
         """Exact edit distance around the candidate starts."""

@@ -436,3 +436,23 @@ def test_near_copies(spark, clashing, empty):
     assert kept.columns == clashing.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]
     assert nearcopies.deduplicated(empty).collect() == []
+
+
+def test_long_edited_items_are_found():
+    """Every item of 100 to 500 words within its limit, among items of its length."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(40000)}"
+    given = [[word() for _ in range(n)] for n in (100, 250, 500) for _ in range(8)]
+    items = decontam.Items([(k, " ".join(w)) for k, w in enumerate(given)])
+    texts, wanted = [], []
+    for k, own in enumerate(given):
+        for share in (0.1, 0.15, 0.2):
+            words = list(own)
+            for _ in range(int(share * len(own))):
+                at = rng.randrange(len(words))
+                words[at:at + 1] = ([word()], [], [word(), words[at]])[rng.randrange(3)]
+            texts.append(" ".join([*[word() for _ in range(300)], *words, *[word() for _ in range(200)]]).encode())
+            wanted.append(k)
+    words, offsets = decontam.word_hashes(texts)
+    found = {(t, items.ids[i]) for t, i, _, _, _ in items.search(words, offsets)}
+    assert found == set(enumerate(wanted))
