@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from notegrid.llm.arrow import blocks, utf8
 
-#: Edits allowed for each word of an item, and the items that must match exactly or are too short to look for.
-RATE, EXACT_BELOW, SHORTEST = 0.2, 8, 5
+#: Edits allowed for each word of an item, and the words below which an item is met by its pieces, not by trigrams.
+RATE, SHORT = 0.2, 8
 #: Benchmark text that is held in memory at once; larger benchmarks are searched in blocks.
 BLOCK = 8 << 20
 _LUT = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -64,7 +64,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def allowed(n: int) -> int:
     """Edits allowed for an item of n words."""
-    return int(RATE * n) if n >= EXACT_BELOW else 0
+    return int(RATE * n)
 
 
 def shared_at_least(n: int) -> int:
@@ -79,6 +79,16 @@ def trigrams(words: np.ndarray) -> np.ndarray:
         return (mixed * _M2) >> np.uint64(64 - _FILTER_BITS)
 
 
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ words[k:k + len(out)]) * _M1
+            out ^= out >> np.uint64(32)
+    return out
+
+
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     """(distance, end): the least edit distance of the item to any part of the
     text and the first end that reaches it (Myers' bit rows)."""
@@ -115,12 +125,20 @@ class Items:
         self.ids, self.words = [], []
         for k, (name, _) in enumerate(rows):
             own = words[offsets[k]:offsets[k + 1]]
-            if len(own) >= SHORTEST:
+            if len(own):
                 self.ids.append(name)
                 self.words.append(own)
         self.lengths: dict[int, list[int]] = {}
         for k, own in enumerate(self.words):
-            self.lengths.setdefault(len(own), []).append(k)
+            if len(own) >= SHORT:
+                self.lengths.setdefault(len(own), []).append(k)
+        # of a short item with one edit, one half is left; without, the whole: by words and hash, (item, place in it)
+        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, own in enumerate(self.words):
+            if len(own) < SHORT:
+                cuts = [0, len(own) // 2, len(own)] if allowed(len(own)) else [0, len(own)]
+                for a, b in zip(cuts, cuts[1:]):
+                    self.pieces.setdefault(b - a, {}).setdefault(int(runs(own[a:b], b - a)[0]), []).append((k, a))
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=np.uint64)  # of each trigram, a bit for each length that has it
         for place, members in enumerate(self.lengths.values()):
             for k in members:
@@ -134,7 +152,7 @@ class Items:
     def search(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, stop) for the best place of every item
         found in each text, by word positions."""
-        if len(words) < SHORTEST or not self.words:
+        if not len(words) or not self.words:
             return []
         grams = trigrams(words)
         marks = self.filter[grams]
@@ -143,6 +161,14 @@ class Items:
         hot = np.flatnonzero(marks)
         marks = marks[hot]
         found: dict[tuple[int, int], list[int]] = {}
+        for n, table in self.pieces.items():
+            hashes = runs(words, n)
+            at = np.flatnonzero(np.isin(hashes, np.fromiter(table, np.uint64, len(table))))
+            text = np.searchsorted(offsets, at, side="right") - 1
+            one = at + n <= offsets[text + 1]
+            for t, p in zip(text[one].tolist(), at[one].tolist()):
+                for item, place in table[int(hashes[p])]:
+                    found.setdefault((t, item), []).append(max(p - place, int(offsets[t])))
         for place, n in enumerate(self.lengths):
             need, own = shared_at_least(n), hot[(marks >> np.uint64(place % 64) & np.uint64(1)).astype(bool)]
             if len(own) < need:
@@ -221,10 +247,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     distance (word edits), first_word, last_word (positions of the best place).
 
     An item of n words is found if some part of the text is within RATE * n
-    word edits (0 for fewer than EXACT_BELOW words); items of fewer than
-    SHORTEST words are not looked for. Null and empty texts hold nothing; rows
-    that repeat an id give one row with the best place of all; ties go to the
-    first place. Null ids are one document. Empty tables give an empty one.
+    word edits: items of fewer than 5 words must occur word for word, those
+    without words are in no text. Null and empty texts hold nothing; rows that
+    repeat an id give one row with the best place of all; ties go to the first
+    place. Null ids are one document. Empty tables give an empty one.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(benchmark.dtypes)[item_id]

@@ -456,3 +456,19 @@ def test_long_edited_items_are_found():
     words, offsets = decontam.word_hashes(texts)
     found = {(t, items.ids[i]) for t, i, _, _, _ in items.search(words, offsets)}
     assert found == set(enumerate(wanted))
+
+
+def test_short_items_are_found():
+    """Items of 1 to 4 words word for word, of 5 to 7 with one edit, and nothing beyond."""
+    for n in range(1, 8):
+        own = [f"i{k}" for k in range(n)]
+        items = decontam.Items([(1, " ".join(own)), (2, "...")])
+        edited = [own]
+        for at in range(n):
+            edited += [[*own[:at], *new, *own[at + 1:]] for new in (["x"], [], ["x", own[at]])]
+        edited += [["x"] * 2 + own[2:], own[:-2] + ["x"] * 2]
+        texts = [" ".join(["a", "b", *words, "c", "d"]).encode() for words in edited] + [" ".join(own[:n // 2]).encode(), " ".join(own[n // 2:]).encode()]
+        words, offsets = decontam.word_hashes(texts)
+        lists = [words[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+        want = {(t, d) for t, text in enumerate(lists) if (d := decontam.best_match(items.lists[0], text)[0]) <= n // 5}
+        assert {(t, d) for t, _, d, _, _ in items.search(words, offsets)} == want and (0, 0) in want
