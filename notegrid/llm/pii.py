@@ -80,12 +80,14 @@ def shape(value: str) -> str:
     return "mixed"
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words left of an entity and what is glued to it, on its line."""
-    left = text[max(0, start - 60):start].rpartition("\n")[2]
-    words = _SPACE.split(left.lower())
-    if len([w for w in words if w]) < 2:
-        return None
+def context(text: str, start: int) -> str:
+    """The two words left of an entity and what is glued to it, on its line. With
+    fewer words, whatever stands left; a line's start is a word of its own."""
+    left = text[max(0, start - 60):start]
+    line = left.rpartition("\n")[2]
+    words = _SPACE.split(line.lower())
+    if len([w for w in words if w]) < 2 and (start <= 60 or len(line) < len(left)):
+        words = ["^", *words]
     return re.sub(r"[0-9]+", "0", " ".join(words[-3:]))
 
 
@@ -94,7 +96,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     out, taken = [], sorted((a, b) for a, b, _ in base)
     found = [(a, b, k) for a, b, k in base]
     at = 0
-    for m in _TOKEN.finditer(text) if base or _DIGIT.search(text) else ():
+    for m in _TOKEN.finditer(text) if "@" in text or _DIGIT.search(text) else ():
         a, b = m.span()
         while at < len(taken) and taken[at][1] <= a:
             at += 1
@@ -102,10 +104,8 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             continue
         found.append((a, b, "key" if b - a >= SECRET and _HEX.fullmatch(m[0]) else None))
     for a, b, kind in found:
-        left = context(text, a)
-        if left is not None:
-            value = text[a:b]
-            out.append((a, b, f"{shape(value)}|{left}", value.lower(), kind))
+        value = text[a:b]
+        out.append((a, b, f"{shape(value)}|{context(text, a)}", value.lower(), kind))
     return out
 
 

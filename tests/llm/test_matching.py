@@ -472,3 +472,13 @@ def test_short_items_are_found():
         lists = [words[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
         want = {(t, d) for t, text in enumerate(lists) if (d := decontam.best_match(items.lists[0], text)[0]) <= n // 5}
         assert {(t, d) for t, _, d, _, _ in items.search(words, offsets)} == want and (0, 0) in want
+
+
+def test_patterns_at_line_starts(spark):
+    """A label that begins a line is a pattern, and an address needs no digit in its text."""
+    secrets = [hashlib.md5(str(k).encode()).hexdigest() for k in range(9)]
+    texts = [f"note\ntoken: {x}" for x in secrets] + ["some words\ntoken: 0123abcd"]
+    texts += [f"login user@mail{'abcdefghi'[k]}.example" for k in range(9)] + ["login anna@localhost", "we saw 123456 there"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][a:b] for a, b, _ in r.found] for r in pii.personal_data(table).collect()}
+    assert found[9] == ["0123abcd"] and found[19] == ["anna@localhost"] and found[20] == []
