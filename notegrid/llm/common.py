@@ -7,12 +7,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from notegrid.sources.shared import new_path
 
-#: Rows up to which a staged table of a few dozen bytes a row may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a staged table may be broadcast, counted over its values.
+BROADCAST_BYTES = 16 << 20
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -44,10 +45,23 @@ def matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "inn
     return left.join(right, on, how).drop(*[f"_ng_right_{n}" for n in names])
 
 
+def weight(df: DataFrame):
+    """Bytes of a row's values: 16 for a number, the length of texts and arrays of numbers."""
+    def of(name: str, kind: T.DataType):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(F.col(f"`{name}`")) + 16
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.octet_length(F.to_json(F.col(f"`{name}`"))) + 32
+        return F.lit(16)
+
+    return sum((F.coalesce(of(f.name, f.dataType), F.lit(16)) for f in df.schema.fields), F.lit(0))
+
+
 def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast of a staged, narrow table only if its row count is
-    within BROADCAST_ROWS; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Hint a broadcast of a staged table only if its values take at most
+    BROADCAST_BYTES, whatever its number of rows; beyond that Spark shuffles both sides."""
+    size = df.agg(F.sum(weight(df))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notegrid.llm import golay
 from notegrid.llm.arrow import added, utf8
@@ -23,24 +24,33 @@ PAIR_BUCKET = 32
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """SimHash of a text: a bit is set if over half the XXH64 of its shingles set it."""
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the runs of ``width`` words of a lower-cased text, repeats
+    included; of the whole sequence if it is shorter. No words: none."""
     words = text.translate(_LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= width:
-        return int.from_bytes(digest(joined, seed), "big")
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]]).tolist()
-    ends = (ends - 1).tolist()
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1:])])
-    table = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
+        hashes = digest(joined, seed) if words else b""
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], ends[:-1]]).tolist()
+        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())])
+    return np.frombuffer(hashes, dtype=">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set; none for no hashes."""
+    table = hashes.view(np.uint8).reshape(-1, 8)
     bits = np.concatenate([np.bincount(table[:, k], minlength=256) @ _BITS_OF for k in range(8)])
     return int.from_bytes(np.packbits(bits * 2 > len(table)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash of a text: a bit is set if over half the XXH64 of its shingles set it."""
+    return majority(shingle_hashes(text, width, seed))
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -117,54 +127,70 @@ def links(fps: DataFrame) -> DataFrame:
     return out.unionByName(near).distinct()
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row per row of ``docs``: doc_id, fp, component_id and _ng_key (the id,
-    or for a null id a stand-in made from the text).
-
-    component_id is the smallest doc_id reachable over links of at most two
-    differing bits; null ids never name a component unless it has no other,
-    then component_id is null. Null and empty texts and texts without words
-    have fingerprint zero and link like any other. Repeated rows keep a row
-    each. An empty table gives an empty one; other columns are not carried.
-    """
-    stand_in = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(doc_id))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), stand_in.cast("long").alias("_ng_key"), F.col(text).alias("text"))
-    thin = stage(fingerprints(slim).drop("text"), "simhash-fps")
-    return labelled(thin, links, "simhash")
-
-
-def labelled(thin: DataFrame, links: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """Rows (doc_id, _ng_key, fp) with the component of their fp over the links of the distinct fps."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("_ng_key").alias("key"))).alias("first")
-    fps = stage(thin.groupBy("fp").agg(first), f"{label}-distinct")
-    roots = components(links(fps), label)
-    placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = placed.groupBy("root").agg(F.min("first").alias("least"))
-    labels = placed.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("_ng_fp"), "least")
-    out = thin.join(labels, thin["fp"] == F.col("_ng_fp"))
-    return out.select("doc_id", "fp", F.when(~F.col("least.absent"), F.col("least.key")).alias("component_id"), "_ng_key", F.col("least.key").alias("_ng_least"), F.col("least.absent").alias("_ng_absent"))
+def rooted(fps: DataFrame, found: DataFrame, least: str, label: str) -> DataFrame:
+    """(fp, root, least) for distinct ``fps`` (fp, and ``least``, a value of its
+    rows): the smallest ``least`` of all fps that the links ``found`` connect."""
+    roots = components(found, label)
+    placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", least, F.coalesce("root", "fp").alias("root"))
+    firsts = placed.groupBy("root").agg(F.min(least).alias(least))
+    return placed.select("fp", "root").join(firsts, "root")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id; see :func:`grouped`."""
-    return grouped(docs, text, doc_id).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """A row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the smallest doc_id, of whatever type the ids are, reachable
+    over links of at most two differing bits; null ids never name a component,
+    so one of null ids only has null. Null and empty texts and texts without
+    words have fingerprint zero and link like any other. Repeated rows and
+    repeated ids keep a row each. An empty table gives an empty one; other
+    columns are not carried.
+    """
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    thin = stage(fingerprints(slim).drop("text"), "simhash-fps")
+    fps = stage(thin.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "simhash-distinct")
+    labels = rooted(fps, links(fps), "component_id", "simhash").select(F.col("fp").alias("_ng_fp"), "component_id")
+    out = thin.join(labels, F.col("fp") == F.col("_ng_fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group: the row of its smallest id. If
-    rows repeat that id, one of them stays (the smallest text hash). Columns
-    are those of ``docs``."""
-    return one_of_each(docs, grouped(docs, text, doc_id), text, doc_id)
-
-
-def one_of_each(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``docs`` with one row of each group of :func:`labelled`; see :func:`deduplicated`."""
-    keep = groups.where((F.col("_ng_key") == F.col("_ng_least")) & (F.col("doc_id").isNull() == F.col("_ng_absent")))
-    keep = keep.groupBy(F.col("_ng_key").alias("_ng_keep"), F.col("_ng_absent").alias("_ng_none")).agg(F.count("*").alias("_ng_rows"))
-    key = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(doc_id)).cast("long")
-    rows = docs.withColumn("_ng_key", key).withColumn("_ng_absent", F.col(doc_id).isNull())
-    rows = rows.join(keep, (F.col("_ng_key") == F.col("_ng_keep")) & (F.col("_ng_absent") == F.col("_ng_none")))
+    """``docs`` with one row of each group of near copies: texts whose sets of
+    5-word shingles have a Jaccard similarity of 0.8 or more, directly or over others.
+
+    The row with the smallest id stays, nulls last; of rows that repeat that id,
+    the one with the smallest digest; of rows equal in every column, one. Rows
+    are told apart by a digest of all their columns, never by their ids.
+
+    Candidates come from Golay links of the SimHash over the same shingles and,
+    as 64 bits part pairs at 0.8 by ten bits, from MinHash bands; all are
+    verified exactly. Null and empty texts and texts without words are copies of
+    each other; texts of up to five words are alike only if their words are the
+    same. An empty table gives an empty one; columns are those of ``docs``.
+    """
+    from notegrid.llm import nearcopies
+
+    slim = docs.select(F.col(doc_id).alias("doc_id"), *row_digest(docs), F.col(text).alias("text"))
+    rows = stage(nearcopies.sketched(slim, "text").drop("text"), "near-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_ng_d1", "_ng_d2")).alias("least")
+    sets = stage(rows.groupBy("fp").agg(least, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-sets")
+    near = links(sets.select(F.col("bits").alias("fp")).distinct())
+    found = nearcopies.links(sets, slim.select("_ng_d1", "_ng_d2", "text"), near)
+    keep = rooted(sets.select("fp", "least"), found, "least", "near").select("least._ng_d1", "least._ng_d2").distinct()
+    keep = keep.join(rows.select("_ng_d1", "_ng_d2"), ["_ng_d1", "_ng_d2"]).groupBy("_ng_d1", "_ng_d2").agg(F.count("*").alias("_ng_rows"))
+    marked = docs.withColumns(dict(zip(("_ng_e1", "_ng_e2"), row_digest(docs))))
+    marked = marked.join(keep, (F.col("_ng_e1") == F.col("_ng_d1")) & (F.col("_ng_e2") == F.col("_ng_d2")))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    one = rows.where("_ng_rows = 1").select(*names)
-    many = rows.where("_ng_rows > 1").groupBy("_ng_key", "_ng_absent").agg(F.min_by(F.struct(*names), F.xxhash64(F.col(text))).alias("row")).select("row.*")
+    one = marked.where("_ng_rows = 1").select(*names)
+    many = marked.where("_ng_rows > 1").groupBy("_ng_e1", "_ng_e2").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
     return one.unionByName(many)
+
+
+def row_digest(docs: DataFrame) -> list:
+    """_ng_d1 and _ng_d2: 128 bits that tell rows apart by all their columns."""
+    def plain(f):
+        c = F.col(f"`{f.name}`")
+        return c.cast("string") if isinstance(f.dataType, (T.StringType, T.VariantType)) else F.to_json(c) if isinstance(f.dataType, T.MapType) else c
+
+    cells = [x for f in docs.schema.fields for x in (F.col(f"`{f.name}`").isNull(), plain(f))]
+    return [F.xxhash64(F.lit(k), *cells).alias(f"_ng_d{k}") for k in (1, 2)]

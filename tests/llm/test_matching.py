@@ -105,12 +105,17 @@ def test_simhash(docs, rows, clashing, empty):
     got = simhash.simhash_components(docs).collect()
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
     assert simhash.simhash_components(empty).collect() == []
-    kept = simhash.deduplicated(clashing)
-    assert kept.columns == clashing.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    named = {c for _, _, c in want if c is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(named)
-    assert ids.count(None) == len({f for i, f, c in want if c is None})
+    texts = spark_ids(docs, "string")
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(texts).collect()), key=str) == want_of_texts(pairs)
+
+
+def spark_ids(docs, kind):
+    return docs.withColumn("doc_id", docs.doc_id.cast(kind))
+
+
+def want_of_texts(pairs):
+    pairs = [(None if i is None else str(i), f) for i, f in pairs]
+    return sorted(((i, f"{f:016x}", c) for (i, f), c in zip(pairs, brute_components(pairs))), key=str)
 
 
 def test_simhash_real(spark, sf_dir):
@@ -432,10 +437,53 @@ def test_near_copies(spark, clashing, empty):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     stage = pytest.importorskip("corpus_pipeline").near_duplicates
     assert sorted(map(tuple, stage(spark, table, "").collect())) == sorted(want)
-    kept = nearcopies.deduplicated(clashing)
+    assert sorted(map(tuple, stage(spark, table.select(table.doc_id.cast("string").alias("doc_id"), "text"), "").collect()))[0][0] == "0"
+    kept = simhash.deduplicated(clashing)
     assert kept.columns == clashing.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]
-    assert nearcopies.deduplicated(empty).collect() == []
+    assert simhash.deduplicated(empty).collect() == []
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """Ids name no row: a repeated id loses no document and keeps no copy."""
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = lambda *r: sorted(map(tuple, simhash.deduplicated(spark.createDataFrame(r, "doc_id long, text string")).collect()), key=str)
+    assert rows((5, one), (5, two)) == [(5, one), (5, two)]
+    assert rows((5, one), (5, two), (3, two)) == [(3, two), (5, one)]
+    assert rows((5, one), (5, one), (None, one), (None, two), (None, two)) == [(5, one), (None, two)]
+
+
+@pytest.mark.parametrize("pivots, block", [(0, 600), (2, 600), (2, 1 << 16)])
+def test_hot_buckets_connect_like_all_pairs(spark, monkeypatch, pivots, block):
+    """Groups over PAIR_BUCKET with similarities on both sides of 0.8, in blocks of any size."""
+    monkeypatch.setattr(nearcopies, "PIVOTS", pivots)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "PAIR_BUCKET", 6)
+    rng = random.Random(11)
+    texts = []
+    for base in range(3):
+        hot = [f"b{base}w{k}" for k in range(60)]
+        for _ in range(50):
+            words = list(hot)
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(60)] = f"n{rng.randrange(10_000)}"
+            texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    grams = [{" ".join(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(table).collect()) == sorted({find(k) for k in range(len(texts))})
 
 
 def test_long_edited_items_are_found():
