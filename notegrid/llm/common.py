@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from notegrid.sources.shared import new_path
 
 #: Bytes up to which a staged table may be broadcast, counted over its values.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -32,7 +32,30 @@ def _directory(thin: DataFrame, limit: int, low: int, depth: int) -> DataFrame:
     up = up.withColumn("p", F.expr(f"shiftright(leaf, {depth} - d)"))
     fits = up.groupBy("d", "p").agg(F.sum("b").alias("bytes"), F.sum("n").alias("docs")).where(F.col("bytes") <= limit)
     found = up.select("leaf", "d", "p").join(fits, ["d", "p"]).groupBy("leaf").agg(F.min(F.struct("d", "bytes", "docs")).alias("s"))
-    return stage(leaves.select("leaf").join(found, "leaf", "left").select("leaf", F.col("s.d").alias("local"), F.col("s.bytes").alias("bucket_bytes"), F.col("s.docs").alias("bucket_docs")), "shard-directory")
+    return stage(leaves.select("leaf").join(found, "leaf", "left").select("leaf", F.col("s.d").alias("local"), F.col("s.bytes").alias("bytes"), F.col("s.docs").alias("docs")), "shard-directory")
+
+
+def directory(thin: DataFrame, limit: int, extra_bits: int) -> tuple[int, DataFrame]:
+    """(bits, table) for rows (_ng_hash, _ng_bytes): for each leading ``bits`` of
+    the hash the buckets under it: first hash, local depth (null: one hash over
+    the limit), bytes and documents. A leaf has one bucket unless it had to split."""
+    total = thin.agg(F.sum("_ng_bytes")).first()[0] or 0
+    bits = depth = min(BITS, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + extra_bits)
+    low, left, out = 0, thin, None
+    while True:
+        table = _directory(left, limit, low, depth)
+        ended = table if depth == BITS else table.where("local IS NOT NULL")
+        ended = ended.select(F.shiftright("leaf", depth - bits).alias("_ng_leaf"), F.shiftleft("leaf", BITS - depth).alias("first"), "local", "bytes", "docs")
+        out = ended if out is None else out.unionByName(ended)
+        crowded = table.where("local IS NULL").select("leaf")
+        if depth == BITS or crowded.isEmpty():
+            break
+        low, leaf = depth + 1, F.shiftright("_ng_hash", BITS - depth)
+        left = left.join(crowded.withColumnRenamed("leaf", "_ng_crowded"), leaf == F.col("_ng_crowded"), "left_semi")
+        depth = min(BITS, depth + 8)
+    prefix = F.expr(f"shiftright(first, {BITS} - coalesce(local, {BITS}))")
+    whole = out.groupBy("_ng_leaf", "local", prefix.alias("prefix")).agg(F.min("first").alias("first"), F.min("bytes").alias("bytes"), F.min("docs").alias("docs"))
+    return bits, stage(whole.groupBy("_ng_leaf").agg(F.collect_list(F.struct("first", "local", "bytes", "docs")).alias("_ng_buckets")), "shard-buckets")
 
 
 def shard(docs: DataFrame, *, limit: int = 1 << 20, text: str = "text", doc_id: str = "doc_id", extra_bits: int = 3,
@@ -41,60 +64,49 @@ def shard(docs: DataFrame, *, limit: int = 1 << 20, text: str = "text", doc_id:
     and shard_docs. No shard holds more than ``limit`` bytes of text unless it
     is one document that alone exceeds it.
 
-    shard_id is the bucket's bits ('' at depth 0), as text. Rows that no bit
-    can part (one hash over the limit) and documents over the limit go to
-    overflow pages, shard_id bits + '+page': of up to half the limit in start
-    offsets, or of one document over that half. Null or empty text has 0 bytes;
-    null ids hash as the empty string; repeated rows share a bucket until it
-    overflows. Input columns with the added names are replaced. An empty table
-    gives an empty one.
+    Hashes and sizes alone decide; the rows are then joined once to the
+    directory by the leading bits of their hash: broadcast while the directory
+    is small, else one shuffle of the rows by those bits. shard_id is the
+    bucket's bits ('' at depth 0), as text. Rows that no bit can part (one hash
+    over the limit) and documents over the limit go to overflow pages, shard_id
+    bits + '+page': in order of size, of up to half the limit in start offsets,
+    or of one document over that half. Null or empty text has 0 bytes; null ids
+    hash as the empty string; repeated rows share a bucket until it overflows.
+    Input columns with the added names are replaced, others are kept whatever
+    their names. An empty table gives an empty one.
 
     ``measured``: ``docs`` already has _ng_hash and _ng_bytes.
     """
     added = ["n_bytes", "depth", "shard_id", "shard_bytes", "shard_docs"]
     rows = docs if measured else docs.withColumn("_ng_hash", _hash(doc_id)).withColumn("_ng_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    kept = [c for c in without(docs, [*added, "_ng_hash", "_ng_bytes"]).columns]
-    thin = stage(rows.where(F.col("_ng_bytes") <= limit).select("_ng_hash", "_ng_bytes"), "shard-sizes")
-    total = thin.agg(F.sum("_ng_bytes")).first()[0] or 0
-    depth = min(BITS, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + extra_bits)
-    low, tables, left = 0, [], thin
-    while True:
-        table = _directory(left, limit, low, depth)
-        tables.append((depth, table))
-        crowded = table.where("local is null").select("leaf")
-        if depth == BITS or crowded.isEmpty():
-            break
-        low, leaf = depth + 1, F.shiftright("_ng_hash", BITS - depth)
-        left = left.join(crowded.withColumnRenamed("leaf", "_ng_leaf"), leaf == F.col("_ng_leaf"), "left_semi")
-        depth = min(BITS, depth + 8)
-
-    out, rest = None, rows.where(F.col("_ng_bytes") > limit)
-    todo = rows.where(F.col("_ng_bytes") <= limit)
-    names = [F.col(f"`{c}`") for c in kept]
-    for k, (depth, table) in enumerate(tables):
-        dealt = todo.withColumn("leaf", F.shiftright("_ng_hash", BITS - depth)).join(small(table), "leaf")
-        bits = F.when(F.col("local") == 0, "").otherwise(F.expr(f"substr(lpad(bin(_ng_hash), {BITS}, '0'), 1, local)"))
-        done = dealt.where("local is not null").select(*names, F.col("_ng_bytes").alias("n_bytes"), F.col("local").alias("depth"), bits.alias("shard_id"), F.col("bucket_bytes").alias("shard_bytes"), F.col("bucket_docs").alias("shard_docs"))
-        out = done if out is None else out.unionByName(done)
-        todo = dealt.where("local is null").drop("leaf", "local", "bucket_bytes", "bucket_docs")
-        if k == len(tables) - 1 and depth == BITS:
-            rest = rest.unionByName(todo)
-    return out.unionByName(_pages(rest, limit, names))
+    names = [F.col(f"`{c}`") for c in without(docs, [*added, "_ng_hash", "_ng_bytes"]).columns]
+    thin = stage(rows.select("_ng_hash", "_ng_bytes"), "shard-sizes")
+    bits, table = directory(thin.where(F.col("_ng_bytes") <= limit), limit, extra_bits)
+    dealt = rows.withColumn("_ng_at", F.shiftright("_ng_hash", BITS - bits)).join(small(table), F.col("_ng_at") == F.col("_ng_leaf"), "left")
+    own = F.filter("_ng_buckets", lambda x: F.call_function("shiftright", x["first"], F.lit(BITS) - F.coalesce(x["local"], F.lit(BITS))) == F.call_function("shiftright", F.col("_ng_hash"), F.lit(BITS) - F.coalesce(x["local"], F.lit(BITS))))
+    dealt = dealt.withColumn("_ng_own", F.when(F.col("_ng_bytes") <= limit, F.get(own, 0)))
+    local = F.col("_ng_own.local")
+    name = F.when(local == 0, "").otherwise(F.expr(f"substr(lpad(bin(_ng_hash), {BITS}, '0'), 1, _ng_own.local)"))
+    out = dealt.where(local.isNotNull()).select(*names, F.col("_ng_bytes").alias("n_bytes"), local.alias("depth"), name.alias("shard_id"), F.col("_ng_own.bytes").alias("shard_bytes"), F.col("_ng_own.docs").alias("shard_docs"))
+    if thin.where(F.col("_ng_bytes") > limit).isEmpty() and table.where(F.exists("_ng_buckets", lambda x: x["local"].isNull())).isEmpty():
+        return out
+    return out.unionByName(_pages(dealt.where(local.isNull()).select(*names, "_ng_hash", "_ng_bytes"), limit, names))
 
 
 def _pages(rest: DataFrame, limit: int, names: list) -> DataFrame:
-    """Overflow pages of the rows that share all bits of a hash, or exceed the limit."""
+    """Overflow pages of the rows that share all bits of a hash, or exceed the
+    limit. Rows of one hash and size are alike to every page, so reruns agree."""
     rest = rest.withColumn("_ng_big", F.col("_ng_bytes") > limit // 2).withColumn("_ng_row", F.monotonically_increasing_id())
     rest = rest.withColumn("_ng_width", F.when(F.col("_ng_big"), F.lit(1)).otherwise(F.col("_ng_bytes")).cast("long"))
     key = ["_ng_hash", "_ng_big"]
-    paged = running_total(rest, key, ["_ng_row"], "_ng_width", "_ng_upto", "shard-overflow")
+    paged = running_total(rest, key, ["_ng_bytes", "_ng_row"], "_ng_width", "_ng_upto", "shard-overflow")
     start = F.col("_ng_upto") - F.col("_ng_width")
     page = F.when(F.col("_ng_big"), start).otherwise((start / max(1, limit // 2)).cast("long"))
     paged = paged.withColumn("_ng_page", page)
-    sums = paged.groupBy(*key, "_ng_page").agg(F.sum("_ng_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    sums = paged.groupBy(*key, "_ng_page").agg(F.sum("_ng_bytes").alias("_ng_sum"), F.count("*").alias("_ng_count"))
     paged = paged.join(sums, [*key, "_ng_page"])
     name = F.concat(F.expr(f"lpad(bin(_ng_hash), {BITS}, '0')"), F.when(F.col("_ng_big"), "+b").otherwise("+"), F.col("_ng_page").cast("string"))
-    return paged.select(*names, F.col("_ng_bytes").alias("n_bytes"), F.lit(BITS).alias("depth"), name.alias("shard_id"), "shard_bytes", "shard_docs")
+    return paged.select(*names, F.col("_ng_bytes").alias("n_bytes"), F.lit(BITS).alias("depth"), name.alias("shard_id"), F.col("_ng_sum").alias("shard_bytes"), F.col("_ng_count").alias("shard_docs"))
 
 
 def shard_report(docs: DataFrame, *, limit: int = 1 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

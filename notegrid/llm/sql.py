@@ -5,7 +5,8 @@ ORACLES: dict[str, str] = {}
 ORACLES["op1_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) AS one
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -20,33 +21,40 @@ filled AS (
 targets AS (
   SELECT source, source_size, budget, least(cap, (SELECT max(level) FROM filled) * weight) AS target FROM filled),
 queued AS (
-  SELECT s.*, t.source_size, t.target, t.budget, sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size) AS upto
+  SELECT s.*, t.source_size, t.target, t.budget, sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size, digest, one) AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE size > 0),
 copies AS (
   SELECT q.*, r.k, (r.k * source_size + upto)::DOUBLE / target AS finish FROM queued q, range(2) r(k)),
 cut AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, h, doc_id NULLS FIRST, size, k) <= budget AS taken FROM copies),
+  SELECT *, sum(size) OVER (ORDER BY finish, h, doc_id NULLS FIRST, size, digest, one, k) <= budget AS taken FROM copies),
 taken AS (
-  SELECT doc_id, source, h, size, count_if(taken) // count(DISTINCT k) AS n_all, count_if(taken) AS n, count(*) AS rows FROM cut GROUP BY ALL)
-SELECT s.doc_id, s.size, t.source_size, coalesce(t.target, 0.0) AS target,
-       (s.size * coalesce(k.n // (k.rows // 2), 0))::BIGINT AS taken
+  SELECT doc_id, source, digest, one, count_if(taken) AS n FROM cut GROUP BY ALL)
+SELECT s.doc_id, s.size, t.source_size, coalesce(t.target, 0.0) AS target, (s.size * coalesce(k.n, 0))::BIGINT AS taken
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-LEFT JOIN taken k ON s.doc_id IS NOT DISTINCT FROM k.doc_id AND s.source IS NOT DISTINCT FROM k.source AND s.size = k.size AND s.h = k.h
+LEFT JOIN taken k ON s.doc_id IS NOT DISTINCT FROM k.doc_id AND s.source IS NOT DISTINCT FROM k.source AND s.digest = k.digest AND s.one = k.one
 """
 
 ORACLES["op9_extendible_shards"] = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, row_number() OVER () AS one
   FROM documents),
 buckets AS (
   SELECT d.k AS depth, h >> (60 - d.k)::INT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs
-  FROM sized, range(0, 61) d(k) GROUP BY ALL HAVING sum(n_bytes) <= 1048576),
+  FROM sized, range(0, 61) d(k) WHERE n_bytes <= 1048576 GROUP BY ALL HAVING sum(n_bytes) <= 1048576),
 placed AS (
   SELECT s.doc_id, s.n_bytes, s.h, min(b.depth) AS depth
-  FROM sized s JOIN buckets b ON s.h >> (60 - b.depth)::INT = b.prefix GROUP BY ALL)
+  FROM sized s JOIN buckets b ON s.h >> (60 - b.depth)::INT = b.prefix WHERE s.n_bytes <= 1048576 GROUP BY s.doc_id, s.n_bytes, s.h, s.one),
+loose AS (
+  SELECT *, n_bytes > 524288 AS big, CASE WHEN n_bytes > 524288 THEN 1 ELSE n_bytes END AS width FROM sized
+  WHERE n_bytes > 1048576 OR h NOT IN (SELECT h FROM placed)),
+started AS (SELECT *, sum(width) OVER (PARTITION BY h, big ORDER BY n_bytes, one) - width AS start FROM loose),
+paged AS (SELECT *, CASE WHEN big THEN start ELSE start // 524288 END::BIGINT AS page FROM started)
 SELECT p.doc_id, p.n_bytes, p.depth::INT AS depth,
        CASE WHEN p.depth = 0 THEN '' ELSE substr(lpad(bin(p.h), 60, '0'), 1, p.depth::INT) END AS shard_id, b.shard_bytes, b.shard_docs
 FROM placed p JOIN buckets b ON b.depth = p.depth AND p.h >> (60 - p.depth)::INT = b.prefix
+UNION ALL
+SELECT doc_id, n_bytes, 60, lpad(bin(h), 60, '0') || CASE WHEN big THEN '+b' ELSE '+' END || page,
+       (sum(n_bytes) OVER (PARTITION BY h, big, page))::BIGINT, (count(*) OVER (PARTITION BY h, big, page))::BIGINT
+FROM paged
 """
-

@@ -1,7 +1,7 @@
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-NASTY = "doc_id long, text string, lang string, source string, n_chars long, size string, `score` int, fp string, shard_id int, kept int, lines int, n_words string"
+NASTY = "doc_id long, text string, lang string, source string, n_chars long, size string, `score` int, fp string, shard_id int, kept int, lines int, n_words string, leaf int, local string, bucket_bytes int, bucket_docs int, first int, b int, n int, d int, p int, copies int, target int, html string, bits int, root int, base string, labels int"
 
 LINE = "the quick brown fox jumps over the lazy dog while seven wizards brew strong tea and read old maps near the river"
 
@@ -34,7 +34,7 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def clashing(spark):
     """The same with columns named like the operators' own."""
-    return spark.createDataFrame([(*r, "x", 1, "y", 2, 3, 4, "z") for r in _rows()], NASTY)
+    return spark.createDataFrame([(*r, "x", 1, "y", 2, 3, 4, "z", 5, "l", 6, 7, 8, 9, 10, 11, 12, 13, 14, "<p>", 15, 16, "base", 17) for r in _rows()], NASTY)
 
 
 @pytest.fixture(scope="session")

@@ -15,6 +15,16 @@ from notegrid.llm.sql import ORACLES
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_overflow_pages_in_sql(spark, tmp_path):
+    rows = [(7, "x" * 400_000, "a")] * 7 + [(7, "y" * 700_000, "a"), (8, "z" * 1_200_000, "b"), (None, None, None), (9, "w", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ours = sharding.shard_report(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = db.execute(ORACLES["op9_extendible_shards"]).df()[ours.columns].astype(object)
+    assert sorted(map(str, map(tuple, ours.collect()))) == sorted(map(str, map(tuple, theirs.where(theirs.notna(), None).values.tolist())))
+
+
 def test_oracles(spark, sf_dir):
     from notegrid.llm.queries import queries
 
@@ -30,10 +40,10 @@ def test_oracles(spark, sf_dir):
 
 
 def brute_mix(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
-    """(doc_id, size) -> copies, by water-filling in rounds and one sorted queue."""
-    sized = [(i, s, len(WORD.findall(t or ""))) for i, t, _, s, _ in rows]
+    """Copies of each row by place, by water-filling in rounds and one sorted queue."""
+    sized = [(i, s, len(WORD.findall(t or "")), hashlib.md5((t or "").encode()).hexdigest(), k) for k, (i, t, _, s, _) in enumerate(rows)]
     total = Counter()
-    for _, s, n in sized:
+    for _, s, n, _, _ in sized:
         total[s] += n
     names = sorted(total, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
@@ -48,7 +58,7 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
             target[s] = cap * total[s]
             left -= target[s]
         free -= over
-    key = lambda r: (hashlib.md5(f"42:{'' if r[0] is None else r[0]}".encode()).hexdigest(), (r[0] is not None, r[0] or 0), r[2])
+    key = lambda r: (hashlib.md5(f"42:{'' if r[0] is None else r[0]}".encode()).hexdigest(), (r[0] is not None, r[0] or 0), r[2], r[3], r[4])
     queue = []
     for s in names:
         own = sorted((r for r in sized if r[1] == s and r[2]), key=key)
@@ -63,18 +73,37 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
         if done > budget:
             break
         if at == 0 or q[:3] != queue[at - 1][:3]:
-            taken[q[3]] += 1
+            taken[q[3][4]] += 1
     return sized, total, target, taken
 
 
 def test_mix(docs, rows):
     sized, total, target, taken = brute_mix(rows)
     got = mixing.mix_report(docs).collect()
-    want = sorted(((i, n, total[s], round(target[s], 6), n * taken[i, s, n]) for i, s, n in sized), key=str)
+    want = sorted(((i, n, total[s], round(target[s], 6), n * taken[k]) for i, s, n, _, k in sized), key=str)
     assert sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got), key=str) == want
     assert abs(sum(target.values()) - 1.5 * sum(total.values())) < 1e-6
 
 
+def test_ties_in_the_queue(spark):
+    """Null ids and equal rows are taken one by one: each source comes near its target."""
+    rows = [(None, "w " * 10 + str(k), "en", "a", 0) for k in range(100)] + [(7, "same words in every row", "en", "b", 0)] * 160
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    _, total, target, taken = brute_mix(rows)
+    sums = defaultdict(int)
+    for r in mixing.mix_report(frame).collect():
+        sums[r.source_size, r.target] += r.taken
+        assert r.taken <= 2 * r["size"]
+    assert len(sums) == 2 and all(abs(words - goal) <= 11 for (_, goal), words in sums.items())
+    mixed = Counter((r.doc_id, r.text) for r in mixing.mixed(frame).collect())
+    want = Counter()
+    for k, r in enumerate(rows):
+        want[r[0], r[1]] += taken[k]
+    assert mixed == +want
+    again = mixing.mix_report(frame.repartition(2)).groupBy("doc_id", "size", "taken").count().collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixing.mix_report(frame).groupBy("doc_id", "size", "taken").count().collect()))
+
+
 def test_mixed_rows(docs, clashing, empty):
     report = mixing.mix_report(docs).groupBy("doc_id").agg({"copies": "sum"}).collect()
     mixed = mixing.mixed(clashing)
@@ -125,9 +154,19 @@ def test_one_hash_over_the_limit(spark):
     assert sum(sizes.values()) == 3211 and max(sizes.values()) <= 100
 
 
-def test_shard_rows(clashing, empty):
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_shard_rows(clashing, docs, empty, monkeypatch, broadcast):
+    """Columns of any name stay, and both plans of the directory give the same rows."""
+    from notegrid.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     out = sharding.shard(clashing, limit=50_000)
     assert out.count() == clashing.count() and set(clashing.columns) <= set(out.columns)
+    kept = ["leaf", "local", "bucket_bytes", "bucket_docs", "first", "b", "n", "d", "p"]
+    assert out.select(*kept).distinct().collect() == clashing.select(*kept).distinct().collect()
+    names = sharding.shard_report(docs, limit=2000).select("doc_id", "shard_id", "depth", "shard_bytes", "shard_docs")
+    rows = sharding.shard(clashing, limit=2000).select(*names.columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, names.collect()))
     assert sharding.shard_report(empty).collect() == []
 
 

@@ -391,17 +391,35 @@ def test_pipeline(spark, tmp_path):
 
     model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     left = [r for r in rows if (p := model.predict(r[1] or "", 4.0, 25))[0] != "und" and p[1] >= 0.5]
-    roots = brute_components([(r[0], brute_fingerprint(r[1])) for r in left])
-    left = [r for r, c in zip(left, roots) if r[0] == c]
+    left = brute_deduplicated(left)
     left = [r for r in left if item not in r[1]]
     _, _, _, taken = brute_mix(left)
-    left = [r for r in left for _ in range(taken[r[0], r[3], len(r[1].split())])]
+    left = [r for k, r in enumerate(left) for _ in range(taken[k])]
     hashes = [(int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16), len(r[1].encode())) for r in left]
     names = brute_shards(hashes, 1 << 20)
     assert sorted(got) == sorted((*r, names[h[0]]) for r, h in zip(left, hashes))
     assert "corpus_pipeline" in sys.modules
 
 
+def brute_deduplicated(rows):
+    """Rows (id, text, ...) whose id is the smallest of those that similarities of 0.8 connect."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "").split() for r in rows]
+    grams = [{" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                low, high = sorted((find(a), find(b)), key=lambda k: rows[k][0])
+                root[high] = low
+    return [r for k, r in enumerate(rows) if find(k) == k]
+
+
 def test_near_copies(spark, clashing, empty):
     """The stage's groups against brute-force Jaccard over 5-word shingles, with a group over PAIR_BUCKET."""
     rng = random.Random(4)
@@ -420,20 +438,7 @@ def test_near_copies(spark, clashing, empty):
             words[rng.randrange(200)] = word()
         texts.append(" ".join(words))
     rows = list(enumerate(texts)) + [(1000, None), (1001, " "), (1002, "")]
-    grams = [{" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").split() for _, t in rows)]
-    root = list(range(len(rows)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    want = [rows[k] for k in range(len(rows)) if find(k) == k]
+    want = brute_deduplicated(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string")
     stage = pytest.importorskip("corpus_pipeline").near_duplicates
     assert sorted(map(tuple, stage(spark, table, "").collect())) == sorted(want)
@@ -469,21 +474,9 @@ def test_hot_buckets_connect_like_all_pairs(spark, monkeypatch, pivots, block):
                 words[rng.randrange(60)] = f"n{rng.randrange(10_000)}"
             texts.append(" ".join(words))
     texts = list(dict.fromkeys(texts))
-    grams = [{" ".join(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    root = list(range(len(texts)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
+    want = [i for i, _ in brute_deduplicated(list(enumerate(texts)))]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.deduplicated(table).collect()) == sorted({find(k) for k in range(len(texts))})
+    assert sorted(r.doc_id for r in simhash.deduplicated(table).collect()) == want
 
 
 def test_long_edited_items_are_found():
