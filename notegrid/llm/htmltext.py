@@ -2,9 +2,11 @@
 
 Pages of a host are paired with their neighbours by URL path, their text lines
 aligned by longest common subsequence, and shared lines deleted. Two rules on
-markup correct what differencing alone gets wrong: lines inside an article are
-never deleted (articles quote each other), and lines in menus, headers,
-footers, adverts and the like go although no neighbour shares them.
+markup correct what differencing alone gets wrong: lines of an article stay
+although a neighbour shares them (articles quote each other), and lines in
+menus, headers, footers, adverts and the like go although no neighbour does.
+Differencing decides all other lines: those outside both, and those of an
+article in an element whose class or id reads like an advert or a comment.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegrid.llm.arrow import added, strings
+from notegrid.llm.arrow import blocks, strings
 from notegrid.llm.common import running_total, small, stage
 
-#: Zones of a line.
-FREE, MAIN, ASIDE = 0, 1, 2
-#: Pages of a host that are aligned in one task: each chunk has so many, its last up to twice as many.
+#: Zones of a line. Differencing decides those that are free or doubtful.
+FREE, MAIN, ASIDE, DOUBT = 0, 1, 2, 3
+#: Pages of a host that are aligned in one task, besides the first page of the next ones.
 CHUNK = 64
 
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -34,19 +37,28 @@ _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|co
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 
+#: What may stand in a head; anything else ends one that is not closed (fixed values).
+_HEAD = frozenset("head title meta link style script base noscript template".split())
+#: Elements that a next one of the same group ends where their end tag is left out (fixed values).
+_ENDS = {t: frozenset(g.split()) for g in ("li", "dt dd", "tr", "td th", "option") for t in g.split()}
+_LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
+
+
 class _Reader(HTMLParser):
-    """Collects (zone, text) blocks in page order."""
+    """Collects (zone, text) blocks in page order. End tags that a page may
+    leave out are implied: of a head, a paragraph, an item or a cell."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[int, str]] = []
         self.held: list[str] = []
-        self.open: list[tuple[str, int]] = []  # elements that set a zone, and plain ones of the same name within
-        self.depth: list[int] = []
+        self.open: list[tuple[str, int]] = []  # elements that set a zone
+        self.depth: list[int] = []  # plain elements of the same name within
+        self.lists: list[int] = []  # lists and tables open within
 
     def zone(self) -> int:
         zones = [z for _, z in self.open]
-        return ASIDE if ASIDE in zones else MAIN if zones else FREE
+        return ASIDE if ASIDE in zones else DOUBT if DOUBT in zones else MAIN if zones else FREE
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
@@ -54,23 +66,41 @@ class _Reader(HTMLParser):
             self.blocks.append((self.zone(), text))
         self.held = []
 
+    def cut(self, k: int) -> None:
+        self.flush()
+        del self.open[k:], self.depth[k:], self.lists[k:]
+
+    def implied(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends."""
+        if self.open and self.open[0][0] == "head" and tag not in _HEAD:
+            self.cut(0)
+        if self.open and self.open[-1][0] == "p" and tag in _BLOCKS:
+            self.cut(len(self.open) - 1)
+        if self.open and tag in _ENDS.get(self.open[-1][0], ()) and not self.lists[-1]:
+            self.cut(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        self.implied(tag)
         if tag in _BLOCKS or tag in _ASIDES:
             self.flush()
         elif tag == "br":
             self.held.append(" ")
         if tag in _VOID:
             return
+        if tag in _LISTS and self.open:
+            self.lists[-1] += 1
         given = dict(attrs)
         names = f"{given.get('class') or ''} {given.get('id') or ''}"
-        hidden = "hidden" in given or (given.get("aria-hidden") or "").lower() == "true"
-        aside = hidden or (given.get("role") or "").lower() in _ROLES or (tag not in ("body", "html") and bool(_HINT.search(names)))
-        if tag == "header" and not aside and MAIN in [z for _, z in self.open]:
-            pass  # the header of an article is its heading
-        elif tag in _ASIDES or aside:
+        inside = MAIN in [z for _, z in self.open]
+        quoted = "article" in [t for t, _ in self.open]
+        role = (given.get("role") or "").lower()
+        plain = "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or role in _ROLES
+        hinted = tag not in ("body", "html") and bool(_HINT.search(names))
+        if plain or (tag in _ASIDES and not (tag == "header" and inside)) or (hinted and not quoted):
             self.push(tag, ASIDE)
-            return
-        if tag in _MAINS or (given.get("role") or "").lower() == "main":
+        elif hinted:
+            self.push(tag, DOUBT)
+        elif tag in _MAINS or role == "main":
             self.push(tag, MAIN)
         elif self.open and self.open[-1][0] == tag:
             self.depth[-1] += 1
@@ -79,6 +109,7 @@ class _Reader(HTMLParser):
         self.flush()
         self.open.append((tag, zone))
         self.depth.append(0)
+        self.lists.append(0)
 
     def handle_endtag(self, tag):
         if tag in _BLOCKS or tag in _ASIDES:
@@ -88,14 +119,18 @@ class _Reader(HTMLParser):
                 if self.depth[k]:
                     self.depth[k] -= 1
                 else:
-                    self.flush()
-                    del self.open[k:], self.depth[k:]
+                    self.cut(k)
                 break
+        if tag in _LISTS and self.lists and self.lists[-1]:
+            self.lists[-1] -= 1
 
     def handle_data(self, data):
+        if len(self.open) == 1 and self.open[0][0] == "head" and data.strip():
+            self.cut(0)
         self.held.append(data)
 
     def handle_startendtag(self, tag, attrs):
+        self.implied(tag)
         if tag in _BLOCKS:
             self.flush()
         elif tag == "br":
@@ -111,110 +146,135 @@ def page_blocks(html: str) -> list[tuple[int, str]]:
     return reader.blocks
 
 
-def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by rows of bits: memory is
-    a bit, not a cell, for each pair of lines."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    out = [(k, k) for k in range(start)]
-    end = 0
-    while end < min(len(a), len(b)) - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
-        end += 1
-    out += [(len(a) - 1 - k, len(b) - 1 - k) for k in range(end)]
-    a, b = a[start:len(a) - end], b[start:len(b) - end]
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of a longest common subsequence of b with each prefix of a, by
+    one row of bits: a zero where a longer prefix gains a line."""
     where: dict[int, int] = {}
     for k, line in enumerate(a):
         where[line] = where.get(line, 0) | 1 << k
-    every = (1 << len(a)) - 1
-    state, rows = every, []
+    every = state = (1 << len(a)) - 1
     for line in b:
         hit = state & where.get(line, 0)
         state = (state + hit | state - hit) & every
-        rows.append(state)
-    i, j = len(b), len(a)
-    while i and j:
-        if rows[i - 1] >> j - 1 & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not i or rows[i - 1] >> j - 1 & 1:
-                j -= 1
-                out.append((j + start, i + start))
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence in memory that grows with the
+    lines, not their product: b is halved, and a split where both halves share
+    most, first on ties. Lines that the other page lacks are left out before."""
+    both = set(a) & set(b)
+    left, right = ([k for k, x in enumerate(lines) if x in both] for lines in (a, b))
+    todo, out = [(0, len(left), 0, len(right))], []
+    while todo:
+        i, j, p, q = todo.pop()
+        if i == j or p == q:
+            continue
+        own = [a[left[k]] for k in range(i, j)]
+        if q - p == 1:
+            line = b[right[p]]
+            if line in own:
+                out.append((left[i + own.index(line)], right[p]))
+            continue
+        middle = (p + q) // 2
+        first = _lengths(own, [b[right[k]] for k in range(p, middle)])
+        last = _lengths(own[::-1], [b[right[k]] for k in range(q - 1, middle - 1, -1)])[::-1]
+        cut = i + int((first + last).argmax())
+        todo += [(i, cut, p, middle), (cut, j, middle, q)]
     return sorted(out)
 
 
-def _parsed(pages: DataFrame, html: str) -> DataFrame:
-    """``pages`` plus lines: array of (zone, text, hash)."""
-    kind = pa.list_(pa.struct([("zone", pa.int8()), ("text", pa.string()), ("hash", pa.int64())]))
+def _hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
-    def make(texts: list[str]) -> list[pa.Array]:
-        rows = []
-        for t in texts:
-            blocks = page_blocks(t)
-            rows.append([{"zone": z, "text": x, "hash": xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63)} for z, x in blocks])
-        return [pa.array(rows, kind)]
 
-    return added(pages, html, "lines array<struct<zone: tinyint, text: string, hash: bigint>>", make, strings)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with the hashes of their lines in place of the text."""
+    kind = pa.list_(pa.int64())
+    for batch in batches:
+        for block in blocks([batch], "html"):
+            lines = pa.array([[_hash(x) for _, x in page_blocks(t)] for t in strings(block.column(4))], kind)
+            yield pa.RecordBatch.from_arrays([*block.columns[:4], lines], names=["_ng_d1", "_ng_d2", "page_id", "url", "hashes"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pages sorted by host, chunk and path: the free lines of pages without
-    an article that a neighbour of the same chunk shares."""
-
-    def closed(chunk):
-        shared = [set() for _ in chunk]
-        for k in range(len(chunk) - 1):
-            for i, j in common_lines(chunk[k][3], chunk[k + 1][3]):
-                shared[k].add(i)
-                shared[k + 1].add(j)
-        return [(row[0], sorted(i for i in lines if row[2][i] == FREE)) for row, lines in zip(chunk, shared) if MAIN not in row[2]]
-
-    held, key = [], None
+    """For pages sorted by host, chunk and place: the lines that a page shares
+    with the one before or after in its chunk."""
+    held, key = None, None
     for batch in batches:
         out = []
-        for row, name, zones, hashes in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-            if name != key:
-                out += closed(held)
-                held, key = [], name
-            held.append((row, name, zones, hashes))
-        yield _deleted(out)
-    yield _deleted(closed(held))
-
-
-def _deleted(rows) -> pa.RecordBatch:
-    rows = [r for r in rows if r[1]]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["_ng_row", "gone"])
+        for name, one, two, hashes in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            if name == key:
+                for i, j in common_lines(held[2], hashes):
+                    out += [(*held[:2], i), (one, two, j)]
+            held, key = (one, two, hashes), name
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], names=["_ng_d1", "_ng_d2", "line"])
+
+
+def shared_lines(slim: DataFrame) -> DataFrame:
+    """(_ng_d1, _ng_d2, shared): for each page (by its digest) that shares lines
+    with a neighbour, their places. Neighbours are the pages before and after by
+    path within the host. A host is dealt in chunks of CHUNK pages, each with
+    the first page of the next, so that a hot host spreads over tasks and no
+    pair is lost. Only hashes of lines move."""
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    thin = slim.select("_ng_d1", "_ng_d2", "page_id", "url", "html").mapInArrow(_hashed, f"_ng_d1 long, _ng_d2 long, page_id {dict(slim.dtypes)['page_id']}, url string, hashes array<bigint>")
+    thin = thin.select("_ng_d1", "_ng_d2", "page_id", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), F.lit(1).cast("long").alias("_ng_one"), F.monotonically_increasing_id().alias("_ng_row"), "hashes")
+    placed = running_total(thin, ["_ng_host"], ["_ng_path", "page_id", "_ng_d1", "_ng_d2", "_ng_row"], "_ng_one", "_ng_upto", "html-order")
+    placed = placed.withColumn("_ng_place", F.col("_ng_upto") - 1)
+    chunk = F.floor(F.col("_ng_place") / CHUNK)
+    edge = (F.col("_ng_place") > 0) & (F.col("_ng_place") % CHUNK == 0)
+    placed = placed.withColumn("_ng_chunk", F.explode(F.when(edge, F.array(chunk - 1, chunk)).otherwise(F.array(chunk))))
+    placed = placed.withColumn("_ng_key", F.concat_ws(" ", "_ng_host", F.col("_ng_chunk").cast("string")))
+    dealt = placed.repartition("_ng_key").sortWithinPartitions("_ng_key", "_ng_place").select("_ng_key", "_ng_d1", "_ng_d2", "hashes")
+    lines = dealt.mapInArrow(_shared, "_ng_d1 long, _ng_d2 long, line int").distinct()
+    return stage(lines.groupBy("_ng_d1", "_ng_d2").agg(F.array_sort(F.collect_list("line")).alias("shared")), "html-shared")
+
+
+def decided(blocks: list[tuple[int, str]], shared: list[int] | None) -> tuple[list[bool], list[bool], list[bool]]:
+    """Of each line: whether it stays, whether a neighbour shares it, and
+    whether markup overruled differencing."""
+    article = any(z == MAIN for z, _ in blocks)
+    gone = [False] * len(blocks)
+    for k in shared or ():
+        gone[k] = True
+    stays = [z == MAIN or (z != ASIDE and not g and (z == DOUBT or not article)) for (z, _), g in zip(blocks, gone)]
+    return stays, gone, [s == g for s, g in zip(stays, gone)]
 
 
 def main_text(pages: DataFrame, *, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """A row per row of ``pages``: page_id, url, text, n_chars.
+    """A row per row of ``pages``: page_id, url, text, n_chars, and by how many
+    lines: n_lines, n_shared (a neighbour has them too), n_kept (of these, those
+    that stay as an article's) and n_cut (unshared, deleted by markup).
 
-    text is the lines of the page's articles, or, without an article, the lines
-    outside boilerplate markup that no neighbour shares; joined by two line
-    feeds; empty if there are none. Neighbours are the pages before and after
-    by path within the host, in chunks of CHUNK pages, so that a hot host
-    spreads over tasks. Only hashes of lines move for the alignment.
+    text is the lines that stay, joined by two line feeds; empty if none do:
+    an article's lines but for those in a doubtful element that a neighbour
+    shares; without an article, the lines outside boilerplate markup that no
+    neighbour shares. Pages are read twice, once for the hashes that are aligned
+    and once for the text; no text is staged.
 
     Null html is empty; null urls are pages of one host without a name; pages
-    that tie in path are ordered by id; repeated rows are neighbours (free
-    lines of both go) and keep a row each. Other columns are not carried; an
-    empty table gives an empty one.
+    that tie in path are ordered by id, then digest; repeated rows are
+    neighbours (free lines of both go) and keep a row each. Other columns are
+    not carried; an empty table gives an empty one.
     """
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = stage(_parsed(slim, "html").drop("html").withColumn("_ng_row", F.monotonically_increasing_id()), "html-lines")
-    thin = rows.select("_ng_row", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), "page_id", F.lit(1).cast("long").alias("_ng_one"), F.col("lines.zone").alias("zones"), F.col("lines.hash").alias("hashes"))
-    placed = running_total(thin, ["_ng_host"], ["_ng_path", "page_id", "_ng_row"], "_ng_one", "_ng_place", "html-order")
-    chunks = thin.groupBy("_ng_host").agg(F.greatest(F.lit(1), F.floor(F.count("*") / CHUNK)).alias("_ng_chunks")).withColumnRenamed("_ng_host", "_ng_site")
-    placed = placed.join(small(chunks), F.col("_ng_host") == F.col("_ng_site"))
-    chunk = F.least(F.floor((F.col("_ng_place") - 1) / CHUNK), F.col("_ng_chunks") - 1)
-    placed = placed.withColumn("_ng_key", F.concat_ws(" ", "_ng_host", chunk.cast("string")))
-    dealt = placed.repartition("_ng_key").sortWithinPartitions("_ng_key", "_ng_place").select("_ng_row", "_ng_key", "zones", "hashes")
-    gone = stage(dealt.mapInArrow(_shared, "_ng_row long, gone array<int>"), "html-shared").withColumnRenamed("_ng_row", "_ng_of")
-    both = rows.join(small(gone), F.col("_ng_row") == F.col("_ng_of"), "left")
-    lines = F.expr(f"""CASE WHEN exists(lines, x -> x.zone = {MAIN}) THEN filter(lines, x -> x.zone = {MAIN})
-        ELSE filter(lines, (x, i) -> x.zone = {FREE} AND NOT coalesce(array_contains(gone, i), false)) END""")
-    text = F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n")
-    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    slim = slim.withColumns({f"_ng_d{k}": F.xxhash64(F.lit(k), "page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html") for k in (1, 2)})
+    gone = shared_lines(slim).withColumnsRenamed({"_ng_d1": "_ng_1", "_ng_d2": "_ng_2"})
+    both = slim.join(small(gone), (F.col("_ng_d1") == F.col("_ng_1")) & (F.col("_ng_d2") == F.col("_ng_2")), "left").select("page_id", "url", "html", "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "html"):
+            texts, counts = [], []
+            for body, shared in zip(strings(block.column(2)), block.column(3).to_pylist()):
+                found = page_blocks(body)
+                stays, gone, over = decided(found, shared)
+                texts.append("\n\n".join(x for (_, x), s in zip(found, stays) if s))
+                counts.append((len(texts[-1]), len(found), sum(gone), sum(g and o for g, o in zip(gone, over)), sum(o and not g for g, o in zip(gone, over))))
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(texts, pa.string()), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]],
+                                             names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_kept", "n_cut"])
+
+    kinds = dict(both.dtypes)
+    return both.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint, n_kept bigint, n_cut bigint")

@@ -317,22 +317,89 @@ def test_patterns_discover(spark):
     assert got[50] == f"key:{at}:{at + 8}" and got[51] == "" and all(got[k] for k in range(9))
 
 
-def test_common_lines():
-    rng = random.Random(6)
+def prefix_lengths(a, b):
+    row = [0] * (len(a) + 1)
+    for y in b:
+        last = row[:]
+        for i, x in enumerate(a):
+            row[i + 1] = last[i] + 1 if x == y else max(last[i + 1], row[i])
+    return row
+
+
+def brute_common(a, b):
+    """The pairs of common_lines by full tables: b halved where both halves share most, first on ties."""
+    if not a or not b:
+        return []
+    if len(b) == 1:
+        return [(a.index(b[0]), 0)] if b[0] in a else []
+    m = len(b) // 2
+    last = prefix_lengths(a[::-1], b[m:][::-1])[::-1]
+    both = [x + y for x, y in zip(prefix_lengths(a, b[:m]), last)]
+    cut = both.index(max(both))
+    return brute_common(a[:cut], b[:m]) + [(i + cut, j + m) for i, j in brute_common(a[cut:], b[m:])]
 
-    def length(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = row[:]
-            for j, y in enumerate(b):
-                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
-        return row[-1]
 
+def test_common_lines():
+    rng = random.Random(6)
     for _ in range(400):
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(0, 14))] for _ in range(2))
         pairs = htmltext.common_lines(a, b)
-        assert len(pairs) == length(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert len(pairs) == prefix_lengths(a, b)[-1] and all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    a, b = ([rng.randrange(40_000) for _ in range(30_000)] for _ in range(2))
+    a[5_000:9_000] = b[20_000:24_000]
+    assert len(htmltext.common_lines(a, b)) >= 4_000
+
+
+def test_pages_like_brute_force(spark, monkeypatch):
+    """The whole query against plain loops over pages whose lines and zones are
+    known, on hosts of one page to many chunks, with lines that only two neighbours share."""
+    monkeypatch.setattr(htmltext, "CHUNK", 8)
+    rng = random.Random(21)
+    menu, ads = [f"menu {k}" for k in range(6)], [f"ad {k}" for k in range(400)]
+    wrap = {"free": "<div>{}</div>", "aside": "<nav>{}</nav>", "main": "<p>{}</p>", "doubt": "<div class='share'>{}</div>", "hint": "<div class='sidebar'>{}</div>"}
+    pages = []
+    for host, n in (("a", 1), ("b", 7), ("c", 8), ("d", 9), ("e", 40), ("f", 17)):
+        for k in range(n):
+            article = rng.random() < 0.4
+            top = [("free", rng.choice(menu)) for _ in range(rng.randrange(3))] + [("aside", rng.choice(menu))] + [("hint", rng.choice(ads))]
+            body = [("free", f"line {host} {rng.randrange(12)}") for _ in range(rng.randrange(5))]
+            text = [(rng.choice(("main", "main", "doubt")), f"story {host} {rng.randrange(10)}") for _ in range(rng.randrange(1, 5))] if article else []
+            html = lambda part: "".join(wrap[z].format(x) for z, x in part)
+            pages.append((len(pages), f"http://{host}.example/{rng.randrange(30):03d}", top + body + text, "<body>" + html(top + body) + (f"<article>{html(text)}</article>" if article else "")))
+    order = sorted(pages, key=lambda p: (p[1], p[0]))
+    shared = {p[0]: set() for p in pages}
+    for p, q in zip(order, order[1:]):
+        if p[1].split("/")[2] == q[1].split("/")[2]:
+            own, other = ([x for _, x in r[2]] for r in (p, q))
+            keep = [[k for k, x in enumerate(lines) if x in rest] for lines, rest in ((own, other), (other, own))]
+            for i, j in brute_common([own[k] for k in keep[0]], [other[k] for k in keep[1]]):
+                shared[p[0]].add(keep[0][i])
+                shared[q[0]].add(keep[1][j])
+    want = []
+    for i, url, lines, _ in pages:
+        article = any(z == "main" for z, _ in lines)
+        stays = [z == "main" or (z == "doubt" and k not in shared[i]) or (z == "free" and not article and k not in shared[i]) for k, (z, _) in enumerate(lines)]
+        text = "\n\n".join(x for (_, x), s in zip(lines, stays) if s)
+        want.append((i, url, text, len(text), len(lines), len(shared[i]), sum(s and k in shared[i] for k, s in enumerate(stays)), sum(not s and k not in shared[i] for k, s in enumerate(stays))))
+    got = htmltext.main_text(spark.createDataFrame([(i, u, h) for i, u, _, h in pages], "page_id long, url string, html string").repartition(5))
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(map(len, shared.values())) > 100
+
+
+def test_chunk_edge(spark):
+    """A line that only two neighbours share goes, wherever the chunks of a host part."""
+    rows = [(k, f"http://h.example/{k:05d}", f"<div>story {k}</div><div>pair {k // 2 if k < 64 else (k + 1) // 2}</div>") for k in range(200)]
+    rows = [(k, u, h if k not in (63, 64) else f"<div>story {k}</div><div>the edge</div>") for k, u, h in rows]
+    out = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[63] == "story 63" and out[64] == "story 64" and out[10] == "story 10"
+
+
+def test_implied_end_tags():
+    zones = lambda t: [(z, x) for z, x in htmltext.page_blocks(t)]
+    assert zones("<html><head><title>t</title><body><p>one<article><p class='share'>two<p>three</article>") == [(htmltext.ASIDE, "t"), (htmltext.FREE, "one"), (htmltext.DOUBT, "two"), (htmltext.MAIN, "three")]
+    assert zones("<head><title>t</title><p>one") == [(htmltext.ASIDE, "t"), (htmltext.FREE, "one")]
+    assert zones("<ul><li class='menu'>a<ul><li>b</ul>c<li>d</ul>") == [(htmltext.ASIDE, "a"), (htmltext.ASIDE, "b"), (htmltext.ASIDE, "c"), (htmltext.FREE, "d")]
 
 
 ARTICLE = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li>Home</li></ul></nav><div class='ad'>Buy <div>now</div></div>{}<footer>&copy; x</footer>"
