@@ -1,7 +1,8 @@
 """Operator 2: license scan with ordered signature rules.
 
 A text becomes its words, lower-cased and joined by single spaces; rules are
-regular expressions over that line. A rule runs only if the text has all its
+regular expressions over that line, written by hand for bodies, notices and
+exceptions (license_texts) and formed of names and versions for the rest. A rule runs only if the text has all its
 keywords; detections that overlap are resolved by priority and containment.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from notegrid.llm.arrow import added, utf8
 from notegrid.llm.common import without
+from notegrid.llm.license_texts import keywords, signatures, split_up
 
 #: Words are runs of digits, ASCII letters (lower-cased) and all non-ASCII bytes.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,17 +61,6 @@ FAMILIES = (
     ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
 )
 
-#: Rules for texts of licenses, without a family's pattern (fixed values).
-TEXTS = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 0.95),
-    ("proprietary", "all rights reserved", 0.5),
-    ("public-domain", "(?:released into|placed in|dedicated to) the public domain", 0.8),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     """One signature. Smaller ``order`` wins; ``keywords`` must all occur in the text."""
@@ -82,41 +74,49 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All signatures, most specific forms first: each family's names and
-    versions under each form a notice takes."""
+    """All signatures, most certain first, then those written by hand, then the
+    longest: the hand-written ones, and each family's names and versions under
+    each form a notice takes."""
     edge = r"(?<!\S)", r"(?!\S)"
-    found: list[tuple[float, str, str, tuple[str, ...]]] = []
+    written = [(score, label, part, keywords(part)) for score, label, pattern in signatures() for part in split_up(pattern)]
+    found = []
     for label, names, versions in FAMILIES:
+        tails = [("", r"(?: licen[cs]e)?")]
+        if label.endswith("gpl"):
+            tails += [("-or-later", r" or (?:at your option )?(?:any )?later(?: version)?"), ("-only", r" only")]
         for name in names:
             words = tuple(name.split())
             creative = label.startswith("cc")
             for version in versions:
                 tag = f"{label}-{version.replace(' clause', '').replace(' ', '.')}".removesuffix(".0")
-                found.append((1.0, tag, rf"spdx license identifier {name} (?:v )?v?{version}(?: only| or later)?", ("spdx", *words)))
                 form = rf"{name} (?:licen[cs]e )?(?:version |v )?v?{version}" if not creative else rf"{name} (?:international |unported )?{version}"
-                tail = r"(?: or (?:any )?later(?: version)?)?(?: licen[cs]e)?"
-                given = rf"(?:licensed|released|distributed|published|available|redistribute it) (?:[^ ]+ ){{0,4}}?(?:under|with) (?:the )?(?:terms of the )?{form}{tail}"
-                found.append((0.95, tag, given, words))
-                found.append((0.85, tag, form + tail if creative or label in ("apache", "bsd") else rf"{name} licen[cs]e (?:version |v )?v?{version}{tail}", words))
+                for mark, tail in tails:
+                    found.append((1.0, tag + mark, rf"spdx license identifier {name} (?:v )?v?{version}{tail if mark else ''}", ("spdx", *words)))
+                    given = rf"(?:licensed|released|distributed|published|available|redistribute it) (?:[^ ]+ ){{0,4}}?(?:under|with) (?:the )?(?:terms of the )?{form}{tail}"
+                    found.append((0.95, tag + mark, given, words))
+                    found.append((0.85, tag + mark, form + tail if creative or label in ("apache", "bsd") else rf"{name} licen[cs]e (?:version |v )?v?{version}{tail}", words))
             found.append((0.9, label, rf"spdx license identifier {name}", ("spdx", *words)))
             found.append((0.8, label, rf"(?:licensed|released|distributed|published|available) (?:[^ ]+ ){{0,4}}?under (?:the )?(?:terms of the )?{name}(?: licen[cs]e)?" if creative or len(words) > 1 else rf"(?:under|with) the (?:terms of the )?{name} licen[cs]e", words))
             if not creative or len(words) > 2 or name == "cc0":
                 found.append((0.6, label, rf"{name} licen[cs]e", words))
-    for label, pattern, score in TEXTS:
-        plain = re.sub(r"\(.*?\)", " ", pattern).split()
-        found.append((score, label, pattern, tuple(plain)))
-    found.sort(key=lambda r: (-r[0], -len(r[2]), r[1], r[2]))
+    made, own = set(found), set(written)
+    found = sorted(made | own, key=lambda r: (-r[0], r not in own, -len(r[2]), r[1], r[2]))
     return tuple(Rule(i, label, re.compile((edge[0] + pattern + edge[1]).encode()), frozenset(w.encode() for w in words), score)
                  for i, (score, label, pattern, words) in enumerate(found))
 
 
 @cache
-def _gates() -> tuple[frozenset, tuple[tuple[frozenset, tuple[Rule, ...]], ...]]:
-    """All keywords, and the rules of each keyword set."""
+def _gates() -> dict[bytes, tuple[tuple[frozenset, tuple[Rule, ...]], ...]]:
+    """The rules of each keyword set, by the word of it that fewest sets have,
+    the longest on ties: a text without that word passes over them at once."""
     sets: dict[frozenset, list[Rule]] = {}
     for rule in rules():
         sets.setdefault(rule.keywords, []).append(rule)
-    return frozenset().union(*sets), tuple((k, tuple(v)) for k, v in sets.items())
+    held = Counter(w for k in sets for w in k)
+    out: dict[bytes, list] = {}
+    for own, some in sets.items():
+        out.setdefault(min(own, key=lambda w: (held[w], -len(w), w)), []).append((own, tuple(some)))
+    return {w: tuple(x) for w, x in out.items()}
 
 
 def places(line: bytes, phrase: bytes) -> list[int]:
@@ -166,12 +166,11 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int,
         if phrase in line:
             n = phrase.count(b" ") + 1
             base += [(k, k + n, label) for k in map(at, places(line, phrase))]
-    every, gates = _gates()
-    present = every.intersection(words)
+    gates, present = _gates(), frozenset(words)
     found = []
-    if present:
-        for keywords, own in gates:
-            if keywords <= present:
+    for word in gates.keys() & present:
+        for needed, own in gates[word]:
+            if needed <= present:
                 for rule in own:
                     found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(line)]
     kept = [(at(a), at(b - 1) + 1, r.label, r.score) for a, b, r in resolve(found)]
