@@ -221,7 +221,7 @@ def shared_lines(slim: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     thin = slim.select("_ng_d1", "_ng_d2", "page_id", "url", "html").mapInArrow(_hashed, f"_ng_d1 long, _ng_d2 long, page_id {dict(slim.dtypes)['page_id']}, url string, hashes array<bigint>")
-    thin = thin.select("_ng_d1", "_ng_d2", "page_id", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), F.lit(1).cast("long").alias("_ng_one"), F.monotonically_increasing_id().alias("_ng_row"), "hashes")
+    thin = stage(thin.select("_ng_d1", "_ng_d2", "page_id", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), F.lit(1).cast("long").alias("_ng_one"), F.monotonically_increasing_id().alias("_ng_row"), "hashes"), "html-lines")
     placed = running_total(thin, ["_ng_host"], ["_ng_path", "page_id", "_ng_d1", "_ng_d2", "_ng_row"], "_ng_one", "_ng_upto", "html-order")
     placed = placed.withColumn("_ng_place", F.col("_ng_upto") - 1)
     chunk = F.floor(F.col("_ng_place") / CHUNK)

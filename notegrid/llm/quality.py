@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 #: Bound of the trusted rows that the target model is fitted on.
 SAMPLE = 20_000
 #: Mean log-likelihood ratio of an n-gram below which a text is dropped.
-LEAST = -0.5
+LEAST = -1.0
 
 
 def _let(value, body):
@@ -34,10 +34,12 @@ def _hashes(words):
 
 
 def _grams(words, hashes):
-    """Buckets of a text's words and of the last two characters of each, a
-    character n-gram that few texts suffice to know."""
+    """Buckets of a text's words, of its pairs of neighbouring words, and of the
+    last two characters of each word, a character n-gram that few texts suffice
+    to know. Both arguments are computed once (see :func:`_let`)."""
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    return F.concat(F.transform(hashes, bucket), F.transform(words, lambda w: bucket(F.xxhash64(F.substring(w, -2, 2), F.lit(2)))))
+    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.lit(0), F.size(hashes) - 1)), lambda a, b: bucket(F.xxhash64(a, b)))
+    return F.concat(F.transform(hashes, bucket), F.slice(pairs, 1, F.greatest(F.lit(0), F.size(hashes) - 1)), F.transform(words, lambda w: bucket(F.xxhash64(F.substring(w, -2, 2), F.lit(2)))))
 
 
 def _repeated(hashes):
@@ -73,7 +75,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_
         ids = ids.where(F.pmod(F.xxhash64("_ng_trusted"), F.lit(span)) < int(span * sample / n))
     rows = docs.select(F.col(doc_id).alias("_ng_id"), F.col(text).alias("_ng_text"))
     rows = rows.join(F.broadcast(ids), F.col("_ng_id") == F.col("_ng_trusted"), "left")
-    found = _let(_words(F.col("_ng_text")), lambda w: _grams(w, _hashes(w)))
+    found = _let(_words(F.col("_ng_text")), lambda w: _let(_hashes(w), lambda h: _grams(w, h)))
     grams = rows.select(F.col("_ng_trusted").isNotNull().cast("long").alias("t"), F.explode(found).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -85,8 +87,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_
 
 def quality(docs: DataFrame, trusted: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: float = LEAST, **options) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, llr (mean log ratio of the words and their
-    endings) and kept.
+    n_repeat_words, base_failed, llr (mean log ratio of the words, pairs of words
+    and endings) and kept.
 
     kept is false if base_failed, else whether llr >= ``least``: the same
     threshold for every document, without sampling. Without trusted rows every

@@ -30,8 +30,11 @@ def _directory(thin: DataFrame, limit: int, low: int, depth: int) -> DataFrame:
     leaves = stage(leaves, "shard-leaves")
     up = leaves.withColumn("d", F.explode(F.sequence(F.lit(low), F.lit(depth))))
     up = up.withColumn("p", F.expr(f"shiftright(leaf, {depth} - d)"))
-    fits = up.groupBy("d", "p").agg(F.sum("b").alias("bytes"), F.sum("n").alias("docs")).where(F.col("bytes") <= limit)
-    found = up.select("leaf", "d", "p").join(fits, ["d", "p"]).groupBy("leaf").agg(F.min(F.struct("d", "bytes", "docs")).alias("s"))
+    fits = stage(up.groupBy("d", "p").agg(F.sum("b").alias("bytes"), F.sum("n").alias("docs")).where(F.col("bytes") <= limit), "shard-fits")
+    lowest = fits.agg(F.min("d")).first()[0]
+    up = up.where(F.lit(lowest is not None) & (F.col("d") >= F.lit(lowest or 0))).select("leaf", "d", "p")  # no key of many leaves is left
+    # sorted, as Spark's guess of the exploded side's size is that of the file it comes from
+    found = up.hint("merge").join(fits, ["d", "p"]).groupBy("leaf").agg(F.min(F.struct("d", "bytes", "docs")).alias("s"))
     return stage(leaves.select("leaf").join(found, "leaf", "left").select("leaf", F.col("s.d").alias("local"), F.col("s.bytes").alias("bytes"), F.col("s.docs").alias("docs")), "shard-directory")
 
 

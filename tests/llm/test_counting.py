@@ -324,10 +324,54 @@ def test_quality(docs, rows, clashing, empty, spark):
     assert quality.quality(docs, trusted.limit(0)).count() == len(rows)
 
 
-def test_quality_verdict(spark):
-    """Clean labelled rows stay and junk goes, at the scale factor that has enough of both."""
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    out = quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("quality = 1").select("doc_id")).where("n_words >= 50").join(labels, "doc_id")
-    good, bad = out.where("quality = 1").agg({"*": "count"}).first()[0], out.where("quality = 0").count()
-    assert out.where("quality = 1 AND kept").count() >= 0.99 * good and out.where("quality = 0 AND kept").count() <= 0.02 * bad
+def native_xxh64(*parts, seed=42):
+    """XXH64 of one UTF-8 text, or chained over longs as Spark hashes several columns."""
+    import xxhash
+
+    value = seed
+    for p in parts:
+        value = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else (p % (1 << 64)).to_bytes(8, "little"), value)
+    return value
+
+
+def brute_ratio(texts, trusted):
+    """Mean log ratio of each text's words, pairs and endings, from counts in dictionaries."""
+    def grams(text):
+        words = WORD.findall(text or "")
+        hashes = [native_xxh64(w) for w in words]
+        ends = [native_xxh64(2 .to_bytes(4, "little").decode(), seed=native_xxh64(w[-2:])) for w in words]
+        return [h % quality.BUCKETS for h in [*hashes, *(native_xxh64(a, b) for a, b in zip(hashes, hashes[1:])), *ends]]
+
+    own = [grams(t) for t in texts]
+    raw, target = Counter(), Counter()
+    for k, g in enumerate(own):
+        raw.update(g)
+        if k in trusted:
+            target.update(g)
+    total = lambda c: sum(c.values()) + quality.BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / total(target)) - math.log((raw[g] + 1) / total(raw))
+    return [sum(map(ratio, g)) / max(1, len(g)) for g in own]
+
+
+def test_ratio(spark, sf_dir):
+    """The query's ratio and verdict against dictionaries, over a whole table."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    labels = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    from notegrid.llm.queries import queries
+
+    got = {r.doc_id: r for r in queries()["op6_quality_ratio"](spark, sf_dir).collect()}
+    want = brute_ratio([r.text for r in rows], {k for k, r in enumerate(rows) if r.doc_id in labels})
+    for r, value in zip(rows, want):
+        assert abs(got[r.doc_id].llr - value) < 1e-9 and got[r.doc_id].kept == (not brute_quality(r.text)[-1] and value >= quality.LEAST)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("half", [0, 1])
+def test_quality_verdict(spark, sf, half):
+    """Clean rows stay and junk goes among labelled rows that the target was not
+    fitted on. The threshold was set between the two by the even half of sf0.01."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    own = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 2 = "
+    out = quality.quality(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), labels.where(f"quality = 1 AND {own} {half}").select("doc_id"))
+    out = out.where("NOT base_failed").join(labels.where(f"{own} {1 - half}"), "doc_id").groupBy("quality", "kept").count().collect()
+    assert {(r.quality, r.kept) for r in out} == {(1, True), (0, False)}
