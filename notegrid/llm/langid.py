@@ -43,39 +43,39 @@ class Model:
         rates = counts + smoothing
         self.rates = np.ascontiguousarray((rates / rates.sum(axis=1, keepdims=True)).T)
 
-    def predict(self, text: str, penalty: float, rounds: int) -> tuple[str, float]:
+    def predict(self, text: str, penalty: float, rounds: int) -> list[tuple[str, float]]:
+        """The chosen languages and their shares, largest first; none for a text without letters."""
         found = grams(text) if self.names else None
         if found is None:
-            return UNDETERMINED, 0.0
+            return []
         counts = np.bincount(found, minlength=BUCKETS)
         used = np.flatnonzero(counts)
         counts = counts[used].astype(float)
         return self.mixture(counts, self.rates[used], penalty, rounds)
 
-    def mixture(self, counts: np.ndarray, rates: np.ndarray, penalty: float, rounds: int) -> tuple[str, float]:
-        total = counts.sum()
-        price = penalty * (1.0 + np.log(total))
+    def mixture(self, counts: np.ndarray, rates: np.ndarray, penalty: float, rounds: int) -> list[tuple[str, float]]:
+        price = penalty * (1.0 + np.log(counts.sum()))
         alone = counts @ np.log(rates)
         chosen = [int(alone.argmax())]
         best, weights = float(alone[chosen[0]]), np.ones(1)
         if len(self.names) > 1:
-            every, upper = em(counts, rates, rounds)
-            order = [int(k) for k in np.argsort(-every, kind="stable")]
+            every, _, upper = em(counts, rates, rounds)
             if upper - best > price:  # else no larger set can win
-                for k in order:
+                for k in map(int, np.argsort(-every, kind="stable")):
                     if k in chosen:
                         continue
                     trial = [*chosen, k]
-                    shares, likelihood = em(counts, rates[:, trial], rounds)
+                    shares, likelihood, _ = em(counts, rates[:, trial], rounds)
                     if likelihood - best <= price:
                         break
                     chosen, best, weights = trial, likelihood, shares
-        top = int(weights.argmax())
-        return self.names[chosen[top]], float(min(1.0, weights[top]))
+        return [(self.names[chosen[k]], float(min(1.0, weights[k]))) for k in np.argsort(-weights, kind="stable")]
 
 
-def em(counts: np.ndarray, rates: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Mixture proportions and the log-likelihood they reach."""
+def em(counts: np.ndarray, rates: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, float, float]:
+    """Mixture proportions, the log-likelihood they reach, and a bound that no
+    proportions pass: the likelihood is concave in them, so its tangent at the
+    last ones lies above it, and over proportions is largest at one language."""
     total = counts.sum()
     shares = np.full(rates.shape[1], 1.0 / rates.shape[1])
     mixed = rates @ shares
@@ -85,7 +85,8 @@ def em(counts: np.ndarray, rates: np.ndarray, rounds: int, tolerance: float = 1e
         shares, mixed = after, rates @ after
         if moved < tolerance:
             break
-    return shares, float(counts @ np.log(mixed))
+    reached = float(counts @ np.log(mixed))
+    return shares, reached, reached + max(0.0, float((rates.T @ (counts / mixed)).max() - total))
 
 
 def held_out(doc_id: str):
@@ -135,27 +136,29 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", penalty: float = 4.0, rounds: int = 25) -> DataFrame:
-    """``docs`` plus lang_pred and score.
-
-    lang_pred is the language of the largest share in the chosen set, score
-    that share. ``penalty`` is the log-likelihood, in units of 1 + log(number
-    of n-grams), that each further language must gain. Null text and text
-    without a letter are 'und' with score 0, as is everything if no label was
-    learned. Whole texts are read; language, source and id are not. Repeated
-    rows and empty tables need nothing; added columns replace input columns of
-    their names.
+    """``docs`` plus lang_pred, score and languages.
+
+    languages are the chosen set and its shares, largest first; lang_pred is the
+    first of them, score its share. ``penalty`` is the log-likelihood, in units
+    of 1 + log(number of n-grams), that each further language must gain. Null
+    text and text without a letter are 'und' with score 0 and no languages, as
+    is everything if no label was learned. Whole texts are read; language,
+    source and id are not. Repeated rows and empty tables need nothing; added
+    columns replace input columns of their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def make(texts: list[str]) -> list[pa.Array]:
         found = [shared.value.predict(t, penalty, rounds) for t in texts]
-        return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        tops = [f[0] if f else (UNDETERMINED, 0.0) for f in found]
+        return [pa.array([t[0] for t in tops], pa.string()), pa.array([t[1] for t in tops], pa.float64()), pa.array([[{"lang": n, "share": x} for n, x in f] for f in found], kind)]
 
-    return added(without(docs, ["lang_pred", "score"]), text, "lang_pred string, score double", make, strings)
+    return added(without(docs, ["lang_pred", "score", "languages"]), text, "lang_pred string, score double, languages array<struct<lang: string, share: double>>", make, strings)
 
 
 def language_id(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row. A null id is not held
+    """doc_id, held_out, lang_pred, score, languages of every row. A null id is not held
     out and not learned from."""
     model = fit(docs, text=text, lang=lang, doc_id=doc_id)
     slim = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))

@@ -255,10 +255,88 @@ def test_mixture_of_languages():
     model = langid.Model(["a", "b", "c"], np.zeros((3, langid.BUCKETS)))
     counts = rng.multinomial(3000, 0.7 * tables[0] + 0.3 * tables[2]).astype(float)
     rates = np.ascontiguousarray(tables.T) + 1e-6
-    name, share = model.mixture(counts, rates, 4.0, 50)
-    assert name == "a" and abs(share - 0.7) < 0.08
-    name, share = model.mixture(rng.multinomial(3000, tables[1]).astype(float), rates, 4.0, 50)
-    assert (name, share) == ("b", 1.0)
+    found = model.mixture(counts, rates, 4.0, 50)
+    assert [n for n, _ in found] == ["a", "c"] and abs(found[0][1] - 0.7) < 0.08 and abs(sum(x for _, x in found) - 1) < 1e-6
+    assert model.mixture(rng.multinomial(3000, tables[1]).astype(float), rates, 4.0, 50) == [("b", 1.0)]
+    for _ in range(50):  # no proportions pass the bound, however early the rounds end
+        counts = rng.multinomial(rng.integers(1, 400), tables[rng.integers(3)]).astype(float)
+        upper = langid.em(counts, rates, int(rng.integers(1, 6)))[2]
+        assert upper >= max(counts @ np.log(rates @ w) for w in rng.dirichlet(np.ones(3), 300)) - 1e-9
+
+
+def brute_languages(rows, penalty=4.0, rounds=25, tolerance=1e-3):
+    """languages of each (id, text, lang), by dictionaries and loops over the letters of the text."""
+    import math
+    import zlib
+
+    def counts(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            return None
+        units = f" {' '.join(words)} ".encode("utf-16-le")
+        units = [units[k] | units[k + 1] << 8 for k in range(0, len(units), 2)]
+        out = Counter()
+        for x, y, z in zip(units, units[1:], units[2:]):
+            mixed = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+            mixed ^= mixed >> 15
+            out[(mixed * 0x2C1B3C6D & 0xFFFFFFFF) >> 18] += 1
+        return out
+
+    learned = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang].update(counts(text) or {})
+    names = sorted(learned)
+    size = {n: sum(learned[n].values()) + 0.2 * langid.BUCKETS for n in names}
+    rate = lambda n, g: (learned[n][g] + 0.2) / size[n]
+
+    def em(own, some):
+        table = [(c, [rate(n, g) for n in some]) for g, c in own.items()]
+        shares, total = [1 / len(some)] * len(some), sum(own.values())
+        for _ in range(rounds):
+            after = [0.0] * len(some)
+            for c, r in table:
+                mixed = sum(map(float.__mul__, r, shares))
+                for k, x in enumerate(r):
+                    after[k] += c * x * shares[k] / mixed / total
+            moved = max(abs(a - b) for a, b in zip(after, shares))
+            shares = after
+            if moved < tolerance:
+                break
+        return shares, sum(c * math.log(sum(map(float.__mul__, r, shares))) for c, r in table)
+
+    out = []
+    for _, text, _ in rows:
+        own = counts(text)
+        if own is None:
+            out.append([])
+            continue
+        price = penalty * (1 + math.log(sum(own.values())))
+        alone = {n: sum(c * math.log(rate(n, g)) for g, c in own.items()) for n in names}
+        chosen = [max(names, key=lambda n: alone[n])]
+        best, shares = alone[chosen[0]], [1.0]
+        every = dict(zip(names, em(own, names)[0]))
+        for n in sorted((n for n in names if n not in chosen), key=lambda n: -every[n]):
+            trial = em(own, [*chosen, n])
+            if trial[1] - best <= price:
+                break
+            chosen, (shares, best) = [*chosen, n], trial
+        out.append(sorted(zip(chosen, shares), key=lambda x: -x[1]))
+    return out
+
+
+def test_languages_like_brute_force(spark, sf_dir):
+    """The whole query against loops, with texts that mix languages."""
+    rows = [(r.doc_id, r.text and r.text[:1500], r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()][:90]
+    texts = {lang: next(t for _, t, x in rows if x == lang and len(t or "") > 300) for lang in ("en", "de", "fr")}
+    rows += [(9000, texts["en"][:300] + " " + texts["fr"][:250], None), (9001, " ".join(t[:200] for t in texts.values()), None), (9002, "12 34", None), (9003, None, "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in langid.language_id(table).collect()}
+    for (i, _, _), want in zip(rows, brute_languages(rows)):
+        found = [(x.lang, x.share) for x in got[i].languages]
+        assert [n for n, _ in found] == [n for n, _ in want] and all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(found, want))
+        assert (got[i].lang_pred, got[i].score) == (found[0] if found else ("und", 0.0))
+    assert len(got[9000].languages) == 2 and got[9001].languages
 
 
 BASE = {
@@ -521,8 +599,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     got = [tuple(r[:5]) + (r.shard_id,) for r in pipeline.run(spark, sf).select("doc_id", "text", "lang", "source", "n_chars", "shard_id").collect()]
 
-    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
-    left = [r for r in rows if (p := model.predict(r[1] or "", 4.0, 25))[0] != "und" and p[1] >= 0.5]
+    left = [r for r, p in zip(rows, brute_languages([(r[0], r[1], r[2]) for r in rows])) if p and p[0][1] >= 0.5]
     left = brute_deduplicated(left)
     left = [r for r in left if item not in r[1]]
     _, _, _, taken = brute_mix(left)
