@@ -1,15 +1,17 @@
 """Operator 10: benchmark decontamination by edit distance on word windows.
 
-Windows as long as a benchmark item pass a q-gram count, first against all
-items of the length and then against each item: a bound that no part of a text
-within the edit limit fails. All that pass are verified by exact edit distance,
-so nothing is sampled and an item of any length is found.
+An item within the edit limit has a piece that is, too. Windows as long as a
+piece pass a q-gram count (a bound that no window within the limit fails), are
+embedded by CGK random walks, which turn edit distance into Hamming distance,
+and meet pieces by repeated sampling of coordinates, as often as a stated recall
+needs. Where a piece is met, its whole item is verified by exact edit distance.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegrid.llm.arrow import blocks, utf8
-
-#: Edits allowed for each word of an item, and the words below which an item is met by its pieces, not by trigrams.
-RATE, SHORT = 0.2, 8
-#: Benchmark text that is held in memory at once; larger benchmarks are searched in blocks.
-BLOCK = 8 << 20
+from notegrid.llm.common import small, stage
+from notegrid.llm.simhash import row_digest
+
+#: Edits allowed for each word of an item, and the words below which an item is met by its halves, word for word.
+RATE, SHORT = 0.2, 10
+#: Words of a piece, at least, where an item has more than one.
+PIECE = 24
+#: Share of the pieces at their edit limit that the walks are to meet; coordinates in a sample, samples of a walk, walks at most.
+RECALL, COORDINATES, SAMPLES, WALKS = 0.999, 2, 6, 96
+#: Benchmark text that is held in memory at once; larger benchmarks are searched in blocks, one after the other.
+BLOCK = 2 << 20
 _LUT = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
-#: Marked positions whose items are listed at once.
-STEP = 100_000
 _FILTER_BITS = 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -67,10 +73,16 @@ def allowed(n: int) -> int:
     return int(RATE * n)
 
 
-def shared_at_least(n: int) -> int:
-    """Trigrams that an item of n words shares with any text within its edits:
-    an edit touches three at most."""
-    return max(1, n - 2 - 3 * allowed(n))
+def cuts(n: int) -> list[int]:
+    """Bounds of the pieces of an item of n words, each of PIECE to 2 * PIECE - 1 words, or one."""
+    pieces = max(1, n // PIECE)
+    return [n * k // pieces for k in range(pieces + 1)]
+
+
+def shared_at_least(n: int, edits: int) -> int:
+    """Trigrams that n words share with any window of n words within so many
+    edits: an edit touches three at most, one that it pushes out of the window included."""
+    return max(1, n - 2 - 3 * edits)
 
 
 def trigrams(words: np.ndarray) -> np.ndarray:
@@ -89,6 +101,64 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def embed(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int, walk: int) -> np.ndarray:
+    """CGK embedding, (2n, windows), of the windows of n words at ``starts``: at
+    each step a window emits its current word and moves on if a random bit of
+    (walk, step, word) says so; past its end or its text's it emits 0. A walk of
+    n words ends after about 2n steps."""
+    at = starts.copy()
+    ends = np.minimum(starts + n, stops)
+    out = np.zeros((2 * n, len(starts)), dtype=np.uint64)
+    padded = np.concatenate([words, np.zeros(1, np.uint64)])
+    with np.errstate(over="ignore"):
+        for j in range(2 * n):
+            current = np.where(at < ends, padded[np.minimum(at, len(words))], np.uint64(0))
+            out[j] = current
+            coin = (current ^ np.uint64((walk * 1_000_003 + j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * _M2
+            at += ((coin >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def sample_keys(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int, walk: int) -> np.ndarray:
+    """(SAMPLES, windows): hashes of COORDINATES random coordinates of each
+    window's embedding. A key of padding alone is 0 and meets nothing."""
+    embedded = embed(words, starts, stops, n, walk)
+    picks = np.random.default_rng((n, walk)).integers(0, 2 * n, (SAMPLES, COORDINATES))
+    out = np.zeros((SAMPLES, len(starts)), np.uint64)
+    with np.errstate(over="ignore"):
+        for s in range(SAMPLES):
+            for c in picks[s]:
+                out[s] = (out[s] ^ embedded[c]) * _M1
+                out[s] ^= out[s] >> np.uint64(32)
+            out[s][~embedded[picks[s]].any(axis=0)] = 0
+    return out
+
+
+@cache
+def walks(n: int, edits: int, pairs: int = 2000) -> int:
+    """Walks after which at least RECALL of pieces of n words meet themselves with
+    ``edits`` random edits, counted over simulated pairs with the walks' own
+    random bits; WALKS at most."""
+    rng = np.random.default_rng((n, edits))
+    left = rng.integers(1, 1 << 62, (pairs, n)).astype(np.uint64)
+    right = np.zeros((pairs, n), np.uint64)
+    for k in range(pairs):
+        words = left[k].tolist()
+        for _ in range(edits):
+            place, new = int(rng.integers(len(words))), int(rng.integers(1, 1 << 62))
+            words[place:place + 1] = ([new], [], [new, words[place]])[int(rng.integers(3))]
+        words += rng.integers(1, 1 << 62, n).tolist()
+        right[k] = words[:n]
+    starts = np.arange(pairs, dtype=np.int64) * n
+    missed = np.ones(pairs, bool)
+    for walk in range(WALKS):
+        a, b = (sample_keys(x.ravel(), starts, starts + n, n, walk) for x in (left, right))
+        missed &= ~((a == b) & (a != 0)).any(axis=0)
+        if missed.mean() <= 1 - RECALL:
+            return walk + 1
+    return WALKS
+
+
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     """(distance, end): the least edit distance of the item to any part of the
     text and the first end that reaches it (Myers' bit rows)."""
@@ -128,25 +198,36 @@ class Items:
             if len(own):
                 self.ids.append(name)
                 self.words.append(own)
-        self.lengths: dict[int, list[int]] = {}
+        # pieces of long items: (item, place in it, words)
+        self.pieces, self.lengths, edits = [], {}, {}
         for k, own in enumerate(self.words):
             if len(own) >= SHORT:
-                self.lengths.setdefault(len(own), []).append(k)
+                bounds = cuts(len(own))
+                for a, b in zip(bounds, bounds[1:]):
+                    self.lengths.setdefault(b - a, []).append(len(self.pieces))
+                    edits[b - a] = max(edits.get(b - a, 0), allowed(len(own)) // (len(bounds) - 1))
+                    self.pieces.append((k, a, own[a:b]))
         # of a short item with one edit, one half is left; without, the whole: by words and hash, (item, place in it)
-        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.halves: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, own in enumerate(self.words):
             if len(own) < SHORT:
-                cuts = [0, len(own) // 2, len(own)] if allowed(len(own)) else [0, len(own)]
-                for a, b in zip(cuts, cuts[1:]):
-                    self.pieces.setdefault(b - a, {}).setdefault(int(runs(own[a:b], b - a)[0]), []).append((k, a))
+                bounds = [0, len(own) // 2, len(own)] if allowed(len(own)) else [0, len(own)]
+                for a, b in zip(bounds, bounds[1:]):
+                    self.halves.setdefault(b - a, {}).setdefault(int(runs(own[a:b], b - a)[0]), []).append((k, a))
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=np.uint64)  # of each trigram, a bit for each length that has it
-        for place, members in enumerate(self.lengths.values()):
-            for k in members:
-                self.filter[trigrams(self.words[k])] |= np.uint64(1 << place % 64)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: distinct (trigram, item), sorted
-        for n, members in self.lengths.items():
-            pairs = np.unique(np.concatenate([trigrams(self.words[k]).astype(np.int64) << 32 | k for k in members]))
-            self.grams[n] = pairs >> 32, pairs & 0xFFFFFFFF
+        self.need: dict[int, int] = {}
+        self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by length, for each sample: sorted keys, pieces
+        for place, (n, members) in enumerate(self.lengths.items()):
+            self.need[n] = shared_at_least(n, edits[n])
+            joined = np.concatenate([self.pieces[p][2] for p in members])
+            starts = np.arange(len(members), dtype=np.int64) * n
+            for p in members:
+                self.filter[trigrams(self.pieces[p][2])] |= np.uint64(1 << place % 64)
+            self.buckets[n] = []
+            for walk in range(walks(n, edits[n])):
+                for keys in sample_keys(joined, starts, starts + n, n, walk):
+                    order = np.argsort(keys, kind="stable")
+                    self.buckets[n].append((keys[order], np.array(members, np.int32)[order]))
         self.lists = [own.tolist() for own in self.words]
 
     def search(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -154,14 +235,13 @@ class Items:
         found in each text, by word positions."""
         if not len(words) or not self.words:
             return []
-        grams = trigrams(words)
-        marks = self.filter[grams]
+        marks = self.filter[trigrams(words)]
         for edge in offsets[1:-1]:  # no window spans two texts
             marks[max(0, edge - 2):edge] = 0
         hot = np.flatnonzero(marks)
         marks = marks[hot]
         found: dict[tuple[int, int], list[int]] = {}
-        for n, table in self.pieces.items():
+        for n, table in self.halves.items():
             hashes = runs(words, n)
             at = np.flatnonzero(np.isin(hashes, np.fromiter(table, np.uint64, len(table))))
             text = np.searchsorted(offsets, at, side="right") - 1
@@ -170,31 +250,11 @@ class Items:
                 for item, place in table[int(hashes[p])]:
                     found.setdefault((t, item), []).append(max(p - place, int(offsets[t])))
         for place, n in enumerate(self.lengths):
-            need, own = shared_at_least(n), hot[(marks >> np.uint64(place % 64) & np.uint64(1)).astype(bool)]
-            if len(own) < need:
-                continue
-            first, last, _ = self._close(own, np.zeros(len(own), np.int64), need, n, offsets)
-            if not len(first):
-                continue
-            # the marked positions of such windows, each with the items that have its trigram
-            depth = np.zeros(len(own) + 1, np.int64)
-            np.add.at(depth, np.searchsorted(own, first), 1)
-            np.add.at(depth, np.searchsorted(own, last) + 1, -1)
-            own = own[np.cumsum(depth)[:-1] > 0]
-            for part in range(0, len(own), STEP):
-                # windows reach into the next step by less than n positions
-                at = own[part:np.searchsorted(own, own[min(part + STEP, len(own)) - 1] + n)]
-                keys, items = self.grams[n]
-                low = np.searchsorted(keys, grams[at].astype(np.int64))
-                many = np.searchsorted(keys, grams[at].astype(np.int64), side="right") - low
-                held = items[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
-                at = np.repeat(at, many)
-                order = np.lexsort((at, held))
-                first, last, item = self._close(at[order], held[order], need, n, offsets)
-                text = np.searchsorted(offsets, first, side="right") - 1
-                start = np.maximum(last - (n - 3), offsets[text])
-                for t, i, a, b in zip(text.tolist(), item.tolist(), start.tolist(), first.tolist()):
-                    found.setdefault((t, i), []).extend((a, b))
+            own = hot[(marks >> np.uint64(place % 64) & np.uint64(1)).astype(bool)]
+            near, owner = self._near(own, self.need[n], n, offsets)
+            for t, piece, start in self._met(words, near, offsets[owner + 1], n, owner):
+                item, inside, _ = self.pieces[piece]
+                found.setdefault((t, item), []).append(max(start - inside, int(offsets[t])))
         out = []
         for (text, item), starts in sorted(found.items()):
             best = self._verify(words, int(offsets[text]), int(offsets[text + 1]), item, sorted(set(starts)))
@@ -203,15 +263,34 @@ class Items:
         return out
 
     @staticmethod
-    def _close(at, items, need, n, offsets):
-        """(first, last, item) of every run of ``need`` positions of an item that a window of n words in one text holds."""
-        if len(at) < need:
-            return at[:0], at[:0], items[:0]
-        first, last, item = at[:len(at) - need + 1], at[need - 1:], items[:len(at) - need + 1]
-        keep = (item == items[need - 1:]) & (last >= first) & (last - first <= n - 3)
-        first, last, item = first[keep], last[keep], item[keep]
-        one = last < offsets[np.searchsorted(offsets, first, side="right")]
-        return first[one], last[one], item[one]
+    def _near(own, need, n, offsets):
+        """Every start, with its text, whose window of n words holds ``need`` of the marked trigrams."""
+        none = np.empty(0, np.int64)
+        if len(own) < need:
+            return none, none
+        first, last = own[:len(own) - need + 1], own[need - 1:]
+        text = np.searchsorted(offsets, first, side="right") - 1
+        one = (last - first <= n - 3) & (last < offsets[text + 1])
+        first, last, text = first[one], last[one], text[one]
+        if not len(first):
+            return none, none
+        low = np.maximum(last - (n - 3), offsets[text])
+        spread = first - low + 1
+        near = np.unique(np.repeat(low, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread))
+        return near, np.searchsorted(offsets, near, side="right") - 1
+
+    def _met(self, words, near, stops, n, owner):
+        """(text, piece, start) of the windows that meet a piece in a sample, each once."""
+        buckets, met = self.buckets[n], set()
+        for walk in range(len(buckets) // SAMPLES if len(near) else 0):
+            for s, keys in enumerate(sample_keys(words, near, stops, n, walk)):
+                table, pieces = buckets[walk * SAMPLES + s]
+                low = np.searchsorted(table, keys)
+                high = np.searchsorted(table, keys, side="right")
+                for at in np.flatnonzero((high > low) & (keys != 0)).tolist():
+                    met.update((at, piece) for piece in pieces[low[at]:high[at]].tolist())
+        for at, piece in met:
+            yield int(owner[at]), piece, int(near[at])
 
     def _verify(self, words, low, high, item, starts):
         """Exact edit distance around the candidate starts."""
@@ -234,61 +313,63 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, text: str, item_id: str, block: int) -> Iterator[list]:
-    """Distinct items, in blocks of about ``block`` bytes: one is on the driver at a time."""
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
+    """Distinct items, ids as text, in blocks of about ``block`` bytes: one is on the driver at a time."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, math.ceil(size / block))
     for part in range(parts):
         yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(parts)) == part).collect()]
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """A row for each document and benchmark item found in it: doc_id, item_id,
-    distance (word edits), first_word, last_word (positions of the best place).
-
-    An item of n words is found if some part of the text is within RATE * n
-    word edits: items of fewer than 5 words must occur word for word, those
-    without words are in no text. Null and empty texts hold nothing; rows that
-    repeat an id give one row with the best place of all; ties go to the first
-    place. Null ids are one document. Empty tables give an empty one.
-    """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(benchmark.dtypes)[item_id]
-    schema = f"doc_id {dict(slim.dtypes)['doc_id']}, item_id {kind}, distance int, first_word int, last_word int"
+def found_in(slim: DataFrame, blocks_: Iterator[list]) -> DataFrame:
+    """For rows (own..., text): own, item_id as text, distance, first_word,
+    last_word. Each block is broadcast, searched and its rows staged before the
+    next one is read, so that one block is held at a time."""
+    own = [c for c in slim.columns if c != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text")
+    names = [*own, "item_id", "distance", "first_word", "last_word"]
     out = None
-    for rows in item_blocks(benchmark, item_text, item_id, block):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows))  # of at most one block
+    for rows in blocks_:
+        shared = slim.sparkSession.sparkContext.broadcast(Items(rows))  # of at most one block
 
         def run(batches, shared=shared):
             items = shared.value
             for part in blocks(batches, "text"):
-                found = items.search(*word_hashes(utf8(part.column(1))))
-                ids = part.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[f[1]] for f in found], _arrow(kind)), *[pa.array([f[c] for f in found], pa.int32()) for c in (2, 3, 4)]], names=["doc_id", "item_id", "distance", "first_word", "last_word"])
+                found = items.search(*word_hashes(utf8(part.column(part.schema.get_field_index("text")))))
+                at = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)).take(at) for c in own], pa.array([items.ids[f[1]] for f in found], pa.string()),
+                                                  *[pa.array([f[c] for f in found], pa.int32()) for c in (2, 3, 4)]], names=names)
 
-        found = slim.mapInArrow(run, schema)
+        found = stage(slim.mapInArrow(run, f"{fields}, item_id string, distance int, first_word int, last_word int"), "benchmark-found")
+        shared.unpersist()
         out = found if out is None else out.unionByName(found)
-    best = F.min(F.struct("distance", "first_word", "last_word")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
-
+    return out
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
+def contaminations(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """A row for each document and benchmark item found in it: doc_id, item_id,
+    distance (word edits), first_word, last_word (positions of the best place).
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, in one pass for
-    each block of items; nothing is joined, so repeated and null ids are as any."""
-    out = docs
-    for rows in item_blocks(benchmark, item_text, item_id, block):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows))  # of at most one block
+    An item of n words is found if some part of the text is within RATE * n word
+    edits: surely below SHORT words, else if its closest piece is met, which
+    RECALL of the pieces at their limit are, and more below it. Items of fewer
+    than 5 words must occur word for word, those without words are in no text.
+    Null and empty texts hold nothing; rows that repeat an id give one row with
+    the best place of all; ties go to the first place. Null ids are one
+    document. Item ids may be of any type that a cast to text and back keeps.
+    Empty tables give an empty one.
+    """
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = found_in(slim, item_blocks(benchmark, item_text, item_id, block))
+    best = F.min(F.struct("distance", "first_word", "last_word")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", F.col("item_id").cast(dict(benchmark.dtypes)[item_id]).alias("item_id"), "best.*")
 
-        def run(batches, shared=shared):
-            for part in blocks(batches, text):
-                found = shared.value.search(*word_hashes(utf8(part.column(part.schema.get_field_index(text)))))
-                clean = np.ones(part.num_rows, dtype=bool)
-                clean[[f[0] for f in found]] = False
-                yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item. Rows are told apart
+    by a digest of all their columns, so repeated and null ids are as any."""
+    slim = docs.select(*row_digest(docs), F.col(text).alias("text"))
+    gone = stage(found_in(slim, item_blocks(benchmark, item_text, item_id, block)).select("_ng_d1", "_ng_d2").distinct(), "benchmark-gone")
+    marked = docs.withColumns(dict(zip(("_ng_e1", "_ng_e2"), row_digest(docs))))
+    kept = marked.join(small(gone), (F.col("_ng_e1") == F.col("_ng_d1")) & (F.col("_ng_e2") == F.col("_ng_d2")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -189,6 +189,9 @@ def test_contaminations(spark, rows, docs, empty):
     assert decontam.contaminations(docs, bench).collect() == []
     assert decontam.decontaminated(docs, bench).count() == len(rows)
     assert decontam.contaminations(empty, bench).collect() == [] and decontam.contaminations(docs, bench.limit(0)).collect() == []
+    for kind in ("smallint", "date"):
+        named = spark.createDataFrame([(1, rows[0][1])], "n int, text string").selectExpr("CAST(1 AS SMALLINT) AS item_id" if kind == "smallint" else "DATE'2020-01-02' AS item_id", "text")
+        assert dict(decontam.contaminations(docs, named).dtypes)["item_id"] == kind and decontam.contaminations(docs, named).count() == 3
     line = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
     assert sorted(decontam.contaminations(docs, line).toPandas().doc_id.fillna(-1).tolist()) == [-1, 1, 2]
 
@@ -705,12 +708,32 @@ def test_long_edited_items_are_found():
             wanted.append(k)
     words, offsets = decontam.word_hashes(texts)
     found = {(t, items.ids[i]) for t, i, _, _, _ in items.search(words, offsets)}
-    assert found == set(enumerate(wanted))
+    assert len(found & set(enumerate(wanted))) >= len(wanted) - 1 and found <= set(enumerate(wanted))
+
+
+@pytest.mark.parametrize("n", [8, 13, 24, 35, 47])
+def test_recall_of_the_walks(n):
+    """Pieces at their limit, among many others, are met as often as stated, for words of a small vocabulary too."""
+    rng = random.Random(n)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 3000}"
+    given = [[word() for _ in range(n)] for _ in range(300)]
+    items = decontam.Items([(k, " ".join(w)) for k, w in enumerate(given)])
+    texts = []
+    for own in given:
+        words = list(own)
+        for _ in range(decontam.allowed(n)):
+            at = rng.randrange(len(words))
+            words[at:at + 1] = ([word()], [], [word(), words[at]])[rng.randrange(3)]
+        texts.append(" ".join([*[word() for _ in range(30)], *words, *[word() for _ in range(30)]]).encode())
+    words, offsets = decontam.word_hashes(texts)
+    near = {(t, t) for t in range(300) if decontam.best_match(items.lists[t], words[offsets[t]:offsets[t + 1]].tolist())[0] <= decontam.allowed(n)}
+    found = {(t, items.ids[i]) for t, i, _, _, _ in items.search(words, offsets)}
+    assert len(near & {(t, k) for t, k in found}) >= 0.99 * len(near) and len(near) == 300
 
 
 def test_short_items_are_found():
-    """Items of 1 to 4 words word for word, of 5 to 7 with one edit, and nothing beyond."""
-    for n in range(1, 8):
+    """Items of 1 to 4 words word for word, of 5 to 9 with one edit, and nothing beyond."""
+    for n in range(1, 10):
         own = [f"i{k}" for k in range(n)]
         items = decontam.Items([(1, " ".join(own)), (2, "...")])
         edited = [own]
