@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def first_decision(model: str, valid: str, template: str) -> Column:
-    """verified, ignored or reread (PRJ-17). A null reading never verifies; a
-    valid 'not a number' is ignored only if the template has no reading."""
-    m, v, t = F.col(model), F.col(valid), F.col(template)
-    return F.when(v & m.isNotNull() & (m == t), "verified").when(v & m.isNull() & t.isNull(), "ignored").otherwise("reread")
+#: Why a note is ignored or flagged (fixed values).
+IGNORED = "not a number to either reader"
+NO_TEMPLATE, BAD_REREAD, DISAGREES = "no template reading", "re-read invalid", "re-read disagrees with the template"
+
+
+def first_decision(model: str, valid: str, template: str, digits: str | None = None) -> Column:
+    """verified, ignored or reread (PRJ-17). Both readers must give the same
+    number, of as many digits as the note has boxes (column ``digits``, if
+    given). A valid 'not a number' is ignored only if the template has no reading."""
+    m, v, t = F.col(model), F.coalesce(F.col(valid), F.lit(False)), F.col(template)
+    fits = F.length(m.cast("string")) == F.col(digits) if digits else F.lit(True)
+    return F.when(v & m.isNotNull() & (m == t) & fits, "verified").when(v & m.isNull() & t.isNull(), "ignored").otherwise("reread")
 
 
 def final_decision(model: str, template: str, reread: str, reread_valid: str) -> tuple[Column, Column, Column]:
-    """(status, fret, reason) of a note that was read again (PRJ-18)."""
+    """(status, fret, reason) of a note that was read again (PRJ-18): verified
+    only if the second read agrees with the template, else flagged, showing the
+    first reading there is of second read, template and first read."""
     m, t, r, v = F.col(model), F.col(template), F.col(reread), F.coalesce(F.col(reread_valid), F.lit(False))
-    fret = F.coalesce(r, t, m)
-    agree = v & r.isNotNull() & (r.eqNullSafe(m) | r.eqNullSafe(t))
-    status = F.when(agree, "verified_reread").when(v & r.isNull() & m.isNull() & t.isNull(), "ignored").otherwise("flagged")
-    reason = F.when(status != "flagged", F.lit(None).cast("string")).when(~v, "no valid reread").when(r.isNull(), "not a number").otherwise("readers differ")
-    return status, fret, reason
+    agree = F.coalesce(v & (r == t), F.lit(False))
+    reason = F.when(agree, F.lit(None).cast("string")).when(t.isNull(), NO_TEMPLATE).when(~v, BAD_REREAD).otherwise(DISAGREES)
+    return F.when(agree, "verified_reread").otherwise("flagged"), F.coalesce(r, t, m), reason
 
 
 def digit_labels(df: DataFrame, keys: list[str], fret: str, boxes: str) -> DataFrame:
@@ -67,6 +75,12 @@ def json_check(df: DataFrame, text: str, most: int) -> DataFrame:
     return out.withColumn("reason", reason).drop("_v", "_notes", "_keys")
 
 
+def by_id(df: DataFrame, keys: list[str], id_: str, value: str) -> DataFrame:
+    """readings: a map from id to value for each key, ids in order (MAP-1)."""
+    entries = F.sort_array(F.collect_list(F.struct(F.col(id_).alias("k"), F.col(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.map_from_entries(entries).alias("readings"))
+
+
 def token_cost(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
     """Cost of each call; an unknown model is an error, not a null (PRJ-19, JOI-15)."""
     out = calls.join(prices, model, "left")
@@ -76,11 +90,19 @@ def token_cost(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
 
 
 def place_in_rows(notes: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Notes joined to the row that holds them: half-open, the last row closed (JOI-10, FLT-9)."""
-    last = rows.groupBy(*keys).agg(F.max("r").alias("_last"))
-    rows = rows.join(last, keys)
-    inside = (F.col("x") >= F.col("x0")) & ((F.col("x") < F.col("x1")) | ((F.col("r") == F.col("_last")) & (F.col("x") == F.col("x1"))))
-    return notes.join(rows, keys).where(inside).drop("_last")
+    """Notes with the row that holds them (JOI-10, FLT-9): half-open, the last
+    row closed. Rows do not overlap, so the last start at or before a note, by
+    one sort of both, is the only row to test: no note meets all rows of its key."""
+    own = [c for c in rows.columns if c not in keys]
+    last = Window.partitionBy(*keys).orderBy(F.col("r").desc())
+    starts = rows.withColumn("_last", F.row_number().over(last) == 1)
+    starts = starts.select(*keys, F.col("x0").alias("_x"), F.lit(0).alias("_kind"), F.struct(*own, "_last").alias("_row"))
+    both = notes.select(*keys, F.col("x").alias("_x"), F.lit(1).alias("_kind"), F.struct(*notes.columns).alias("_note")).unionByName(starts, allowMissingColumns=True)
+    by = Window.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_row", F.last("_row", ignorenulls=True).over(by)).where("_kind = 1 AND _row IS NOT NULL")
+    x, end = F.col("_note.x"), F.col("_row.x1")
+    placed = placed.where((x < end) | (F.col("_row._last") & (x == end)))
+    return placed.select(*keys, *[F.col(f"_note.{c}") for c in notes.columns if c not in keys], *[F.col(f"_row.{c}") for c in own])
 
 
 RESPONSE = ("STRUCT<prompt_feedback: STRUCT<block_reason: STRING>, candidates: ARRAY<STRUCT<finish_reason: STRING, "

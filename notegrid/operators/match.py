@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from notegrid.config import TARGETS
+from notegrid.operators.ordered import ranked_median
+from notegrid.sources.shared import staged
 
 
 def candidate_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol) -> DataFrame:
@@ -18,41 +19,27 @@ def candidate_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol) ->
     return t.join(p, [*keys, "_b"]).withColumn("dx", F.abs(F.col("tx") - F.col("px"))).where(F.col("dx") <= tol).drop("_b")
 
 
-def _greedy(width: int):
-    """Rows sorted by group (the first ``width`` columns), dx, i, j: keeps a
-    pair if both its ends are free. Holds one group's used ids at a time."""
-
-    def run(batches):
-        group, used_i, used_j = None, set(), set()
-        for pdf in batches:
-            keep = []
-            for own, i, j in zip(zip(*[pdf[c] for c in pdf.columns[:width]]), pdf["i"], pdf["j"]):
-                if own != group:
-                    group, used_i, used_j = own, set(), set()
-                free = i not in used_i and j not in used_j
-                if free:
-                    used_i.add(i)
-                    used_j.add(j)
-                keep.append(free)
-            yield pdf[keep]
-
-    return run
-
-
-def match_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol) -> DataFrame:
+def match_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol, rounds: int = 200) -> DataFrame:
     """One-to-one assignment, nearest first, ties by i, then j (JOI-2, TOP-6).
 
-    A gap of more than tol between neighbouring positions parts a key into
-    clusters without edges between them; each is assigned on its own, in one
-    pass over sorted rows, so a hot key spreads over tasks."""
-    both = truth.select(*keys, "x").unionByName(pred.select(*keys, "x")).distinct()
-    by = Window.partitionBy(*keys).orderBy("x")
-    first = F.when(F.col("x") - F.lag("x").over(by) <= tol, 0).otherwise(1)
-    places = both.withColumn("_first", first).withColumn("_cluster", F.sum("_first").over(by)).drop("_first").withColumnRenamed("x", "tx")
-    pairs = candidate_pairs(truth, pred, keys, tol).join(places, [*keys, "tx"]).select(*keys, "_cluster", "i", "j", "dx")
-    group = [*keys, "_cluster"]
-    dealt = pairs.repartition(*group).sortWithinPartitions(*group, "dx", "i", "j")
-    return dealt.mapInPandas(_greedy(len(group)), pairs.schema).drop("_cluster")
+    Under the total order (dx, i, j), a pair that is first at both of its ends
+    is in the assignment whatever happens elsewhere; such pairs are taken and
+    the pairs that touch them dropped, round after round. Rounds are joins over
+    ends, so no key or cluster is one task's work, and a round leaves few of the
+    pairs of the one before."""
+    left, out = staged(candidate_pairs(truth, pred, keys, tol).select(*keys, "i", "j", "dx"), "pairs"), None
+    edge = F.struct("dx", "i", "j")
+    for _ in range(rounds):
+        first = [left.groupBy(*keys, end).agg(F.min(edge).alias(f"_{end}")) for end in "ij"]
+        marked = left.join(first[0], [*keys, "i"]).join(first[1], [*keys, "j"])
+        marked = staged(marked.select(*keys, "i", "j", "dx", (F.col("_i") == edge).alias("_a"), (F.col("_j") == edge).alias("_b")), "pairs")
+        taken = marked.where("_a AND _b").select(*keys, "i", "j", "dx")
+        out = taken if out is None else out.unionByName(taken)
+        rest = marked.where("NOT (_a AND _b)").join(taken.select(*keys, "i"), [*keys, "i"], "left_anti").join(taken.select(*keys, "j"), [*keys, "j"], "left_anti")
+        left = staged(rest.select(*keys, "i", "j", "dx"), "pairs")
+        if left.isEmpty():
+            return out.select(*keys, "i", "j", "dx")
+    raise RuntimeError(f"the assignment did not settle in {rounds} rounds")
 
 
 def metrics(matched: DataFrame, truth: DataFrame, pred: DataFrame, width: float, keys: list[str]) -> DataFrame:
@@ -62,12 +49,13 @@ def metrics(matched: DataFrame, truth: DataFrame, pred: DataFrame, width: float,
     t, p = truth.withColumnRenamed("fret", "true_fret").drop("x"), pred.drop("x")
     m = matched.select(*keys, "i", "j", "dx").join(t, [*keys, "i"]).join(p, [*keys, "j"])
     wrong = ~F.col("true_fret").eqNullSafe(F.col("fret"))
-    hit = m.agg(F.count("*").alias("matched"), F.count_if(wrong).alias("wrong_fret"), F.count_if(wrong & F.col("flagged")).alias("wrong_flagged"), F.median(F.col("dx") / width).alias("x_error_median"), F.max(F.col("dx") / width).alias("x_error_max"))
+    hit = m.agg(F.count("*").alias("matched"), F.count_if(wrong).alias("wrong_fret"), F.count_if(wrong & F.col("flagged")).alias("wrong_flagged"), F.max(F.col("dx") / width).alias("x_error_max"))
+    middle = ranked_median(matched.withColumn("_e", F.col("dx") / width), [], "_e").withColumnRenamed("median", "x_error_median")
     extra = p.join(matched.select(*keys, "j"), [*keys, "j"], "left_anti").agg(F.count("*").alias("extra"), F.count_if("flagged").alias("extra_flagged"))
     missing = t.join(matched.select(*keys, "i"), [*keys, "i"], "left_anti").agg(F.count("*").alias("missing"))
     total = p.agg(F.count("*").alias("n_pred"), F.count_if("flagged").alias("flagged"))
     one = hit.withColumn("_k", F.lit(1))
-    for part in (extra, missing, total):  # single rows
+    for part in (middle, extra, missing, total):  # single rows
         one = one.join(part.withColumn("_k", F.lit(1)), "_k")
     one = one.withColumn("n_true", F.col("matched") + F.col("missing"))
     errors = F.col("missing") + F.col("extra") + F.col("wrong_fret") - F.col("extra_flagged") - F.col("wrong_flagged")
@@ -93,7 +81,8 @@ def metrics_by(matched: DataFrame, truth: DataFrame, pred: DataFrame, keys: list
     out = hit.unionByName(extra).unionByName(missing).groupBy(by).agg(
         F.count_if(is_hit).alias("matched"), F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "extra").alias("extra"), F.count_if("wrong").alias("wrong_fret"),
         F.count_if(F.col("kind").eqNullSafe("missing") | (bad & ~F.col("flagged"))).alias("unflagged_errors"), F.count_if("flagged").alias("flagged"), F.count_if(bad & F.col("flagged")).alias("flagged_errors"),
-        F.median("error").alias("x_error_median"), F.max("error").alias("x_error_max"))
+        F.max("error").alias("x_error_max"))
+    out = out.join(ranked_median(hit, [by], "error").withColumnRenamed("median", "x_error_median"), by, "left")
     n_true, n_pred, share = F.col("matched") + F.col("missing"), F.col("matched") + F.col("extra"), F.try_divide
     return out.withColumns({"recall": share("matched", n_true), "precision": share("matched", n_pred), "fret_accuracy": share(F.col("matched") - F.col("wrong_fret"), F.col("matched")),
                             "unflagged_frac": share("unflagged_errors", n_true), "flag_rate": share("flagged", n_pred), "flag_precision": share("flagged_errors", "flagged")})

@@ -4,8 +4,13 @@ whole table in one task."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 
@@ -28,19 +33,47 @@ def true_runs(df: DataFrame, keys: list[str], order: list[str], mask, least: int
     return runs.where(F.col("b") - F.col("a") + 1 >= least).drop("_island")
 
 
+def weighted_runs(df: DataFrame, keys: list[str], pos: str, weight: str, least: float) -> DataFrame:
+    """Runs of neighbouring positions of at least ``least`` weight: first and
+    last position, and their centre by weight (WIN-2, AGG-5)."""
+    heavy = df.where(F.col(weight) >= least)
+    island = F.col(pos) - F.row_number().over(_over(keys, [pos]))
+    runs = heavy.withColumn("_island", island).groupBy(*keys, "_island")
+    return runs.agg(F.min(pos).alias("a"), F.max(pos).alias("b"), (F.sum(F.col(pos) * F.col(weight)) / F.sum(weight)).alias("centre")).drop("_island")
+
+
 def anchored_runs(df: DataFrame, keys: list[str], t: str, row: str, value: str, step: float, drift: float) -> DataFrame:
     """Runs that go on while a row is nearer than ``step`` to the row before
-    and nearer than ``drift`` to the run's first row (WIN-3). One fold per key."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(row).alias("i"), F.col(value).cast("double").alias("v")))).alias("rows"))
-    run = "struct(x.t AS t0, x.i AS i0, x.t AS t1, x.i AS i1, x.v AS anchor, x.v AS last, 1 AS n)"
-    rows = rows.withColumn("runs", F.expr(f"""aggregate(rows, struct(CAST(array() AS ARRAY<STRUCT<t0: {dict(df.dtypes)[t]}, i0: BIGINT, t1: {dict(df.dtypes)[t]}, i1: BIGINT, anchor: DOUBLE, last: DOUBLE, n: INT>>) AS done,
-        CAST(NULL AS STRUCT<t0: {dict(df.dtypes)[t]}, i0: BIGINT, t1: {dict(df.dtypes)[t]}, i1: BIGINT, anchor: DOUBLE, last: DOUBLE, n: INT>) AS cur),
-        (s, x) -> CASE WHEN s.cur IS NOT NULL AND abs(x.v - s.cur.last) < {step}D AND abs(x.v - s.cur.anchor) < {drift}D
-            THEN struct(s.done AS done, struct(s.cur.t0 AS t0, s.cur.i0 AS i0, x.t AS t1, x.i AS i1, s.cur.anchor AS anchor, x.v AS last, s.cur.n + 1 AS n) AS cur)
-            WHEN s.cur IS NULL THEN struct(s.done AS done, {run} AS cur)
-            ELSE struct(concat(s.done, array(s.cur)) AS done, {run} AS cur) END,
-        s -> CASE WHEN s.cur IS NULL THEN s.done ELSE concat(s.done, array(s.cur)) END)"""))
-    return rows.select(*keys, F.explode("runs").alias("r")).select(*keys, "r.i0", "r.i1", "r.t0", "r.t1", "r.n")
+    and nearer than ``drift`` to the run's first row (WIN-3). One pass over
+    sorted rows that holds one open run, whatever a key's length."""
+    width, kinds = len(keys), dict(df.dtypes)
+    names = [*keys, "i0", "i1", "t0", "t1", "n"]
+
+    def run(batches):
+        group, open_run, anchor, last = None, None, None, None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            done = []
+            for own, (at, i, v) in zip(zip(*columns[:width]), zip(*columns[width:])):
+                if own == group and abs(v - last) < step and abs(v - anchor) < drift:
+                    open_run[1], open_run[3], open_run[4] = i, at, open_run[4] + 1
+                else:
+                    if open_run:
+                        done.append((*group, *open_run))
+                    group, open_run, anchor = own, [i, i, at, at, 1], v
+                last = v
+            yield batch_of(done)
+        if open_run:
+            yield batch_of([(*group, *open_run)])
+
+    schema = df.select(*keys, F.col(row).alias("i0"), F.col(row).alias("i1"), F.col(t).alias("t0"), F.col(t).alias("t1"), F.lit(1).alias("n")).schema
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], names=names)
+
+    dealt = df.select(*keys, t, row, F.col(value).cast("double").alias("_v")).repartition(*keys).sortWithinPartitions(*keys, t, row)
+    return dealt.mapInArrow(run, schema)
 
 
 def merge_spans(df: DataFrame, keys: list[str], a: str, b: str, gap, order: list[str] | None = None) -> DataFrame:
@@ -54,17 +87,29 @@ def merge_spans(df: DataFrame, keys: list[str], a: str, b: str, gap, order: list
     return out.drop("_group").withColumn("centre", (F.col("a") + F.col("b")) / 2)
 
 
+def ranked_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median of the rows of each key, of all without keys, nulls left out. Values
+    are counted before they meet, so a hot key costs its distinct values, and
+    ranks come from running sums, which spill, not from an aggregate's list."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*keys)
+    placed = counts.withColumns({"_upto": F.sum("_n").over(by.orderBy("_x")), "_all": F.sum("_n").over(by)})
+    low, high = F.expr("(_all + 1) DIV 2"), F.expr("(_all + 2) DIV 2")
+    holds = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_n") < r)
+    return placed.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("_x"))) + F.max(F.when(holds(high), F.col("_x")))) / 2).alias("median"))
+
+
 def join_marks(df: DataFrame, keys: list[str], box: tuple[str, str, str, str], tie: str, overlap: float, gap: float, scope: list[str] | None = None) -> DataFrame:
     """Marks of a line joined to the mark before if they overlap in height by
     ``overlap`` of the smaller and stand closer than ``gap`` median widths
     (WIN-6, AGG-7, AGG-8). The median is over all marks, or over all of the same
     ``scope``, columns that are never null."""
     x0, y0, x1, y1 = box
-    median = F.median(F.col(x1) - F.col(x0) + 1).alias("_width")
+    widths = ranked_median(df.withColumn("_w", F.col(x1) - F.col(x0) + 1), scope or [], "_w").withColumnRenamed("median", "_width")
     if scope:
-        df, width = df.join(df.groupBy(*scope).agg(median), scope), F.col("_width")
+        df, width = df.join(widths, scope), F.col("_width")
     else:
-        width = df.agg(median).scalar()
+        width = widths.scalar()
     by = _over(keys, [x0, tie])
     p0, p1, px = (F.lag(c).over(by) for c in (y0, y1, x1))
     high = F.least(F.col(y1), p1) - F.greatest(F.col(y0), p0) + 1
@@ -88,6 +133,16 @@ def near_even_groups(df: DataFrame, keys: list[str], order: list[str], most: int
     return out.withColumn("cell", at).drop("_n", "_i", "_g", "_q", "_r")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows of a key numbered from 0 in order (WIN-9, TOP-5)."""
+    return df.withColumn(name, F.row_number().over(_over(keys, order)) - 1)
+
+
+def coverage(df: DataFrame, keys: list[str], mask) -> DataFrame:
+    """Share of a key's rows that a mask covers, and whether any or all are (AGG-4, AGG-6)."""
+    return df.groupBy(*keys).agg(F.avg(F.when(mask, 1.0).otherwise(0.0)).alias("cover"), F.bool_or(mask).alias("any_ink"), F.bool_and(mask).alias("all_ink"))
+
+
 def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of each key, evenly spaced by position, rounded
     half to even (TOP-7)."""
@@ -126,20 +181,42 @@ def isolated_peaks(df: DataFrame, keys: list[str], order: list[str], cover: str,
     return runs.where(F.greatest("left", "right") < edge).drop("_island")
 
 
+def cuts_of(bars: list[float], notes: list[float], end: float, width: float) -> list[tuple[float, float, bool]]:
+    """(x0, x1, split) of the rows of one key; ``bars`` and ``notes`` are sorted
+    and distinct. Each cut is found by bisection among the positions that are left."""
+    middles = [(a + b) / 2 for a, b in zip(notes, notes[1:])]
+    at, out = min(0.0, notes[0] if notes else 0.0), []
+    while end - at > width:
+        bar = bisect_right(bars, at + width) - 1
+        gap = bisect_right(middles, at + width) - 1
+        if bar >= 0 and bars[bar] > at:
+            cut, split = bars[bar], False
+        elif gap >= 0 and notes[gap] > at:
+            cut, split = middles[gap], True
+        else:
+            cut, split = at + width, True
+        out.append((at, cut, split))
+        at = cut
+    return [*out, (at, end, False)]
+
+
 def cut_rows(spans: DataFrame, keys: list[str], bars: str, notes: str, end: str, width: float) -> DataFrame:
     """Cut a long row at the last bar that fits, else midway between notes,
-    else at the width (WIN-13). ``bars`` and ``notes`` are sorted arrays of
-    distinct positions, so a step of the fold looks at one key's arrays only."""
-    mids = f"transform(filter(zip_with({notes}, slice({notes}, 2, greatest(size({notes}), 1)), (p, q) -> struct(p AS p, q AS q)), z -> z.q IS NOT NULL), z -> struct(z.p AS p, (z.p + z.q) / 2 AS m))"
-    df = spans.withColumn("_mids", F.expr(mids)).withColumn("_start", F.least(F.lit(0.0), F.coalesce(F.array_min(notes), F.lit(0.0))))
-    w = f"{float(width)}D"
-    step = f"""CASE WHEN {end} - s.x <= {w} THEN struct(s.rows AS rows, s.x AS x, true AS done) ELSE
-        transform(array(struct(array_max(filter({bars}, b -> b > s.x AND b <= s.x + {w})) AS bar, array_max(transform(filter(_mids, m -> m.p > s.x AND m.m <= s.x + {w}), m -> m.m)) AS mid)),
-          c -> struct(concat(s.rows, array(struct(s.x AS x0, coalesce(c.bar, c.mid, s.x + {w}) AS x1, c.bar IS NULL AS split))) AS rows, coalesce(c.bar, c.mid, s.x + {w}) AS x, false AS done))[0] END"""
-    most = f"CAST(size({bars}) + size({notes}) + ceil(({end} - _start) / {w}) + 1 AS INT)"
-    df = df.withColumn("_cuts", F.expr(f"""aggregate(sequence(1, {most}), struct(CAST(array() AS ARRAY<STRUCT<x0: DOUBLE, x1: DOUBLE, split: BOOLEAN>>) AS rows, _start AS x, false AS done),
-        (s, k) -> CASE WHEN s.done THEN s ELSE {step} END, s -> concat(s.rows, array(struct(s.x AS x0, {end} AS x1, false AS split))))"""))
-    return df.select(*keys, F.posexplode("_cuts").alias("r", "c")).select(*keys, "r", "c.x0", "c.x1", "c.split")
+    else at the width (WIN-13, TOP-4). ``bars`` and ``notes`` are sorted arrays
+    of distinct positions: one key's bars and notes are one row."""
+    kinds, size = dict(spans.dtypes), len(keys)
+    names = [*keys, "r", "x0", "x1", "split"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for own in pdf.itertuples(index=False, name=None):
+                found = cuts_of(*([] if a is None else list(a) for a in own[size:size + 2]), own[size + 2], float(width))
+                rows += [(*own[:size], r, *c) for r, c in enumerate(found)]
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "r int, x0 double, x1 double, split boolean"])
+    return spans.select(*keys, bars, notes, F.col(end).cast("double")).mapInPandas(run, schema)
 
 
 def even_groups(df: DataFrame, keys: list[str], x: str, tie: str, tol: float, size: int = 6) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegrid.config import DEFAULTS, Thresholds
-from notegrid.operators.image import pixels
+from notegrid.operators.image import levels, pixels
 from notegrid.operators.layout import shared_bars
 from notegrid.operators.ordered import running_offsets
 from notegrid.operators.vectors import nearest_residual
@@ -23,15 +23,8 @@ def page_refusals(images: DataFrame, rows: DataFrame, t: Thresholds = DEFAULTS)
     """(video_id, refused): the first page's first reason, in the order dark,
     rows (not exactly one), moved (lines off the first page's), or null (CHK-3,
     AGG-15, AGG-16)."""
-    kind = dict(images.dtypes)["video_id"]
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"video_id": pdf["video_id"], "k": pdf["k"], "level": [float(np.median(np.frombuffer(px, np.uint8))) for px in pdf["px"]]})
-
-    levels = images.select(*KEY, "px").mapInPandas(run, f"video_id {kind}, k int, level double")
     found = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min_by("line_y", "row").alias("line_y"))
-    pages = levels.join(found, KEY, "left")
+    pages = levels(images, KEY).join(found, KEY, "left")
     first = F.first("line_y").over(Window.partitionBy("video_id").orderBy("k"))
     moved = F.array_max(F.zip_with("line_y", first, lambda a, b: F.abs(a - b)))
     reason = F.when(F.col("level") < t.light_min_level, "dark").when(F.coalesce("n", F.lit(0)) != 1, "rows").when(moved > t.line_y_match, "moved")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -26,13 +28,37 @@ def next_pairs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     return out.where("next_id IS NOT NULL")
 
 
-def shift_scan(pairs: DataFrame, a: str, b: str, overlap: int) -> DataFrame:
+def shift_scores(a: np.ndarray, b: np.ndarray, overlap: int) -> np.ndarray:
     """Correlation of a's right part with b's left part at every shift that
-    leaves ``overlap`` values (JOI-12): scores is an array of (dx, ncc)."""
-    score = ncc("z.x", "z.y", "z.n")
-    return pairs.withColumn("scores", F.expr(f"""transform(sequence(0, size({a}) - {overlap}), dx ->
-        transform(array(struct(slice({a}, dx + 1, size({a}) - dx) AS x, slice({b}, 1, size({a}) - dx) AS y, size({a}) - dx AS n)),
-            z -> struct(dx AS dx, round({score}, 6) AS ncc))[0])"""))
+    leaves ``overlap`` values, 0 where one is flat: all products by one
+    transform, all sums by running ones."""
+    n = len(a)
+    shifts = np.arange(n - overlap + 1)
+    a, b = a - a.mean(), b - b.mean()  # no score changes, and no digits are lost to a common level
+    size = 2 * n
+    both = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)[shifts]
+    left = n - shifts
+    right_of = lambda v: v[::-1].cumsum()[::-1][shifts]
+    left_of = lambda v: v.cumsum()[left - 1]
+    spread = lambda s, q: np.maximum(q - s * s / left, 0.0)
+    va, vb = spread(right_of(a), right_of(a * a)), spread(left_of(b), left_of(b * b))
+    flat = (va <= 1e-12 * (a * a).sum()) | (vb <= 1e-12 * (b * b).sum())
+    return np.where(flat, 0.0, (both - right_of(a) * left_of(b) / left) / np.sqrt(np.where(flat, 1.0, va * vb)))
+
+
+def shift_scan(pairs: DataFrame, a: str, b: str, overlap: int) -> DataFrame:
+    """``pairs`` plus scores, an array of (dx, ncc) at every shift that leaves
+    ``overlap`` values (JOI-12): a transform for each pair, not a pass for each shift."""
+    kinds = StructType([*pairs.schema.fields, *StructType.fromDDL("scores array<struct<dx: int, ncc: double>>").fields])
+    kind = pa.list_(pa.struct([("dx", pa.int32()), ("ncc", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            scores = [[{"dx": k, "ncc": round(float(x), 6) + 0.0} for k, x in enumerate(shift_scores(np.array(p, float), np.array(q, float), overlap))]
+                      for p, q in zip(batch.column(batch.schema.get_field_index(a)).to_pylist(), batch.column(batch.schema.get_field_index(b)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, kind)], names=[*batch.schema.names, "scores"])
+
+    return pairs.mapInArrow(run, kinds)
 
 
 def best_shift(scanned: DataFrame, exclude: int) -> DataFrame:
@@ -46,7 +72,7 @@ def best_shift(scanned: DataFrame, exclude: int) -> DataFrame:
 
 def refusal(least: float, margin: float):
     """First reason why a stitch is refused, in order (CHK-4)."""
-    return F.when(F.col("ncc") < least, "ncc").when(F.col("second_ncc").isNotNull() & (F.col("ncc") - F.col("second_ncc") < margin), "ambiguous")
+    return F.when(F.col("ncc") < least, "ncc").when(F.col("second_ncc").isNotNull() & (F.round(F.col("ncc") - F.col("second_ncc"), 6) < margin), "ambiguous")
 
 
 def element_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -89,11 +115,32 @@ def read_template(scores: DataFrame, keys: list[str], least: float, margin: floa
     """Best class by (ncc, class), both descending, its margin over the second,
     and whether it is accepted (TOP-3, FLT-11)."""
     top = scores.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("ncc", "digit")), False), 1, 2).alias("top"))
-    out = top.withColumns({"digit": F.get("top", 0)["digit"], "best": F.get("top", 0)["ncc"], "margin": F.get("top", 0)["ncc"] - F.get("top", 1)["ncc"]})
+    out = top.withColumns({"digit": F.get("top", 0)["digit"], "best": F.get("top", 0)["ncc"], "margin": F.round(F.get("top", 0)["ncc"] - F.get("top", 1)["ncc"], 6)})
     ok = (F.col("best") >= least) & (F.col("margin").isNull() | (F.col("margin") >= margin))
     return out.withColumn("accepted", ok).drop("top")
 
 
+def _normed(values):
+    """An array centred and scaled to length 1, zeros if it is flat."""
+    n = F.size(values)
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x))
+    one = lambda v, body: F.get(F.transform(F.array(v), body), 0)  # noqa: E731  computed once
+    centred = one(total(values, lambda x: x) / n, lambda m: F.transform(values, lambda x: x - m))
+    return one(centred, lambda c: one(total(c, lambda x: x * x), lambda q: F.transform(c, lambda x: F.when(q > 0, x / F.sqrt(q)).otherwise(0.0))))
+
+
+def class_scores(df: DataFrame, label: str, member: str, value: str, templates: DataFrame | None = None) -> DataFrame:
+    """Correlation of every row with every class's median (JOI-14, AGG-11):
+    ``member``, digit, ncc. Classes are few: their templates are one row of
+    normed arrays, so a row meets them without a shuffle or an explode."""
+    medians = element_medians(templates if templates is not None else df.where(F.col(label).isNotNull()), [label], value)
+    arrays = medians.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "median"))), lambda x: x["median"]).alias("m"))
+    one = arrays.select(F.col(label).alias("digit"), _normed(F.col("m")).alias("m")).agg(F.sort_array(F.collect_list(F.struct("digit", "m"))).alias("classes"))
+    rows = df.select(member, _normed(F.transform(value, lambda x: x.cast("double"))).alias("_v")).withColumn("_c", F.explode(one.scalar()))
+    dot = F.aggregate(F.zip_with("_v", "_c.m", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(member, "_c.digit", F.round(dot, 6).alias("ncc"))
+
+
 def template_scores(df: DataFrame, label: str, member: str, value: str, class_least: float, least_members: int) -> DataFrame:
     """Correlation of every row with every class's template (AGG-12, FLT-10):
     ``member``, digit, ncc.
@@ -108,12 +155,10 @@ def template_scores(df: DataFrame, label: str, member: str, value: str, class_le
     kept = df.where(F.col(label).isNotNull()).join(outliers, member, "left_anti")
     classes = kept.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_members).select(label)
     kept = kept.join(classes, label)
-    own = grouped_ncc(leave_one_out_medians(kept, label, member, value), [member, label], "v", "loo").withColumnRenamed(label, "digit")
-    each = df.select(member, F.posexplode(value).alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    whole = element_medians(kept, [label], value).withColumnRenamed(label, "digit")
+    own = grouped_ncc(leave_one_out_medians(kept, label, member, value), [member, label], "v", "loo").select(member, F.col(label).alias("digit"), F.round("ncc", 6).alias("ncc"))
     mine = kept.select(F.col(member), F.col(label).alias("digit"))
-    other = grouped_ncc(each.join(whole, "pos"), [member, "digit"], "v", "median").join(mine, [member, "digit"], "left_anti")
-    return own.unionByName(other).select(member, "digit", F.round("ncc", 6).alias("ncc"))
+    other = class_scores(df, label, member, value, kept).join(mine, [member, "digit"], "left_anti")
+    return own.unionByName(other)
 
 
 def otsu_levels(df: DataFrame, keys: list[str], level: str, levels: int = 256) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from notegrid.config import DEFAULTS
 from notegrid.operators import decide, image, match, ordered, vectors
+from notegrid.plans import reading
 from notegrid.plans.oracles import SQL as SQL
 from notegrid.sources import inputs
 from notegrid.sources.shared import new_path
@@ -92,8 +92,7 @@ def join_marks(spark, sf_dir):
 
 @query
 def dense_ids(spark, sf_dir):
-    by = Window.partitionBy("user_id").orderBy("ts", "event_type", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(by) - 1).alias("note_id"))
+    return ordered.numbered(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_type", "event_id"], "note_id").select("event_id", "user_id", "note_id")
 
 
 @query
@@ -129,7 +128,7 @@ def bar_edges(spark, sf_dir):
 @query
 def coverage(spark, sf_dir):
     each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    return each.groupBy("label", "pos").agg(F.round(F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)), 6).alias("cover"), F.bool_or(F.col("v") > 0.25).alias("any_ink"), F.bool_and(F.col("v") > -0.5).alias("all_ink"))
+    return ordered.coverage(each, ["label", "pos"], F.col("v") > -0.2).withColumn("cover", F.round("cover", 6))
 
 
 @query
@@ -151,8 +150,7 @@ def ncc_pairs(spark, sf_dir):
 def shift_best(spark, sf_dir):
     pairs = vectors.next_pairs(_doubles(spark, sf_dir), ["label"], "vec_id", "embedding").repartition("vec_id")
     best = vectors.best_shift(vectors.shift_scan(pairs, "embedding", "next_value", 6), DEFAULTS.stitch_exclude)
-    close = F.when(F.col("ncc") < DEFAULTS.stitch_min_ncc, "ncc").when(F.col("second_ncc").isNotNull() & (F.round(F.col("ncc") - F.col("second_ncc"), 6) < DEFAULTS.stitch_min_margin), "ambiguous")
-    return best.select("vec_id", "next_id", "shift", "ncc", "second_shift", "second_ncc", close.alias("refused"))
+    return best.select("vec_id", "next_id", "shift", "ncc", "second_shift", "second_ncc", vectors.refusal(DEFAULTS.stitch_min_ncc, DEFAULTS.stitch_min_margin).alias("refused"))
 
 
 @query
@@ -168,21 +166,14 @@ def template_loo(spark, sf_dir):
 
 @query
 def template_read(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    medians = vectors.element_medians(e, ["label"], "embedding").withColumnRenamed("label", "digit")
-    each = e.select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    scores = vectors.grouped_ncc(each.join(medians, "pos"), ["vec_id", "digit"], "v", "median").withColumn("ncc", F.round("ncc", 6))
-    out = vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
-    margin = F.round("margin", 6)
-    return out.select("vec_id", "digit", "best", margin.alias("margin"), ((F.col("best") >= 0.3) & (margin >= DEFAULTS.template_min_margin)).alias("accepted"))
+    scores = vectors.class_scores(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
 
 
 @query
 def template_digits(spark, sf_dir):
     scores = vectors.template_scores(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.0, DEFAULTS.template_min_samples)
-    out = vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
-    margin = F.round("margin", 6)
-    return out.select("vec_id", "digit", "best", margin.alias("margin"), ((F.col("best") >= 0.3) & (margin >= DEFAULTS.template_min_margin)).alias("accepted"))
+    return vectors.read_template(scores, ["vec_id"], 0.3, DEFAULTS.template_min_margin)
 
 
 @query
@@ -200,10 +191,10 @@ def bar_residual(spark, sf_dir):
 
 @query
 def classify_marks(spark, sf_dir):
-    reason = F.when(F.col("l_quantity") < 10, "short").when(F.col("l_quantity") > 40, "tall").when(F.col("l_tax") > 0.06, "off line").otherwise("keep")
-    lines = F.array(*[F.lit(float(y)) for y in range(0, 60, 10)])
-    near = F.array_min(F.transform(lines, lambda y, i: F.struct(F.abs(y - F.col("l_quantity")).alias("d"), (i + 1).alias("string"))))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reason.alias("reason"), near["string"].alias("string"))
+    high = 1 + F.col("l_partkey") % 16
+    marks = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("y0"), (F.col("l_quantity") + high).alias("y1"),
+                                                    F.lit(10.0).alias("s"), F.array(*[F.lit(float(y)) for y in range(0, 60, 10)]).alias("line_y"))
+    return image.classified(image.in_band(marks)).select("l_orderkey", "l_linenumber", "l_partkey", "dropped", "string")
 
 
 @query
@@ -231,37 +222,6 @@ def notes_in_rows(spark, sf_dir):
     return out.select("user_id", "event_id", "r", F.round((F.col("x") - F.col("x0")) * 0.25, 6).alias("px"), F.expr("r div 12").alias("page"))
 
 
-def _readings(spark, sf_dir):
-    part, supp = F.col("l_partkey") % 25, F.col("l_suppkey") % 25
-    line = F.col("l_linenumber") % 4
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 7 != 0, part).alias("model"), (F.col("l_partkey") % 11 != 0).alias("valid"),
-        F.when(F.col("l_suppkey") % 5 == 0, None).when(F.col("l_partkey") % 3 == 0, part).otherwise(supp).alias("template"),
-        F.when(line == 0, None).when(line == 1, part).otherwise(supp).alias("reread"), (F.col("l_linenumber") % 6 != 0).alias("reread_valid"))
-    rows = rows.withColumn("first", decide.first_decision("model", "valid", "template"))
-    status, fret, reason = decide.final_decision("model", "template", "reread", "reread_valid")
-    again = F.col("first") == "reread"
-    return rows.withColumns({"status": F.when(again, status).otherwise(F.col("first")), "fret": F.when(again, fret).otherwise(F.col("model")), "reason": F.when(again, reason)})
-
-
-@query
-def decisions(spark, sf_dir):
-    return _readings(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "first", "status", "fret", "reason")
-
-
-@query
-def final_table(spark, sf_dir):
-    status = F.when(F.col("status") == "verified_reread", "verified").otherwise(F.col("status"))
-    rows = _readings(spark, sf_dir).where("status <> 'ignored'")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "fret", decide.fret_text("fret").alias("fret_text"), status.alias("status"), F.when(F.col("first") == "reread", F.col("reread")).alias("reader_reread"))
-
-
-@query
-def report_rows(spark, sf_dir):
-    ok = F.col("status").isin("verified", "verified_reread")
-    rows = _readings(spark, sf_dir).where("status <> 'ignored'").groupBy("l_orderkey").agg(F.count("*").alias("notes"), F.count_if(ok).alias("verified"), F.count_if(F.col("status") == "flagged").alias("flagged"))
-    return rows.where("flagged > 0").select("l_orderkey", "notes", "verified", F.format_string("%d of %d numbers verified", "verified", "notes").alias("header"))
-
-
 @query
 def digit_labels(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("boxes", 1 + F.col("p_partkey") % 2)
@@ -336,15 +296,14 @@ def token_cost(spark, sf_dir):
 @query
 def status_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    kinds = e.select("event_type").distinct().union(spark.createDataFrame([("none of these",)], "event_type string"))
-    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 150).alias("flagged"))
-    return kinds.join(counts, "event_type", "left").na.fill(0, ["n", "flagged"])
+    every = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful of statuses
+    return reading.categories(e, "event_type", [*every, "none of these"], F.count_if(F.col("value") > 150).alias("flagged"))
 
 
 @query
 def url_ids(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})", 1).alias("video"), F.regexp_extract(u, r"([^/?#]+?)(?:\.[a-z]+)?/?(?:[?#].*)?$", 1).alias("stem"), u.startswith("https://").alias("secure"))
+    pages = table(spark, sf_dir, "pages").withColumn("file", F.regexp_replace("url", "^https?://", ""))
+    return pages.select("page_id", inputs.video_id("url").alias("video"), inputs.video_id("file").alias("stem"), inputs.is_url("url").alias("is_url"))
 
 
 CROPS = ("0,0,1920,484", " 10, 20 ,30,40", "0,0,0,5", "1,2,3", "1000,0,1000,10", "a,b,c,d")
@@ -361,24 +320,6 @@ def job_checks(spark, sf_dir):
     return inputs.job_refusals(jobs).select("p_partkey", "video_id", F.col("area.x").alias("x"), F.col("area.w").alias("w"), "refused")
 
 
-@query
-def content_keys(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    params = F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("lang")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(text, params), 256).alias("key"), F.substring(F.sha2(F.concat(text, F.lit("read1")), 256), 1, 32).alias("call_key"))
-
-
-@query
-def cache_lookup(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return hits.select("doc_id", F.col("quality").isNotNull().alias("hit"), F.coalesce("quality", F.lit(-1)).alias("quality"))
-
-
-@query
-def draft_truth(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("string"), F.floor(micros("ts") / 1_000_000).alias("x"), (F.floor("value") % 25).alias("fret"))
-
-
 @query
 def even_rows(spark, sf_dir):
     places = table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("x"))
@@ -407,3 +348,9 @@ def anchored_runs_stream(spark, sf_dir):
     sink = runs.writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
     sink.start(out).awaitTermination()
     return spark.read.schema(runs.schema).parquet(out)
+
+
+from notegrid.plans import catalogue_flow, catalogue_images  # noqa: E402
+
+QUERIES.update(catalogue_flow.QUERIES)
+QUERIES.update(catalogue_images.QUERIES)

@@ -70,7 +70,7 @@ SQL["bar_edges"] = """WITH p AS (SELECT user_id, value / 400 AS c, row_number()
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM p WHERE c >= 0.1)
 SELECT user_id, min(pos)::INT AS a, max(pos)::INT AS b, round(min_by(l, pos), 6) AS "left", round(max_by(r, pos), 6) AS "right" FROM g GROUP BY user_id, g HAVING greatest(min_by(l, pos), max_by(r, pos)) < 0.05"""
 SQL["coverage"] = """WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS v FROM embeddings)
-SELECT label, pos::INT AS pos, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS cover, bool_or(v > 0.25) AS any_ink, bool_and(v > -0.5) AS all_ink FROM e GROUP BY label, pos"""
+SELECT label, pos::INT AS pos, round(avg(CASE WHEN v > -0.2::FLOAT THEN 1.0 ELSE 0.0 END), 6) AS cover, bool_or(v > -0.2::FLOAT) AS any_ink, bool_and(v > -0.2::FLOAT) AS all_ink FROM e GROUP BY label, pos"""
 SQL["otsu_levels"] = """WITH h AS (SELECT event_type, CAST(floor(value) AS BIGINT) % 256 AS level, count(*) AS n FROM events GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER p AS w, sum(n * level) OVER p AS s, sum(n) OVER (PARTITION BY event_type) AS tw, sum(n * level) OVER (PARTITION BY event_type) AS ts FROM h WINDOW p AS (PARTITION BY event_type ORDER BY level ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT event_type, level, round(coalesce(w::DOUBLE * (tw - w) * (s / w - (ts - s) / nullif(tw - w, 0)) * (s / w - (ts - s) / nullif(tw - w, 0)), 0), 3) AS v FROM c)
@@ -104,8 +104,10 @@ SQL["bar_residual"] = """WITH u AS (SELECT DISTINCT user_id FROM events), a AS (
 d AS (SELECT a.user_id, min(abs(a.p - b.p)) AS d FROM a JOIN b USING (user_id) GROUP BY a.user_id, a.p UNION ALL SELECT a.user_id, min(abs(a.p - b.p)) FROM a JOIN b USING (user_id) GROUP BY a.user_id, b.p)
 SELECT u.user_id, CASE WHEN NOT EXISTS (FROM a WHERE a.user_id = u.user_id) AND NOT EXISTS (FROM b WHERE b.user_id = u.user_id) THEN 'none'
   WHEN NOT EXISTS (FROM a WHERE a.user_id = u.user_id) OR NOT EXISTS (FROM b WHERE b.user_id = u.user_id) THEN 'one side' ELSE 'both' END AS state, max(d.d) AS residual FROM u LEFT JOIN d USING (user_id) GROUP BY u.user_id"""
-SQL["classify_marks"] = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 10 THEN 'short' WHEN l_quantity > 40 THEN 'tall' WHEN l_tax > 0.06 THEN 'off line' ELSE 'keep' END AS reason,
-  (list_position(list_transform([0, 10, 20, 30, 40, 50], lambda y: abs(y - l_quantity)), list_min(list_transform([0, 10, 20, 30, 40, 50], lambda y: abs(y - l_quantity)))))::INT AS string FROM lineitem"""
+SQL["classify_marks"] = """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS y0, l_quantity + 1 + l_partkey % 16 AS y1 FROM lineitem),
+d AS (SELECT *, list_transform([0, 10, 20, 30, 40, 50], lambda y: abs((y0 + y1) / 2 - y)) AS d FROM m WHERE y1 >= -10 AND y0 <= 60)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN y1 - y0 + 1 < 4 THEN 'short' WHEN y1 - y0 + 1 > 12 THEN 'tall' WHEN list_min(d) > 4 THEN 'off line' END AS dropped,
+  list_position(d, list_min(d))::INT AS string FROM d"""
 SQL["composite"] = """WITH e AS (SELECT label, (vec_id % 7) * 16 AS o, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT label, (o + pos)::BIGINT AS x, round(min(v), 6) AS v FROM e GROUP BY ALL"""
 _CUT = """keys AS (SELECT user_id, max(epoch_us(ts) // 60000000 - 28000000)::DOUBLE AS e FROM events GROUP BY user_id),
@@ -123,17 +125,6 @@ SQL["row_cuts"] = f"WITH RECURSIVE {_CUT} SELECT user_id, r, x0, x1, split FROM
 SQL["notes_in_rows"] = f"""WITH RECURSIVE {_CUT}, l AS (SELECT user_id, max(r) AS last FROM cuts GROUP BY user_id),
 n AS (SELECT user_id, event_id, (epoch_us(ts) // 60000000 - 28000000)::DOUBLE AS x FROM events WHERE event_type <> 'signup')
 SELECT n.user_id, n.event_id, c.r, round((n.x - c.x0) * 0.25, 6) AS px, (c.r // 12)::BIGINT AS page FROM n JOIN cuts c USING (user_id) JOIN l USING (user_id) WHERE n.x >= c.x0 AND (n.x < c.x1 OR (c.r = l.last AND n.x = c.x1))"""
-_READ = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey % 25 END AS model, l_partkey % 11 <> 0 AS valid,
-  CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_partkey % 3 = 0 THEN l_partkey % 25 ELSE l_suppkey % 25 END AS template,
-  CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 4 = 1 THEN l_partkey % 25 ELSE l_suppkey % 25 END AS reread, l_linenumber % 6 <> 0 AS reread_valid FROM lineitem),
-f AS (SELECT *, CASE WHEN valid AND model IS NOT NULL AND model = template THEN 'verified' WHEN valid AND model IS NULL AND template IS NULL THEN 'ignored' ELSE 'reread' END AS first FROM r),
-d AS (SELECT *, CASE WHEN reread_valid AND reread IS NOT NULL AND (reread IS NOT DISTINCT FROM model OR reread IS NOT DISTINCT FROM template) THEN 'verified_reread'
-  WHEN reread_valid AND reread IS NULL AND model IS NULL AND template IS NULL THEN 'ignored' ELSE 'flagged' END AS second FROM f),
-x AS (SELECT *, CASE WHEN first = 'reread' THEN second ELSE first END AS status, CASE WHEN first = 'reread' THEN coalesce(reread, template, model) ELSE model END AS fret,
-  CASE WHEN first <> 'reread' OR second <> 'flagged' THEN NULL WHEN NOT reread_valid THEN 'no valid reread' WHEN reread IS NULL THEN 'not a number' ELSE 'readers differ' END AS reason FROM d)"""
-SQL["decisions"] = f"WITH {_READ} SELECT l_orderkey, l_linenumber, l_partkey, first, status, fret, reason FROM x"
-SQL["final_table"] = f"""WITH {_READ} SELECT l_orderkey, l_linenumber, l_partkey, fret, coalesce(fret::VARCHAR, '?') AS fret_text,
-  CASE WHEN status = 'verified_reread' THEN 'verified' ELSE status END AS status, CASE WHEN first = 'reread' THEN reread END AS reader_reread FROM x WHERE status <> 'ignored'"""
 SQL["digit_labels"] = """SELECT p_partkey, (k - 1)::INT AS pos, substr(p_size::VARCHAR, k::INT, 1) AS digit FROM part, range(1, 4) r(k) WHERE len(p_size::VARCHAR) = 1 + p_partkey % 2 AND k <= len(p_size::VARCHAR)"""
 SQL["fret_texts"] = """SELECT p_partkey, CASE WHEN regexp_full_match(t, '0|[1-9][0-9]*') AND try_cast(t AS INT) <= 24 THEN try_cast(t AS INT) END AS fret FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '0' || p_size WHEN 1 THEN p_size || '?' ELSE p_size::VARCHAR END AS t FROM part)"""
 SQL["json_validate"] = """WITH b AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"notes": [{"id": ' || event_id || ', "fret": 3}]}' WHEN 1 THEN '{"notes": [{"id": 1, "fret": null}]}' WHEN 2 THEN '{"notes": [{"id": 1, "fret": 25}]}'
@@ -148,12 +139,9 @@ SQL["token_cost"] = """SELECT l_returnflag AS role, count(*) AS calls, sum(l_par
   round(sum((l_partkey * p_retailprice + CAST(l_quantity AS BIGINT) * p_size) / 1e6), 4) AS total_usd, round(sum((l_partkey * p_retailprice + CAST(l_quantity AS BIGINT) * p_size) / 1e6) FILTER (WHERE l_linestatus = 'O'), 4) AS new_usd
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag"""
 SQL["status_counts"] = "SELECT k.event_type, coalesce(c.n, 0) AS n, coalesce(c.flagged, 0) AS flagged FROM (SELECT DISTINCT event_type FROM events UNION SELECT 'none of these') k LEFT JOIN (SELECT event_type, count(*) AS n, count_if(value > 150)::BIGINT AS flagged FROM events GROUP BY 1) c USING (event_type)"
-SQL["url_ids"] = r"""SELECT page_id, regexp_extract(url, '(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})', 1) AS video, regexp_extract(url, '([^/?#]+?)(?:\.[a-z]+)?/?(?:[?#].*)?$', 1) AS stem, starts_with(url, 'https://') AS secure FROM pages"""
-SQL["content_keys"] = """SELECT doc_id, sha256(coalesce(text, '') || '{"lang":"' || coalesce(lang, '') || '"}') AS key, substr(sha256(coalesce(text, '') || 'read1'), 1, 32) AS call_key FROM documents"""
-SQL["cache_lookup"] = "SELECT d.doc_id, l.quality IS NOT NULL AS hit, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)"
-SQL["draft_truth"] = "SELECT event_id, event_type AS string, epoch_us(ts) // 1000000 AS x, CAST(floor(value) AS BIGINT) % 25 AS fret FROM events"
-SQL["report_rows"] = f"""WITH {_READ} SELECT l_orderkey, count(*) AS notes, count_if(status IN ('verified', 'verified_reread'))::BIGINT AS verified,
-  count_if(status IN ('verified', 'verified_reread')) || ' of ' || count(*) || ' numbers verified' AS header FROM x WHERE status <> 'ignored' GROUP BY l_orderkey HAVING count_if(status = 'flagged') > 0"""
+SQL["url_ids"] = r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS f FROM pages), n AS (SELECT *, regexp_extract(f, '([^/]*)/*$', 1) AS name FROM u)
+SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN nullif(regexp_extract(url, '(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})', 1), '') ELSE 'unused' END AS video,
+  CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN regexp_extract(name, '^(.+)\.[^.]*$', 1) ELSE name END AS stem, regexp_matches(url, '^https?://') AS is_url FROM n"""
 
 SQL["even_rows"] = f"""WITH RECURSIVE p AS (SELECT user_id, epoch_us(ts) AS x, row_number() OVER w - 1 AS pos, lag(epoch_us(ts)) OVER w AS b, {', '.join(f'lead(epoch_us(ts), {k}) OVER w AS x{k}' for k in range(1, 7))}
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -192,3 +180,9 @@ SQL["job_checks"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lpad(CAS
   CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 4 THEN 1000 END AS x, CASE p_partkey % 7 WHEN 0 THEN 1920 WHEN 1 THEN 30 WHEN 4 THEN 1000 END AS w,
   CASE WHEN p_partkey % 4 = 1 THEN 'no video id' WHEN p_partkey % 7 = 6 THEN 'no crop' WHEN p_partkey % 7 IN (2, 3, 5) THEN 'bad crop' WHEN p_partkey % 5 = 2 THEN 'no layout'
     WHEN p_partkey % 5 = 1 THEN 'unknown layout' WHEN p_partkey % 11 = 0 THEN 'no frames' WHEN p_partkey % 7 = 4 THEN 'outside' END AS refused FROM part"""
+
+
+from notegrid.plans import oracles_flow  # noqa: E402
+
+SQL.update(oracles_flow.SQL)
+SQL.update(oracles_flow.sheets(_CUT))

@@ -27,6 +27,11 @@ def video_id(source: str) -> Column:
     return F.when(is_url(source), F.nullif(found, F.lit(""))).otherwise(stem)
 
 
+def output_path(source: str, output: str) -> Column:
+    """The path a sheet was asked for, else one of its video's name (LAY-2)."""
+    return F.coalesce(F.col(output), F.concat(F.lit("out/"), video_id(source), F.lit(".pdf")))
+
+
 def crop_of(text: str) -> Column:
     """x, y, w, h of "x,y,w,h" with w and h above 0 and x and y not below, else null (STR-3)."""
     parts = [F.regexp_extract(text, _CROP, k + 1).try_cast("int") for k in range(4)]

@@ -1,6 +1,7 @@
 """Known answers of the kernels."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def test_row_cuts(spark):
 
 
 def test_leave_one_out(spark):
-    import statistics
+
 
     rng = random.Random(2)
     rows = [(c, k, [float(rng.randrange(9)) for _ in range(3)]) for c in range(6) for k in range(c + 1)]
@@ -105,6 +106,45 @@ def test_first_decision(spark):
     assert got == ["verified", "verified", "reread", "reread", "ignored", "reread", "reread"]
 
 
+def test_digits_must_fit(spark):
+    df = spark.createDataFrame([(0, 12, 2), (1, 12, 1), (2, 7, 1)], "k int, m int, n int").selectExpr("*", "true AS v", "m AS t")
+    assert [r.d for r in df.select("k", decide.first_decision("m", "v", "t", "n").alias("d")).orderBy("k").collect()] == ["verified", "reread", "verified"]
+
+
+def test_final_decision(spark):
+    """Only an agreement with the template verifies; the first reading there is is shown."""
+    rows = [(3, 4, 4, True), (3, 4, 3, True), (3, None, 3, True), (3, 4, None, True), (3, 4, 4, False), (None, None, None, True), (None, 5, 0, True), (3, 4, 4, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, m int, t int, r int, v boolean")
+    status, fret, reason = decide.final_decision("m", "t", "r", "v")
+    got = [tuple(r) for r in df.orderBy("k").select(status, fret, reason).collect()]
+    assert got == [("verified_reread", 4, None), ("flagged", 3, decide.DISAGREES), ("flagged", 3, decide.NO_TEMPLATE), ("flagged", 4, decide.DISAGREES), ("flagged", 4, decide.BAD_REREAD),
+                   ("flagged", None, decide.NO_TEMPLATE), ("flagged", 0, decide.DISAGREES), ("flagged", 4, decide.BAD_REREAD)]
+
+
+def test_rounds_match_like_the_greedy(spark):
+    """Rounds of mutual firsts against one walk over all sorted pairs, chains and ties included."""
+    rng = random.Random(12)
+    truth = [(k % 3, k, float(rng.randrange(120))) for k in range(150)] + [(9, 1000 + k, 2.0 * k) for k in range(40)]
+    pred = [(k % 3, k, float(rng.randrange(120))) for k in range(150)] + [(9, 1000 + k, 2.0 * k + 1 + k / 100) for k in range(40)]
+    want, used = set(), set()
+    for c in (0, 1, 2, 9):
+        for _, i, j in sorted((abs(x - y), i, j) for a, i, x in truth if a == c for b, j, y in pred if b == c and abs(x - y) <= 5):
+            if ("i", i) not in used and ("j", j) not in used:
+                used |= {("i", i), ("j", j)}
+                want.add((c, i, j))
+    got = match.match_pairs(spark.createDataFrame(truth, "c int, i int, x double"), spark.createDataFrame(pred, "c int, j int, x double"), ["c"], 5.0)
+    assert {(r.c, r.i, r.j) for r in got.collect()} == want
+
+
+def test_ranked_median(spark):
+    rng = random.Random(2)
+    rows = [(k % 7, float(rng.randrange(6))) for k in range(100)] + [(8, None), (9, 2.0)]
+    df = spark.createDataFrame(rows, "c int, v double")
+    want = {c: statistics.median(v for k, v in rows if k == c and v is not None) for c in {k for k, v in rows if v is not None}}
+    assert {r.c: r["median"] for r in ordered.ranked_median(df, ["c"], "v").collect()} == want
+    assert ordered.ranked_median(df, [], "v").first()["median"] == statistics.median(v for _, v in rows if v is not None)
+
+
 def test_fret_text(spark):
     df = spark.createDataFrame([("05",), ("25",), ("24",), ("0",), ("1?",)], "t string")
     assert [r[0] for r in df.select(decide.fret_of("t", 24)).collect()] == [None, None, 24, 0, None]

@@ -73,6 +73,65 @@ def test_tabs(spark, tmp_path):
     assert tables.tab_notes(tables.read_tabs(spark, str(tmp_path / "*.json"))).count() == 2
 
 
+def test_members_of_tabs(spark, tmp_path):
+    """Unknown and missing members are seen, at the top and in notes; whole and broken numbers are told apart."""
+    note = {"string": 1, "x": 5, "fret": 3}
+    doc = lambda *notes, **more: {"video_id": "v", "tab_width_px": 1000, "notes": list(notes)} | more
+    cases = [(doc(note), None), (doc(note, other=1), "unknown member"), (doc(note | {"y": 1}), "note"), (doc({"string": 1, "x": 5}), "note"), (doc({"string": 1.5, "x": 5, "fret": 3}), "note"),
+             (doc(note | {"fret": "3"}), "fret"), (doc(note | {"x": "5"}), "note"), (doc(note | {"id": -1}), "note"), (doc(note | {"readers": {"model": 3, "eye": 3}}), "readers"), ([], "unknown member"), (doc(video_id=""), "required")]
+    for k, (text, _) in enumerate(cases):
+        (tmp_path / f"{k:02d}.json").write_text(json.dumps(text))
+    got = {}
+    for k in range(len(cases)):
+        got[k] = tables.read_tabs(spark, f"{tmp_path}/{k:02d}.json").first().refused
+    assert got == {k: reason for k, (_, reason) in enumerate(cases)}
+
+
+def test_videos(spark, tmp_path):
+    """Raw videos from files, cut ones and others included."""
+    from notegrid.sources import videos
+
+    frame = lambda k: b"FRAME Ip\n" + bytes([k] * 12) + bytes([128] * 6)
+    head = b"YUV4MPEG2 W4 H3 F25:2 Ip A1:1 C420mpeg2\n"
+    (tmp_path / "a.y4m").write_bytes(head + b"".join(map(frame, range(5))))
+    (tmp_path / "b.y4m").write_bytes(head + frame(7) + frame(8)[:-1])
+    (tmp_path / "c.y4m").write_bytes(b"RIFF")
+    (tmp_path / "d.y4m").write_bytes(b"YUV4MPEG2 W2 H2 F1:1 Cmono\n" + b"FRAME\n" + bytes(4))
+    files = videos.video_files(spark, f"{tmp_path}/*.y4m")
+    got = {r.video_id: tuple(r)[1:] for r in videos.probe(files).collect()}
+    assert got == {"a": (4, 3, 12.5, 5, None), "b": (4, 3, 12.5, 1, None), "c": (None, None, None, 0, "unreadable"), "d": (2, 2, 1.0, 1, None)}
+    wanted = spark.createDataFrame([(v, f) for v in "abcd" for f in (3, 0, 3)], "video_id string, frame long")
+    frames = {(r.video_id, r.frame): (r.refused, r.px and bytes(r.px)) for r in videos.read_frames(files, wanted).collect()}
+    assert frames == {("a", 0): (None, bytes(12)), ("a", 3): (None, bytes([3] * 12)), ("b", 0): (None, bytes([7] * 12)), ("b", 3): ("ended early", None), ("c", 0): ("unreadable", None), ("d", 0): (None, bytes(4)), ("d", 3): ("ended early", None)}
+
+
+def test_pdf():
+    """Every object lies where the table of a sheet says, and texts are escaped."""
+    from notegrid.operators.layout import LETTER
+    from notegrid.sources import drawing
+
+    page = drawing.page_operators([(0, 36.0, 576.0), (1, 36.0, 300.0)], [("12", 100.0, 700.0, True), ("?", 120.0, 693.0, False)], [(0, 50.0)], ("a(b", "1 of 2"), LETTER)
+    assert page.count(" l S") == 13 and "(a\\(b) Tj" in page and page.count("0.85 0 0 rg") == 1
+    pdf = drawing.pdf_bytes([page, ""], 612, 792)
+    start = int(pdf.rpartition(b"startxref\n")[2].split()[0])
+    table = pdf[start:].split(b"trailer")[0].split(b"\n")[3:-1]
+    assert len(table) == 7 and all(pdf[int(x[:10]):].startswith(f"{k + 1} 0 obj".encode()) for k, x in enumerate(table))
+
+
+def test_pictures_for_the_eye(spark):
+    from notegrid.sources import drawing
+
+    gray = np.full((6, 8), 90, np.uint8)
+    assert drawing.framed(gray, [(2, 2, 3, 3)]).tolist()[1] == [90, 0, 0, 0, 0, 90, 90, 90]
+    assert drawing.dimmed(gray, (1, 1, 2, 2))[1].tolist() == [30, 90, 90, 30, 30, 30, 30, 30]
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.01)], "k int, v double")
+    from pyspark.sql import functions as F
+
+    assert [r.y for r in df.select("k", drawing.decade_place(F.col("v"), 9).alias("y")).orderBy("k").collect()] == [8, 0, 4]
+    (plot,) = drawing.plots(df.withColumn("video_id", F.lit("a")), ["video_id"], "k", "v", 0.1, 9).collect()
+    assert bytes(plot.png).startswith(b"\x89PNG")
+
+
 def test_calls_and_manifest(spark):
     wanted = tables.call_keys(spark.createDataFrame([("p1", "read", 1), ("p2", "read", 1)], "png string, role string, attempt int"), "png", "role", "attempt")
     key = wanted.where("png = 'p1'").first().key
