@@ -37,6 +37,11 @@ class Thresholds:
     diff_level: int = 25
     still_frame: float = 0.02
     still_drift: float = 0.03
+    sample_rate: int = 12
+    page_trim_s: float = 0.25
+    median_min_frames: int = 5
+    page_merge_ncc: float = 0.98
+    read_max_attempts: int = 2
 
 
 DEFAULTS = Thresholds()
