@@ -281,6 +281,22 @@ def dated_results(spark, sf_dir):
     return out.select("r_regionkey", "r_name", (F.col("date").cast("date") == F.current_date()).alias("today"), F.col("time").rlike("^[0-9-]{10}T[0-9:]{8}$").alias("timed"))
 
 
+@query
+def argument_files(spark, sf_dir):
+    """Jobs' shell-quoted argument files, in order of their names (SRC-9, SRC-10)."""
+    path, k = new_path(spark, "arguments"), F.col("n_nationkey")
+    text = F.concat(F.lit("--crop 0,0,"), k.cast("string"), F.lit(",9 --layout 'paged strip' "), F.col("n_name"))
+    sinks.write_files(table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".args")).alias("name"), F.encode(text, "UTF-8").alias("content")), path)
+    return inputs.read_args(spark, f"{path}/*.args").select("video_id", F.array_join("args", "|").alias("args"))
+
+
+@query
+def report_pages(spark, sf_dir):
+    """A page that needs no other file, its cells escaped (SNK-5, STR-7)."""
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_regionkey", F.concat(F.lit("<"), "r_name", F.lit(">")).alias("name"), F.lit(None).cast("int").alias("none"), (F.col("r_regionkey") / 2).alias("half"))
+    return spark.createDataFrame([(sinks.report_page("A & B", [("Regions", regions)]),)], "page string")
+
+
 @query
 def prompt_digests(spark, sf_dir):
     """A prompt and its schema read from files, and the digest of both (SRC-8, JSN-5)."""

@@ -76,6 +76,9 @@ FROM nation WHERE n_nationkey + 10 <= 30"""
 SQL["recorded_calls"] = """SELECT 'key' || n_nationkey AS key, 'read' AS role, 0 AS attempt, n_nationkey AS first, '{"said":"' || n_name || '"}' AS response FROM nation WHERE n_nationkey % 2 = 0"""
 SQL["dated_results"] = "SELECT r_regionkey, r_name, true AS today, true AS timed FROM region"
 SQL["prompt_digests"] = """SELECT r_regionkey, sha256('Read the numbers.' || r_name || '{"a":[2,{"c":"x","d":null}],"b":1}') AS digest FROM region"""
+SQL["argument_files"] = "SELECT n_name AS video_id, '--crop|0,0,' || n_nationkey || ',9|--layout|paged strip|' || n_name AS args FROM nation"
+SQL["report_pages"] = """SELECT '<!doctype html><html><head><meta charset=''utf-8''><title>A &amp; B</title></head><body><h1>A &amp; B</h1><h2>Regions</h2><table><tr><th>r_regionkey</th><th>name</th><th>none</th><th>half</th></tr>'
+  || string_agg('<tr><td>' || r_regionkey || '</td><td>&lt;' || r_name || '&gt;</td><td>none</td><td>' || printf('%.3f', r_regionkey / 2) || '</td></tr>', '' ORDER BY r_regionkey) || '</table></body></html>' AS page FROM region"""
 _VIDEO = """v AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS video_id, 3 + s_suppkey % 9 AS made, s_suppkey % 10 = 7 AS odd, s_suppkey % 10 = 6 AS bare FROM supplier)"""
 SQL["video_probe"] = f"""WITH {_VIDEO} SELECT video_id, CASE WHEN NOT odd THEN 4 END AS width, CASE WHEN NOT odd THEN 2 END AS height, CASE WHEN NOT odd THEN (2 + k % 3)::DOUBLE END AS fps,
   CASE WHEN odd OR bare THEN 0 ELSE made END AS frames, CASE WHEN odd THEN 'unreadable' WHEN bare THEN 'no frames' END AS refused FROM v"""
@@ -145,6 +148,7 @@ SQL["page_faults"] = "SELECT s_suppkey AS video_id, CASE s_suppkey % 5 WHEN 1 TH
 SQL["note_pictures"] = """WITH n AS (SELECT s_suppkey AS v, i, CASE WHEN i = 0 THEN 0 ELSE 40 + s_suppkey % 5 END AS x0, 3 + s_suppkey % 9 AS wide, 26 + s_suppkey % 4 AS y1 FROM supplier, range(2) r(i)),
 c AS (SELECT *, x0 + wide + 3 - greatest(x0 - 3, 0) + 1 AS cw, y1 + 3 - 17 + 1 AS ch FROM n)
 SELECT v AS video_id, i::INT AS id, 64 AS h, CAST(round_even(cw * 64 / ch::DOUBLE, 0) AS INT) AS w, (30 + v % 200)::DOUBLE AS level FROM c"""
+SQL["motion_copies"] = "SELECT s_suppkey AS video_id, 3 AS h, 4 AS w, 6 * (s_suppkey % 200) + 6 * (50 + s_suppkey % 200) AS total FROM supplier"
 SQL["digit_pictures"] = """WITH d AS (SELECT s_suppkey AS v, 1 + s_suppkey % 13 AS w, 5 + s_suppkey % 17 AS h FROM supplier)
 SELECT v AS video_id, 32 AS h, 32 AS w, CAST(greatest(1, round_even(w * 32 / greatest(w, h)::DOUBLE, 0)) * greatest(1, round_even(h * 32 / greatest(w, h)::DOUBLE, 0)) AS BIGINT) AS covered FROM d"""
 SQL["grid_pictures"] = f"""WITH src AS (SELECT s_suppkey AS video_id, i AS id, 20 + (s_suppkey + i) % 30 AS w FROM supplier, range(11) r(i) WHERE i < 1 + s_suppkey % 11), {_grids('src', 'g', 6)},
