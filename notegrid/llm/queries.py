@@ -59,9 +59,24 @@ def op10_benchmark_edits(spark, sf_dir):
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def license_base(spark, sf_dir):
+    """The base columns of op2, which SQL can make."""
+    return op2_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def quality_base(spark, sf_dir):
+    """The base columns of op6, which SQL can make."""
+    return op6_quality_ratio(spark, sf_dir).drop("kept", "llr")
+
+
+def personal_counts(spark, sf_dir):
+    """The counts of op8's base spans, which SQL can make."""
+    return op8_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_token_counts, op4_main_text, op5_simhash_golay, op6_quality_ratio,
-                                    op7_language_mixture, op8_personal_data, op9_extendible_shards, op10_benchmark_edits)}
+                                    op7_language_mixture, op8_personal_data, op9_extendible_shards, op10_benchmark_edits, license_base, quality_base, personal_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,3 +58,38 @@ SELECT doc_id, n_bytes, 60, lpad(bin(h), 60, '0') || CASE WHEN big THEN '+b' ELS
        (sum(n_bytes) OVER (PARTITION BY h, big, page))::BIGINT, (count(*) OVER (PARTITION BY h, big, page))::BIGINT
 FROM paged
 """
+
+ORACLES["license_base"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+placed AS (
+  SELECT doc_id, w, list_concat(list_concat(
+    [{'at': k - 1, 'label': 'mit'} FOR k IN range(1, len(w) + 1) IF w[k:k + 3] = ['under', 'the', 'mit', 'license']],
+    [{'at': k - 1, 'label': 'apache-2'} FOR k IN range(1, len(w) + 1) IF w[k:k + 3] = ['apache', 'license', 'version', '2']]),
+    [{'at': k - 1, 'label': 'cc-by-nc'} FOR k IN range(1, len(w) + 1) IF w[k:k + 2] = ['cc', 'by', 'nc']]) AS p FROM words)
+SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min([x.at FOR x IN p]) AS first_word, list_max([x.at FOR x IN p]) AS last_word,
+       array_to_string(list_sort(list_distinct([x.label FOR x IN p])), ',') AS base_labels FROM placed
+"""
+
+ORACLES["quality_base"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body FROM documents),
+words AS (SELECT row, doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT row, k, count(*) OVER (PARTITION BY row, w[k], w[k + 1], w[k + 2]) AS n FROM words, unnest(range(1, len(w) - 1)) r(k)),
+covered AS (SELECT row, count(DISTINCT k + d) AS n FROM windows, range(3) r(d) WHERE windows.n > 1 GROUP BY row),
+measured AS (
+  SELECT row, doc_id, len(w) AS n_words, coalesce(list_sum([len(x) FOR x IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(c.n, 0) > 50 * n_words AS base_failed
+FROM measured m LEFT JOIN covered c USING (row)
+"""
+
+ORACLES["personal_counts"] = r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+')] AS card,
+         [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]')] AS phone FROM documents)
+SELECT doc_id, len(email) AS n_email, len([x FOR x IN ip IF list_max([p::HUGEINT FOR p IN string_split(x, '.')]) <= 255]) AS n_ip,
+       len([x FOR x IN card IF len(x) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (len(x) - k) % 2 = 0 THEN x[k]::INT ELSE 2 * x[k]::INT - CASE WHEN x[k]::INT > 4 THEN 9 ELSE 0 END END FOR k IN range(1, len(x) + 1)]) % 10 = 0]) AS n_card,
+       len([x FOR x IN phone IF len(x) BETWEEN 9 AND 15]) AS n_phone FROM found
+"""
