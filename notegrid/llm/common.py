@@ -16,11 +16,11 @@ from notegrid.sources.shared import new_path
 BROADCAST_BYTES = 8 << 20
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither
     recompute it nor depend on the executor that made it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -189,92 +189,122 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with the hashes of their lines in place of the text."""
-    kind = pa.list_(pa.int64())
+def outcome(blocks: list[tuple[int, str]]) -> tuple[str | None, list[tuple[int, str]]]:
+    """The text of a page that differencing cannot change, or null and the
+    lines (place, text) that may stay, of which :func:`unsure` ones may go."""
+    article = any(z == MAIN for z, _ in blocks)
+    may = [(k, x) for k, (z, x) in enumerate(blocks) if z == MAIN or z == DOUBT or (z == FREE and not article)]
+    if any(unsure(blocks[k][0], article) for k, _ in may):
+        return None, may
+    return "\n\n".join(x for _, x in may), []
+
+
+def unsure(zone: int, article: bool) -> bool:
+    """Whether a line's fate hangs on its neighbours."""
+    return zone == DOUBT or (zone == FREE and not article)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with the zones and hashes of their lines, and their outcome."""
+    line = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         for block in blocks([batch], "html"):
-            lines = pa.array([[_hash(x) for _, x in page_blocks(t)] for t in strings(block.column(4))], kind)
-            yield pa.RecordBatch.from_arrays([*block.columns[:4], lines], names=["_ng_d1", "_ng_d2", "page_id", "url", "hashes"])
+            found = [page_blocks(t) for t in strings(block.column(2))]
+            ends = [outcome(b) for b in found]
+            yield pa.RecordBatch.from_arrays([
+                block.column(0), block.column(1), pa.array([[z for z, _ in b] for b in found], pa.list_(pa.int8())), pa.array([[_hash(x) for _, x in b] for b in found], pa.list_(pa.int64())),
+                pa.array([t for t, _ in ends], pa.string()), pa.array([[{"at": k, "text": x} for k, x in may] for _, may in ends], line)], names=["page_id", "url", "zones", "hashes", "text", "lines"])
+
+
+def parsed(pages: DataFrame, html: str, url: str, page_id: str) -> DataFrame:
+    """One staged row a page: _ng_row, page_id, url, zones and hashes of its
+    lines, text (null while undecided) and the undecided lines. Pages are parsed once."""
+    slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    out = slim.mapInArrow(_parsed, f"page_id {dict(slim.dtypes)['page_id']}, url string, zones array<tinyint>, hashes array<bigint>, text string, lines array<struct<at: int, text: string>>")
+    return stage(out.withColumn("_ng_row", F.monotonically_increasing_id()), "html-pages", "zstd")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(every: bool):
     """For pages sorted by host, chunk and place: the lines that a page shares
-    with the one before or after in its chunk."""
-    held, key = None, None
-    for batch in batches:
-        out = []
-        for name, one, two, hashes in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-            if name == key:
-                for i, j in common_lines(held[2], hashes):
-                    out += [(*held[:2], i), (one, two, j)]
-            held, key = (one, two, hashes), name
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], names=["_ng_d1", "_ng_d2", "line"])
-
-
-def shared_lines(slim: DataFrame) -> DataFrame:
-    """(_ng_d1, _ng_d2, shared): for each page (by its digest) that shares lines
-    with a neighbour, their places. Neighbours are the pages before and after by
-    path within the host. A host is dealt in chunks of CHUNK pages, each with
-    the first page of the next, so that a hot host spreads over tasks and no
-    pair is lost. Only hashes of lines move."""
+    with the one before or after in its chunk; of those that are sure, only if ``every``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = None, None
+        for batch in batches:
+            out = []
+            for name, row, zones, hashes in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                article = MAIN in zones
+                own = (row, hashes, [every or unsure(z, article) for z in zones])
+                if name == key:
+                    for i, j in common_lines(held[1], hashes):
+                        out += [(r, k) for (r, _, told), k in ((held, i), (own, j)) if told[k]]
+                held, key = own, name
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32())], names=["_ng_of", "line"])
+
+    return run
+
+
+def shared_lines(rows: DataFrame, every: bool = False) -> DataFrame:
+    """(_ng_of, shared): for each page that shares lines with a neighbour, their
+    places. Neighbours are the pages before and after by path within the host.
+    A host is dealt in chunks of CHUNK pages, each with the first page of the
+    next, so that a hot host spreads over tasks and no pair is lost. Only hashes
+    of lines move."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    thin = slim.select("_ng_d1", "_ng_d2", "page_id", "url", "html").mapInArrow(_hashed, f"_ng_d1 long, _ng_d2 long, page_id {dict(slim.dtypes)['page_id']}, url string, hashes array<bigint>")
-    thin = stage(thin.select("_ng_d1", "_ng_d2", "page_id", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), F.lit(1).cast("long").alias("_ng_one"), F.monotonically_increasing_id().alias("_ng_row"), "hashes"), "html-lines")
-    placed = running_total(thin, ["_ng_host"], ["_ng_path", "page_id", "_ng_d1", "_ng_d2", "_ng_row"], "_ng_one", "_ng_upto", "html-order")
+    thin = rows.select("_ng_row", "page_id", F.coalesce(host, F.lit("")).alias("_ng_host"), F.coalesce(path, F.lit("")).alias("_ng_path"), F.lit(1).cast("long").alias("_ng_one"), F.xxhash64("url", "hashes").alias("_ng_tie"), "zones", "hashes")
+    placed = running_total(thin, ["_ng_host"], ["_ng_path", "page_id", "_ng_tie", "_ng_row"], "_ng_one", "_ng_upto", "html-order")
     placed = placed.withColumn("_ng_place", F.col("_ng_upto") - 1)
     chunk = F.floor(F.col("_ng_place") / CHUNK)
     edge = (F.col("_ng_place") > 0) & (F.col("_ng_place") % CHUNK == 0)
     placed = placed.withColumn("_ng_chunk", F.explode(F.when(edge, F.array(chunk - 1, chunk)).otherwise(F.array(chunk))))
     placed = placed.withColumn("_ng_key", F.concat_ws(" ", "_ng_host", F.col("_ng_chunk").cast("string")))
-    dealt = placed.repartition("_ng_key").sortWithinPartitions("_ng_key", "_ng_place").select("_ng_key", "_ng_d1", "_ng_d2", "hashes")
-    lines = dealt.mapInArrow(_shared, "_ng_d1 long, _ng_d2 long, line int").distinct()
-    return stage(lines.groupBy("_ng_d1", "_ng_d2").agg(F.array_sort(F.collect_list("line")).alias("shared")), "html-shared")
+    dealt = placed.repartition("_ng_key").sortWithinPartitions("_ng_key", "_ng_place").select("_ng_key", "_ng_row", "zones", "hashes")
+    lines = dealt.mapInArrow(_shared(every), "_ng_of long, line int").distinct()
+    return stage(lines.groupBy("_ng_of").agg(F.array_sort(F.collect_list("line")).alias("shared")), "html-shared")
 
 
-def decided(blocks: list[tuple[int, str]], shared: list[int] | None) -> tuple[list[bool], list[bool], list[bool]]:
-    """Of each line: whether it stays, whether a neighbour shares it, and
-    whether markup overruled differencing."""
-    article = any(z == MAIN for z, _ in blocks)
-    gone = [False] * len(blocks)
-    for k in shared or ():
-        gone[k] = True
-    stays = [z == MAIN or (z != ASIDE and not g and (z == DOUBT or not article)) for (z, _), g in zip(blocks, gone)]
-    return stays, gone, [s == g for s, g in zip(stays, gone)]
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of undecided pages, without the unsure lines that a neighbour shares."""
+    for batch in batches:
+        texts = []
+        for zones, lines, shared in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)]):
+            article, gone = MAIN in zones, set(shared or ())
+            texts.append("\n\n".join(x["text"] for x in lines if x["at"] not in gone or not unsure(zones[x["at"]], article)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, *, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """A row per row of ``pages``: page_id, url, text, n_chars, and by how many
-    lines: n_lines, n_shared (a neighbour has them too), n_kept (of these, those
-    that stay as an article's) and n_cut (unshared, deleted by markup).
+    """A row per row of ``pages``: page_id, url, text, n_chars.
 
-    text is the lines that stay, joined by two line feeds; empty if none do:
-    an article's lines but for those in a doubtful element that a neighbour
-    shares; without an article, the lines outside boilerplate markup that no
-    neighbour shares. Pages are read twice, once for the hashes that are aligned
-    and once for the text; no text is staged.
+    text is the lines that stay, joined by two line feeds; empty if none do: an
+    article's lines but for those in a doubtful element that a neighbour shares;
+    without an article, the lines outside boilerplate markup that no neighbour
+    shares. Pages are parsed once. All are aligned, by hashes; only undecided
+    ones are joined to what their neighbours share, with their texts, never
+    with the markup.
 
     Null html is empty; null urls are pages of one host without a name; pages
-    that tie in path are ordered by id, then digest; repeated rows are
+    that tie in path are ordered by id, then a digest; repeated rows are
     neighbours (free lines of both go) and keep a row each. Other columns are
     not carried; an empty table gives an empty one.
     """
-    slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    slim = slim.withColumns({f"_ng_d{k}": F.xxhash64(F.lit(k), "page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html") for k in (1, 2)})
-    gone = shared_lines(slim).withColumnsRenamed({"_ng_d1": "_ng_1", "_ng_d2": "_ng_2"})
-    both = slim.join(small(gone), (F.col("_ng_d1") == F.col("_ng_1")) & (F.col("_ng_d2") == F.col("_ng_2")), "left").select("page_id", "url", "html", "shared")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "html"):
-            texts, counts = [], []
-            for body, shared in zip(strings(block.column(2)), block.column(3).to_pylist()):
-                found = page_blocks(body)
-                stays, gone, over = decided(found, shared)
-                texts.append("\n\n".join(x for (_, x), s in zip(found, stays) if s))
-                counts.append((len(texts[-1]), len(found), sum(gone), sum(g and o for g, o in zip(gone, over)), sum(o and not g for g, o in zip(gone, over))))
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(texts, pa.string()), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]],
-                                             names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_kept", "n_cut"])
-
-    kinds = dict(both.dtypes)
-    return both.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint, n_kept bigint, n_cut bigint")
+    rows = parsed(pages, html, url, page_id)
+    gone = shared_lines(rows)
+    open_ = rows.where("text IS NULL").join(small(gone), F.col("_ng_row") == F.col("_ng_of"), "left").select("page_id", "url", "zones", "lines", "shared")
+    done = open_.mapInArrow(_left, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")
+    return rows.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(done).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def difference_report(pages: DataFrame, *, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """A row per row of ``pages``: page_id, url, and by how many lines: n_lines,
+    n_shared (a neighbour has them too), n_kept (of these, those that stay as an
+    article's) and n_cut (unshared, deleted by markup): what differencing does
+    alone, and where markup overrules it. No text is joined."""
+    rows = parsed(pages, html, url, page_id)
+    gone = shared_lines(rows, every=True)
+    both = rows.select("_ng_row", "page_id", "url", "zones").join(small(gone), F.col("_ng_row") == F.col("_ng_of"), "left")
+    article = F.array_contains("zones", F.lit(MAIN).cast("tinyint"))
+    kept = F.size(F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda k: F.get("zones", k) == MAIN))
+    cut = lambda z: (z == ASIDE) | ((z == FREE) & article)
+    sure = F.size(F.filter("zones", cut)) - F.size(F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda k: cut(F.get("zones", k))))
+    return both.select("page_id", "url", F.size("zones").cast("long").alias("n_lines"), F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_shared"), kept.cast("long").alias("n_kept"), sure.cast("long").alias("n_cut"))

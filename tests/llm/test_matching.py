@@ -154,7 +154,7 @@ def test_word_hashes():
     assert decontam.word_hashes([b"x" * 3000])[0][0] == decontam.word_hashes([b"a " * 100 + b"x" * 3000])[0][-1]
 
 
-def test_contaminations(spark, rows, docs, empty):
+def test_contaminations(spark, rows, docs, clashing, empty):
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(400)]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice((5, 7, 8, 13, 30, 60))))) for k in range(40)]
@@ -184,6 +184,7 @@ def test_contaminations(spark, rows, docs, empty):
     assert {d for d, _ in found} <= set(planted)
     again = decontam.contaminations(table, bench, block=300)
     assert {(r.doc_id, r.item_id) for r in again.collect()} == set(found)
+    assert decontam.decontaminated(clashing, bench).columns == clashing.columns and decontam.decontaminated(clashing, bench).count() == len(rows)
     clean = decontam.decontaminated(table, bench, block=2000)
     assert {r.doc_id for r in clean.collect()} == set(words) - {d for d, _ in found}
     assert decontam.contaminations(docs, bench).collect() == []
@@ -522,14 +523,18 @@ def test_pages_like_brute_force(spark, monkeypatch):
             for i, j in brute_common([own[k] for k in keep[0]], [other[k] for k in keep[1]]):
                 shared[p[0]].add(keep[0][i])
                 shared[q[0]].add(keep[1][j])
-    want = []
+    want, told = [], []
     for i, url, lines, _ in pages:
         article = any(z == "main" for z, _ in lines)
         stays = [z == "main" or (z == "doubt" and k not in shared[i]) or (z == "free" and not article and k not in shared[i]) for k, (z, _) in enumerate(lines)]
         text = "\n\n".join(x for (_, x), s in zip(lines, stays) if s)
-        want.append((i, url, text, len(text), len(lines), len(shared[i]), sum(s and k in shared[i] for k, s in enumerate(stays)), sum(not s and k not in shared[i] for k, s in enumerate(stays))))
-    got = htmltext.main_text(spark.createDataFrame([(i, u, h) for i, u, _, h in pages], "page_id long, url string, html string").repartition(5))
-    assert sorted(map(tuple, got.collect())) == want
+        kept = sum(k in shared[i] for k, (z, _) in enumerate(lines) if z == "main")
+        cut = sum(k not in shared[i] for k, (z, _) in enumerate(lines) if z in ("aside", "hint") or (z == "free" and article))
+        want.append((i, url, text, len(text)))
+        told.append((i, url, len(lines), len(shared[i]), kept, cut))
+    table = spark.createDataFrame([(i, u, h) for i, u, _, h in pages], "page_id long, url string, html string").repartition(5)
+    assert sorted(map(tuple, htmltext.main_text(table).collect())) == want
+    assert sorted(map(tuple, htmltext.difference_report(table).collect())) == told
     assert sum(map(len, shared.values())) > 100
 
 
