@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from notegrid.sources.shared import staged
+
 
 def _over(keys, order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -92,6 +94,8 @@ def ranked_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     are counted before they meet, so a hot key costs its distinct values, and
     ranks come from running sums, which spill, not from an aggregate's list."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    if not keys:
+        return _whole_median(counts)
     by = Window.partitionBy(*keys)
     placed = counts.withColumns({"_upto": F.sum("_n").over(by.orderBy("_x")), "_all": F.sum("_n").over(by)})
     low, high = F.expr("(_all + 1) DIV 2"), F.expr("(_all + 2) DIV 2")
@@ -99,6 +103,26 @@ def ranked_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("_x"))) + F.max(F.when(holds(high), F.col("_x")))) / 2).alias("median"))
 
 
+def _whole_median(counts: DataFrame) -> DataFrame:
+    """The median of all counted values, one row. Values are dealt by range; the
+    sums of whole partitions, a row each, tell which one holds a rank, and only
+    that one is sorted."""
+    spark = counts.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = staged(counts.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id()), "median")
+    sums = dealt.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect()
+    total, found = sum(r.n for r in sums), []
+    for rank in ((total + 1) // 2, (total + 2) // 2) if total else ():
+        for r in sums:
+            if rank <= r.n:
+                upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_x"))
+                held = dealt.where(F.col("_part") == r["_part"]).withColumn("_upto", upto).where(F.col("_upto") >= rank)
+                found.append(held.agg(F.min("_x")).first()[0])
+                break
+            rank -= r.n
+    return spark.createDataFrame([(sum(found) / 2 if found else None,)], "median double")
+
+
 def join_marks(df: DataFrame, keys: list[str], box: tuple[str, str, str, str], tie: str, overlap: float, gap: float, scope: list[str] | None = None) -> DataFrame:
     """Marks of a line joined to the mark before if they overlap in height by
     ``overlap`` of the smaller and stand closer than ``gap`` median widths
