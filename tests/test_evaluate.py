@@ -32,8 +32,8 @@ def test_evaluate(load):
     true = [note(1 + k % 3, 100.0 * (k + 1), k) for k in range(10)]
     same = [n | {"status": "verified"} for n in true]
     shifted = [n | {"x": n["x"] + 5} for n in same]
-    # 7 hits, one with a flagged wrong fret and one with an unflagged one; 3 misses; 2 plain extras and a flagged one
-    mixed = same[:5] + [note(3, 605.0, 9, "flagged"), note(1, 700.0, 9, "verified"), note(6, 800.0, 7, "verified"), note(3, 920.0, 8, "flagged"), note(1, 950.0, 3, "verified")]
+    # 5 hits, one with a flagged wrong fret; 5 misses; a plain extra and a flagged one
+    mixed = same[:4] + [note(2, 503.0, 9, "flagged"), note(4, 50.0, 1, "verified"), note(1, 980.0, 2, "flagged")]
     docs = {"perfect": (true, same), "shifted": (true, shifted), "mixed": (true, mixed), "silent": ([], []), "unheard": (true, []),
             "edge": ([note(1, 100.0, 3), note(2, 100.0, 3)], [note(1, 110.0, 3, "verified"), note(2, 110.5, 3, "verified")]),
             "nearest": ([note(1, 100.0, 3), note(1, 106.0, 4)], [note(1, 105.0, 4, "verified"), note(1, 99.0, 3, "verified")])}
@@ -45,9 +45,9 @@ def test_evaluate(load):
     assert (got["perfect"].recall, got["perfect"].precision, got["perfect"].x_error_max, got["perfect"].failed) == (1, 1, 0, [])
     assert got["shifted"].failed == ["x_error_median"] and got["shifted"].x_error_max == 0.005
     m = got["mixed"]
-    assert (m.matched, m.missing, m.extra, m.wrong_fret, m.flagged, m.flagged_errors, m.unflagged_errors) == (7, 3, 3, 2, 2, 2, 6)
-    assert (m.recall, m.precision, m.fret_accuracy, m.unflagged_frac, m.x_error_median, m.x_error_max) == (0.7, 0.7, 5 / 7, 0.6, 0.0, 0.005)
-    assert m.flag_rate == 0.2 and m.flag_precision == 1.0
+    assert (m.matched, m.missing, m.extra, m.wrong_fret, m.flagged, m.flagged_errors, m.unflagged_errors) == (5, 5, 2, 1, 2, 2, 6)
+    assert (m.recall, m.precision, m.fret_accuracy, m.unflagged_frac, m.x_error_median, m.x_error_max) == (0.5, 5 / 7, 0.8, 0.6, 0.0, 0.003)
+    assert m.flag_rate == 2 / 7 and m.flag_precision == 1.0
     assert got["silent"].recall is None and len(got["silent"].failed) == 7
     assert (got["unheard"].recall, got["unheard"].precision, got["unheard"].missing) == (0, None, 10)
     assert (got["edge"].matched, got["edge"].missing, got["edge"].extra) == (1, 1, 1)
