@@ -13,6 +13,7 @@ from notegrid.config import DEFAULTS, Thresholds
 from notegrid.operators.image import ink_of, pixels
 from notegrid.operators.layout import origin_x
 from notegrid.operators.ordered import even_groups, isolated_peaks, merge_spans, true_runs, weighted_runs
+from notegrid.sources.shared import staged
 
 KEY = ["video_id", "k"]
 
@@ -51,16 +52,17 @@ def column_profiles(images: DataFrame, rows: DataFrame) -> DataFrame:
 def rows_of_images(images: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """A line per row of six even lines in each image (RED-4): video_id, k, row,
     line_y, line_spans, s, extent, bar_spans, bar_x, origin_x. A row without a
-    long enough run of all six lines is left out."""
+    long enough run of all six lines is left out. Pixels are read twice, for the
+    lines and for the columns; what is read is staged."""
     each = [*KEY, "row"]
-    spans = weighted_runs(line_covers(images), KEY, "y", "cover", t.line_min_cover)
+    spans = staged(weighted_runs(line_covers(images), KEY, "y", "cover", t.line_min_cover), "line-spans")
     places = spans.withColumn("_pos", F.row_number().over(Window.partitionBy(*KEY).orderBy("a")) - 1)
     found = even_groups(spans, KEY, "centre", "a", t.line_spacing_tol).withColumn("row", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) - 1)
     members = found.withColumn("_pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + 5))).join(places, [*KEY, "_pos"])
     lines = F.sort_array(F.collect_list(F.struct("a", "b", "centre")))  # six of them
     rows = members.groupBy(*each).agg(lines.alias("l"), F.first("s").alias("s"))
-    rows = rows.select(*each, "s", F.col("l.centre").alias("line_y"), F.transform("l", lambda x: F.array(x["a"], x["b"])).alias("line_spans"))
-    profiles = column_profiles(images, rows)
+    rows = staged(rows.select(*each, "s", F.col("l.centre").alias("line_y"), F.transform("l", lambda x: F.array(x["a"], x["b"])).alias("line_spans")), "staff-lines")
+    profiles = staged(column_profiles(images, rows), "staff-profiles")
     spacing = rows.select(*each, "s")
     long = true_runs(profiles, each, ["x"], F.col("full")).join(spacing, each).where(F.col("b") - F.col("a") + 1 >= F.lit(t.extent_min_run) * F.col("s"))
     extents = long.groupBy(*each).agg(F.min("a").alias("left"), F.max("b").alias("right"))

@@ -179,11 +179,17 @@ def otsu_levels(df: DataFrame, keys: list[str], level: str, levels: int = 256) -
 def nearest_residual(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Largest distance from a position on either side to its nearest on the
     other (JOI-7): state is 'none' if both sides are empty, 'one side' if one is
-    (the residual is then infinite)."""
-    near = lambda x, y: f"array_max(transform({x}, p -> array_min(transform({y}, q -> abs(p - q)))))"
+    (the residual is then infinite). One sort of both sides: the nearest is the
+    last of the other side before or the first after."""
+    side = lambda c, k: df.select(*keys, F.explode(c).alias("_x"), F.lit(k).alias("_side"))
+    both = side(a, 0).unionByName(side(b, 1))
+    by = Window.partitionBy(*keys).orderBy("_x", "_side")
+    upto, onward = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    of = lambda k: F.when(F.col("_side") == k, F.col("_x"))
+    near = lambda k: F.least(F.col("_x") - F.last(of(k), ignorenulls=True).over(upto), F.first(of(k), ignorenulls=True).over(onward) - F.col("_x"))
+    far = both.withColumn("_d", F.when(F.col("_side") == 0, near(1)).otherwise(near(0))).groupBy(*keys).agg(F.max("_d").alias("residual"))
     state = F.when((F.size(a) == 0) & (F.size(b) == 0), "none").when((F.size(a) == 0) | (F.size(b) == 0), "one side").otherwise("both")
-    value = F.when(state == "both", F.greatest(F.expr(near(a, b)), F.expr(near(b, a))))
-    return df.select(*keys, state.alias("state"), value.alias("residual"))
+    return df.select(*keys, state.alias("state")).join(far, keys, "left")
 
 
 def composite(strips: DataFrame, keys: list[str], offset: str, value: str) -> DataFrame:
