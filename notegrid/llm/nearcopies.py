@@ -81,12 +81,27 @@ def with_grams(docs: DataFrame, text: str) -> DataFrame:
     return added(docs, text, "fp bigint, grams array<bigint>", make, utf8)
 
 
+def sieved(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (_ng_d1) whose digest may be among ``rows`` (_ng_1):
+    a bitmap of 16 bits for each digest, of 2^26 at most and so of 8 MiB, is
+    broadcast, and few others pass it. It loses none and decides nothing; it only
+    keeps the texts that a join would drop out of its shuffle."""
+    bits = 1 << min(26, max(15, (16 * rows.count()).bit_length()))
+    place = lambda c: F.pmod(F.col(c), F.lit(bits))
+    maps = rows.select(place("_ng_1").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_ng_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_ng_map"))
+    maps = stage(maps, "near-sieve")
+    bit = F.bitmap_bit_position(place("_ng_d1"))
+    byte = F.conv(F.hex(F.substring(F.col("_ng_map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    both = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place("_ng_d1")) == F.col("_ng_bucket"))
+    return both.where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+
+
 def grams_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(fp, grams) of the sets in ``ids`` (column id), made again from one row
     of ``docs`` for each, by the digest that ``sets`` names."""
     wanted = stage(sets.select("fp", "least._ng_d1", "least._ng_d2").join(ids.select("id").distinct(), F.col("fp") == F.col("id"), "left_semi"), "near-ids")
     rows = wanted.select(F.col("_ng_d1").alias("_ng_1"), F.col("_ng_d2").alias("_ng_2"))
-    texts = docs.join(small(rows), (F.col("_ng_d1") == F.col("_ng_1")) & (F.col("_ng_d2") == F.col("_ng_2")), "left_semi")
+    texts = sieved(docs, rows).join(small(rows), (F.col("_ng_d1") == F.col("_ng_1")) & (F.col("_ng_d2") == F.col("_ng_2")), "left_semi")
     out = stage(with_grams(texts.select("text"), "text").drop("text").dropDuplicates(["fp"]), "near-grams")
     unstage(wanted)
     return out

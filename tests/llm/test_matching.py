@@ -666,6 +666,16 @@ def test_near_copies(spark, clashing, empty):
     assert simhash.deduplicated(empty).collect() == []
 
 
+def test_sieve(spark):
+    """The bitmap loses no row that is wanted and passes few others."""
+    docs = spark.range(20_000).selectExpr("xxhash64(id) AS _ng_d1", "id")
+    for part in (1, 50, 20_000):
+        wanted = docs.where(f"id % {20_000 // part} = 0").selectExpr("_ng_d1 AS _ng_1", "id AS _ng_2")
+        passed = nearcopies.sieved(docs, wanted)
+        assert passed.columns == docs.columns and wanted.join(passed, wanted["_ng_1"] == passed["_ng_d1"], "left_anti").count() == 0
+        assert wanted.count() <= passed.count() <= wanted.count() + 2000
+
+
 def test_near_copies_with_repeated_ids(spark):
     """Ids name no row: a repeated id loses no document and keeps no copy."""
     one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
