@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegrid.config import DEFAULTS, Thresholds
-from notegrid.operators.image import ink_of, pixels
+from notegrid.operators.image import ink_of, joined, pixels
 from notegrid.operators.layout import origin_x
 from notegrid.operators.ordered import even_groups, isolated_peaks, merge_spans, true_runs, weighted_runs
 from notegrid.sources.shared import staged
@@ -33,7 +33,7 @@ def column_profiles(images: DataFrame, rows: DataFrame) -> DataFrame:
     """(video_id, k, row, x, full, cover): for each column whether all lines of
     the row have ink in it (AGG-6), and its share of ink from the first line to
     the last (AGG-4)."""
-    both = images.select(*KEY, "h", "w", "px").join(rows.select(*KEY, "row", "line_spans"), KEY)
+    both = joined(images.select(*KEY, "h", "w", "px"), rows.select(*KEY, "row", "line_spans"), KEY)
 
     def run(batches):
         for pdf in batches:
