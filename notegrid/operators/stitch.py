@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegrid.config import DEFAULTS, Thresholds
-from notegrid.operators.image import levels, pixels
+from notegrid.operators.image import joined, levels, pixels
 from notegrid.operators.layout import shared_bars
 from notegrid.operators.ordered import running_offsets
 from notegrid.operators.vectors import nearest_residual
@@ -58,7 +58,7 @@ def stitched_pairs(images: DataFrame, rows: DataFrame, t: Thresholds = DEFAULTS)
     kind = dict(images.dtypes)["video_id"]
     one = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.first(F.struct("line_y", "s", "extent", "bar_x")).alias("tab")).where("n = 1").drop("n")
     by = Window.partitionBy("video_id").orderBy("k")
-    after = images.select(*KEY, "h", "w", "px").join(one.select(*KEY, "tab.line_y", "tab.s"), KEY)
+    after = joined(images.select(*KEY, "h", "w", "px"), one.select(*KEY, "tab.line_y", "tab.s"), KEY)
     after = after.withColumns({"next_k": F.lead("k").over(by), "next_px": F.lead("px").over(by)}).where("next_k IS NOT NULL")
     names = ["video_id", "k", "next_k", "w", "shift", "ncc", "second_shift", "second_ncc"]
 
@@ -104,5 +104,5 @@ def canvases(images: DataFrame, offsets: DataFrame) -> DataFrame:
             np.minimum(part, pixels(r.px, r.h, r.w), out=part)
         return pd.DataFrame([(pdf["video_id"].iloc[0], 0, h, right, out.tobytes())], columns=["video_id", "k", "h", "w", "px"])
 
-    placed = images.select(*KEY, "h", "w", "px").join(offsets, KEY)
+    placed = joined(images.select(*KEY, "h", "w", "px"), offsets, KEY)
     return placed.groupBy("video_id").applyInPandas(run, f"video_id {kind}, k int, h int, w int, px binary")
