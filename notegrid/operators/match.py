@@ -38,7 +38,7 @@ def match_pairs(truth: DataFrame, pred: DataFrame, keys: list[str], tol, rounds:
         rest = marked.where("NOT (_a AND _b)").join(taken.select(*keys, "i"), [*keys, "i"], "left_anti").join(taken.select(*keys, "j"), [*keys, "j"], "left_anti")
         left = staged(rest.select(*keys, "i", "j", "dx"), "pairs")
         if left.isEmpty():
-            return out.select(*keys, "i", "j", "dx")
+            return out.select(*keys, "i", "j", "dx").hint("merge")  # a union of staged tables
     raise RuntimeError(f"the assignment did not settle in {rounds} rounds")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegrid.config import DEFAULTS, TARGETS
 from notegrid.operators.match import match_pairs, metrics_by
+from notegrid.sources.shared import staged
 
 KEYS = ["video_id", "string", "width"]
 
@@ -30,6 +31,7 @@ def evaluate(truth: DataFrame, predicted: DataFrame, targets=TARGETS, tol: float
     fair = both.where("refused IS NULL").withColumn("width", F.col("t.tab_width_px"))
     true = fair.select("video_id", "width", F.posexplode("t.notes").alias("i", "n")).select(*KEYS[::2], "n.string", "i", "n.x", "n.fret")
     pred = fair.select("video_id", "width", F.posexplode("p.notes").alias("j", "n")).select(*KEYS[::2], "n.string", "j", "n.x", "n.fret", (F.col("n.status") == "flagged").alias("flagged"))
+    true, pred = staged(true, "true-notes"), staged(pred, "predicted-notes")  # a list's order, so i and j, may differ each time it is made
     pairs = match_pairs(true.drop("fret"), pred.drop("fret", "flagged"), KEYS, F.lit(tol) * F.col("width"))
     measured = metrics_by(pairs, true, pred, KEYS, "video_id", "width")
     out = both.select("video_id", "refused").join(measured, "video_id", "left")

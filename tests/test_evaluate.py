@@ -2,7 +2,10 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from notegrid.plans.evaluate import evaluate
 from notegrid.sources import tables
@@ -52,3 +55,19 @@ def test_evaluate(load):
     assert (got["unheard"].recall, got["unheard"].precision, got["unheard"].missing) == (0, None, 10)
     assert (got["edge"].matched, got["edge"].missing, got["edge"].extra) == (1, 1, 1)
     assert (got["nearest"].matched, got["nearest"].wrong_fret) == (2, 0) and got["nearest"].x_error_max == 0.001
+
+
+def test_order_of_notes(load):
+    """Lists that come in another order each time they are made, as after a shuffle."""
+    true = [note(1 + k % 3, 100.0 * (k + 1), k % 20) for k in range(60)]
+    kind = "array<struct<id: int, string: int, x: double, fret: int, status: string>>"
+
+    @F.pandas_udf(kind)
+    def dealt(notes: pd.Series) -> pd.Series:
+        return notes.map(lambda a: [a[k] for k in np.random.default_rng().permutation(len(a))])
+
+    made = lambda side: load(side, [tab("v", [n | {"status": "verified"} for n in true], 10_000.0)], True)
+    some = lambda df: df.withColumn("notes", F.transform("notes", lambda n: F.struct(n["id"], n["string"], n["x"], n["fret"], n["status"])).cast(kind))
+    mixed = lambda df: some(df).withColumn("notes", dealt.asNondeterministic()("notes"))
+    (got,) = evaluate(mixed(made("truth")), mixed(made("pred"))).collect()
+    assert (got.matched, got.missing, got.extra, got.wrong_fret, got.x_error_max, got.passed) == (60, 0, 0, 0, 0.0, True)
