@@ -121,15 +121,18 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 def located(jobs: DataFrame, local: DataFrame, source: str = "source") -> DataFrame:
     """``jobs`` plus path, the local file (``local`` has video_id, path) of a
     source, and ``fetch`` where a URL has none yet; refused is 'no file' for a
-    missing local source (SRC-3, SRC-14)."""
-    out = jobs.join(local.select(F.col("video_id").alias("_id"), "path"), video_id(source) == F.col("_id"), "left").drop("_id")
+    missing local source (SRC-3, SRC-14). A job stays one row: of several files
+    of one video the first by path is taken."""
+    held = local.groupBy(F.col("video_id").alias("_id")).agg(F.min("path").alias("path"))
+    out = jobs.join(held, video_id(source) == F.col("_id"), "left").drop("_id")
     out = out.withColumn("fetch", is_url(source) & F.col("path").isNull())
     return out.withColumn("refused", F.when(~is_url(source) & F.col("path").isNull(), "no file"))
 
 
 def fetched(jobs: DataFrame, download: Callable[[str], bytes], source: str = "source") -> DataFrame:
-    """(video_id, path, content, refused) of the jobs to fetch. ``download`` runs
-    on the executors; what it raises is the reason a video is refused (SRC-3)."""
+    """(video_id, path, content, refused) of the jobs to fetch, a row for each
+    source, however many jobs ask for it. ``download`` runs on the executors; what
+    it raises is the reason a video is refused (SRC-3)."""
     def run(batches):
         for pdf in batches:
             out = []
@@ -140,5 +143,5 @@ def fetched(jobs: DataFrame, download: Callable[[str], bytes], source: str = "so
                     out.append((name, url, None, f"download: {e}"))
             yield pd.DataFrame(out, columns=["video_id", "path", "content", "refused"])
 
-    wanted = jobs.where("fetch").select(video_id(source).alias("video_id"), F.col(source).alias("path"))
+    wanted = jobs.where("fetch").select(video_id(source).alias("video_id"), F.col(source).alias("path")).distinct()
     return wanted.mapInPandas(run, "video_id string, path string, content binary, refused string")

@@ -3,10 +3,12 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 
 from notegrid.operators import image
 from notegrid.plans import manifest
+from notegrid.plans.catalogue import SQL
 from notegrid.sources import tables
 
 
@@ -177,3 +179,28 @@ def test_inputs(spark, tmp_path):
     (tmp_path / "v2.args").write_text("--crop 0,0,1920,484 --layout 'paged-strip'\n")
     (tmp_path / "v1.args").write_text("--layout 'a b'")
     assert [tuple(r) for r in inputs.read_args(spark, f"{tmp_path}/*.args").collect()] == [("v1", ["--layout", "a b"]), ("v2", ["--crop", "0,0,1920,484", "--layout", "paged-strip"])]
+
+
+def test_jobs_of_one_source(spark):
+    """Two jobs of one URL and two files of one video: a job is one row, a source one download."""
+    from notegrid.sources import videos
+
+    url, file = "https://youtu.be/abcdefghijk", "clips/take.y4m"
+    jobs = spark.createDataFrame([(1, url), (2, url), (3, file), (4, file)], "job int, source string")
+    found = videos.located(jobs, spark.createDataFrame([("take", "/b/take"), ("take", "/a/take")], "video_id string, path string"))
+    assert sorted((r.job, r.path, r.fetch, r.refused) for r in found.collect()) == [(1, None, True, None), (2, None, True, None), (3, "/a/take", False, None), (4, "/a/take", False, None)]
+    assert [(r.video_id, bytes(r.content)) for r in videos.fetched(found, str.encode).collect()] == [("abcdefghijk", url.encode())]
+
+
+def test_job_sources_of_long_keys(spark, tmp_path):
+    """Keys of seven digits and more, which a name of six would not tell apart."""
+    from notegrid.plans import catalogue_flow
+
+    keys = [5, 100_000, 100_001, 1_000_000, 1_000_001, 1_000_002, 1_000_009, 1_000_015, 2 ** 62 + 1]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    theirs = db.execute(SQL["job_sources"])
+    names = [d[0] for d in theirs.description]
+    got = catalogue_flow.QUERIES["job_sources"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, theirs.fetchall()))
